@@ -29,14 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, staged
+from ..session import fits_broadcast, ship, staged
 from .shingles import WordHasher, minhashes, sequence_digest, shingle_hashes, sketch_words, words_of
 
 SKETCH = 256
 REFINE = 20
+#: As many ids (8 bytes each) at most are sent to all executors; beyond that ids and texts are shuffled.
+MAX_SENT_IDS = 2_000_000
 #: Standard deviations below its mean at which a sketch still passes: one true pair in 300,000 fails.
 SIGMAS = 4.5
 
@@ -87,8 +89,7 @@ def _sign(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         trees, prefix = forest.trees, forest.prefix
-        tree_no = np.arange(trees, dtype=np.int64) << np.int64(48)
-        shift = (8 * np.arange(prefix)).astype(np.uint64)
+        place = np.uint64(257) ** np.arange(prefix, dtype=np.uint64)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("id", "digest", "n", "keys", "refine", "s0", "s1", "s2", "s3")}
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -103,16 +104,16 @@ def _sign(forest: Forest):
                     continue
                 mins = minhashes(distinct, forest.functions)
                 byte = (mins & np.uint32(255)).astype(np.uint64)
-                of_tree = (byte[: trees * prefix].reshape(trees, prefix) << (shift % np.uint64(48))).sum(axis=1, dtype=np.uint64)
-                rows["keys"].append((of_tree.astype(np.int64) & np.int64((1 << 48) - 1)) | tree_no)
-                more = byte[trees * prefix : trees * prefix + 2 * REFINE].astype(np.int32)
-                rows["refine"].append((more[0::2] << 8) | more[1::2])
+                of_tree = (byte[: trees * prefix].reshape(trees, prefix) * place).sum(axis=1, dtype=np.uint64)
+                rows["keys"].append((of_tree & np.uint64(0x7FFFFFFF)).astype(np.int32))
+                more = byte[trees * prefix : trees * prefix + 2 * REFINE].astype(np.uint16)
+                rows["refine"].append(((more[0::2] << 8) | more[1::2]).view(np.int16))
                 for k, v in zip(("s0", "s1", "s2", "s3"), sketch_words(mins, SKETCH)):
                     rows[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows["id"], pa.int64()), pa.array(rows["digest"], pa.binary()), pa.array(rows["n"], pa.int32()),
-                    pa.array(rows["keys"], pa.list_(pa.int64())), pa.array(rows["refine"], pa.list_(pa.int32())),
+                    pa.array(rows["keys"], pa.list_(pa.int32())), pa.array(rows["refine"], pa.list_(pa.int16())),
                     *(pa.array(rows[k], pa.int64()) for k in ("s0", "s1", "s2", "s3")),
                 ],
                 names=list(rows),
@@ -121,7 +122,7 @@ def _sign(forest: Forest):
     return run
 
 
-SIGNATURE = "id bigint, digest binary, n int, keys array<bigint>, refine array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+SIGNATURE = "id bigint, digest binary, n int, keys array<int>, refine array<smallint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
 def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -146,16 +147,21 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("id").cast("bigint"), "text").mapInArrow(_shingle_sets(words), "id bigint, shingles array<bigint>")
 
 
+def flat_entries(signed: DataFrame, *more: str) -> DataFrame:
+    """One row for each text and tree; the key holds the tree's number and the prefix."""
+    cols = ["id", "n", "s0", "s1", "s2", "s3", *more]
+    return signed.where("n > 0").select(*cols, F.posexplode("keys").alias("tree", "prefix")).select(*cols, (F.col("tree").cast("bigint") * F.lit(1 << 32) + F.col("prefix")).alias("key"))
+
+
 def entries(signed: DataFrame, bucket_limit: int = 8192) -> DataFrame:
     """Trie entries ``key, id, n, s0..s3``; prefixes of more than ``bucket_limit`` texts lengthened."""
     cols = ["id", "n", "s0", "s1", "s2", "s3"]
-    flat = signed.where("n > 0").select(*cols, F.explode("keys").alias("key"))
+    flat = flat_entries(signed)
     hot = staged(flat.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "hot-prefixes")
     if hot.isEmpty():
         return flat
-    full = signed.where("n > 0").select(*cols, "refine", F.explode("keys").alias("key"))
     longer = (
-        full.join(hot, "key", "left_semi")
+        flat_entries(signed, "refine").join(hot, "key", "left_semi")
         .select(*cols, "key", F.posexplode("refine").alias("sub", "more"))
         .select(*cols, F.xxhash64("key", "sub", "more").alias("key"))
     )
@@ -169,13 +175,18 @@ def sketch_condition(a: str, b: str, forest: Forest) -> Column:
     return (na >= forest.threshold * nb) & (nb >= forest.threshold * na) & (differ <= forest.most_differing_bits)
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``; texts are not shuffled while the ids are few."""
+    return docs.join(F.broadcast(ids) if fits_broadcast(ids, MAX_SENT_IDS) else ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """``a, b, similarity`` of the candidate pairs that reach the threshold exactly.
 
     Only texts that are in a candidate pair are read into shingle sets and shuffled.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(shingle_sets(docs.join(ids, "id", "left_semi"), forest.words), "shingle-sets")
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
+    sets = staged(shingle_sets(only(docs, ids), forest.words), "shingle-sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -204,7 +215,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, words: int = 3, rec
     signed = staged(signatures(docs, forest), "signatures")
     first = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"))
     members = signed.select("id", "digest").join(first, "digest", "left").select("id", "class_id")
-    heads = signed.join(first.select(F.col("class_id").alias("id")), "id", "left_semi")
+    heads = only(signed, staged(first.select(F.col("class_id").alias("id")), "heads"))
     tries = entries(heads)
     pairs = (
         tries.alias("p")
