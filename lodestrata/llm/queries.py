@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
+from ..session import fits_broadcast
+from . import capping, history, knn, leakage, neardup, packing, pieces, ranking, repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,94 @@ def _record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "canonical_records").select(F.col("row_no").alias("id"), neardup.record_text().alias("text"))
 
 
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_key"), "text")
+    records = _table(spark, sf_dir, "canonical_records").select(F.lit("canonical_records").alias("item_table"), F.col("row_no").cast("string").alias("item_key"), F.col("fields.transcript").alias("text"))
+    return pieces.split_oversized(chunks.unionByName(records), limit=2000, overlap=200)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oversized(spark, sf_dir).where("n_pieces > 1").select("item_table", "item_key").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oversized(spark, sf_dir).select("item_table", "item_key", "piece_no", "n_pieces", "start_char", "end_char", "overlap_chars", "piece").distinct()
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "canonical_records").select(
+        F.col("row_no").alias("id"), "batch_no", (F.col("batch_no") * F.lit(1 << 40) + F.col("row_no")).alias("seq"),
+        F.col("id").alias("record_id"), "content_hash", neardup.record_text().alias("text"),
+    )
+
+
+def _decisions(spark: SparkSession, sf_dir: str, batches: int = 8, at_once: int = 4) -> DataFrame:
+    """Batch 0 begins the history; the later batches arrive ``at_once`` at a time."""
+    rows = _arrivals(spark, sf_dir)
+    h = history.start(spark, rows.where("batch_no = 0"), threshold=0.5, words=3, texts_expected=rows.count())
+    found = None
+    for first in range(1, batches + 1, at_once):
+        last = first + at_once - 1
+        new = history.admit(h, rows.where(F.col("batch_no").between(first, last)), append=last < batches)
+        found = new if found is None else found.unionByName(new)
+    return found
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decisions(spark, sf_dir).where("not accepted").select(F.col("kept_id").alias("kept_row_no"), F.col("id").alias("row_no"))
+
+
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decisions(spark, sf_dir).select(F.col("id").alias("row_no"), "accepted", F.col("kept_id").alias("kept_row_no"), "known_id")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _table(spark, sf_dir, "hits").select(F.col("run_id").alias("run"), F.col("backend").alias("list"), F.col("record_id").alias("record"), "score")
+    ranked = _table(spark, sf_dir, "ranked_hits").select(F.col("run_id").alias("run"), F.col("retriever").alias("list"), F.col("record_id").alias("record"), "score")
+    return hits.unionByName(ranked)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.winners(_scores(spark, sf_dir), equal_say=True).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"))
+
+
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.fused_ranking(_scores(spark, sf_dir), equal_say=True).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"), "score", "position")
+
+
+def p4_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.fused_ranking(_scores(spark, sf_dir)).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"), "score", "position")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.similar_pairs(_table(spark, sf_dir, "embed_cache"), least=0.9).select("key_a", "key_b")
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(_table(spark, sf_dir, "embed_cache"), k=10)
+
+
+def _owned(spark: SparkSession, sf_dir: str, most_creators: int = 200_000) -> DataFrame:
+    rows = _table(spark, sf_dir, "canonical_records").select("row_no", capping.contributor_name(F.col("fields.owner")).alias("contributor"), F.col("fields.value_score").alias("value_score"))
+    creators = _table(spark, sf_dir, "uiux_creators").select(capping.contributor_name(F.col("username")).alias("contributor"), "avg_value_score")
+    creators = creators.where("contributor is not null").groupBy("contributor").agg(F.max("avg_value_score").alias("avg_value_score"))
+    if fits_broadcast(creators, most_creators):
+        creators = F.broadcast(creators)
+    return rows.join(creators, "contributor", "left").select("row_no", "contributor", F.coalesce("value_score", "avg_value_score", F.lit(0.0)).cast("double").alias("quality"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capping.over_cap(_owned(spark, sf_dir), "contributor", "quality", "row_no", cap=10).where("over_cap").select("row_no")
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capping.cap_records(_owned(spark, sf_dir), "contributor", "quality", "row_no", cap=10)
+
+
+def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capping.cap_records(_owned(spark, sf_dir), "contributor", "quality", "row_no", share=0.02)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_record_texts(spark, sf_dir), threshold=0.5, words=3)
     return neardup.expanded(found).select(F.col("a").alias("row_no_a"), F.col("b").alias("row_no_b"))
@@ -28,6 +117,37 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(found).select(F.col("id").alias("row_no"), "class_id", "group_id", "n_links")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), capacity=2048).withColumnRenamed("id", "doc_id")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "text")
+    return leakage.leaks(_documents(spark, sf_dir), items, passage=13, words=5)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "leaked_words", "item_words", "item_from_word")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = repetition.repetition(_documents(spark, sf_dir), run=8)
+    return rated.where("p_repetitive >= 0.5").where("repeated_share >= 0.3").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = repetition.repetition(_documents(spark, sf_dir), run=8)
+    return rated.select(F.col("id").alias("doc_id"), "n_words", "n_repeated", F.round("repeated_share", 6).alias("repeated_share"), F.round("p_repetitive", 6).alias("p_repetitive"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
