@@ -63,7 +63,7 @@ def over_cap(df: DataFrame, contributor: str, quality: str, order: str, cap: int
     best = [F.col("_q").desc(), F.col("_o").asc()]
     part = named.withColumn("_r", F.row_number().over(Window.partitionBy("_c", "_salt").orderBy(*best))).where(F.col("_r") <= cap)
     last = part.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(*best))).where(F.col("_r") == cap).select("_c", F.col("_q").alias("_tq"), F.col("_o").alias("_to"))
-    limits = last.select("_c", "_tq", "_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("_s"))
+    limits = last.select("_c", "_tq", "_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_s"))
     joined = rows.join(limits, (rows[contributor] == limits["_c"]) & (rows["_salt"] == limits["_s"]), "left")
     worse = (F.col("_q") < F.col("_tq")) | ((F.col("_q") == F.col("_tq")) & (F.col(order) > F.col("_to")))
     return joined.withColumn("over_cap", F.coalesce(worse, F.lit(False)) if cap > 0 else F.col(contributor).isNotNull()).drop("_q", "_salt", "_c", "_tq", "_to", "_s")

@@ -190,7 +190,7 @@ def _packed(items: DataFrame, capacity: int, shard_items: int, islands: int, epo
     count = items.count()
     shards = max(1, -(-count // shard_items))
     spread = staged(items.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.lit(seed)), F.lit(shards)).cast("bigint")), "packing-items")
-    on_islands = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).cast("bigint").alias("island"))
+    on_islands = spread.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(islands - 1).cast("bigint"))).alias("island"))
     shape = "shard bigint, island bigint, fitness double, packing binary"
     elites = spread.sparkSession.createDataFrame([], shape)
     for epoch in range(epochs):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fits_broadcast
-from . import capping, history, knn, leakage, neardup, packing, pieces, ranking, repetition
+from . import capping, history, knn, leakage, neardup, packing, pieces, pii, ranking, repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,23 @@ def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decisions(spark, sf_dir).select(F.col("id").alias("row_no"), "accepted", F.col("kept_id").alias("kept_row_no"), "known_id")
 
 
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "canonical_records")
+    both = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"fields.{f}").alias("text")) for f in ("caption", "transcript")))
+    return rows.select(F.col("row_no").alias("id"), F.explode(both).alias("x")).select("id", "x.field", "x.text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.occurrences(pii.personal_spans(_personal_texts(spark, sf_dir)))
+    return found.select(F.col("id").alias("row_no"), F.col("field").alias("field_name"), "pii_type", "pii_no")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _personal_texts(spark, sf_dir)
+    clean = pii.redacted(texts, pii.personal_spans(texts)).where("text is not null")
+    return clean.select(F.col("id").alias("row_no"), F.col("field").alias("field_name"), "redacted")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _table(spark, sf_dir, "hits").select(F.col("run_id").alias("run"), F.col("backend").alias("list"), F.col("record_id").alias("record"), "score")
     ranked = _table(spark, sf_dir, "ranked_hits").select(F.col("run_id").alias("run"), F.col("retriever").alias("list"), F.col("record_id").alias("record"), "score")

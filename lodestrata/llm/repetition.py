@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, staged
 from .shingles import WordHasher, shingle_hashes, words_of
+from .weak import estimate
 
 #: Measure, votes "repetitive" from, votes "clean" up to, words needed to vote.
 RULES = (
@@ -119,33 +120,6 @@ def _vote(measure: str, high: float, low: float, least: int) -> Column:
     return F.when(F.col("n_words") < least, 0).when(m >= high, 1).when(m <= low, -1).otherwise(0)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns (rows of -1, 0, 1): posterior of each pattern, the rules' chances to
-    vote right in either class (k x 2), and the share of repetitive documents."""
-    k = patterns.shape[1]
-    known = patterns[:, 0]
-    p = np.where(known > 0, 1.0, np.where(known < 0, 0.0, 0.5 + 0.4 * np.sign(patterns.sum(1))))
-    right, prior = np.full((k, 2), 0.8), 0.1
-    for _ in range(rounds):
-        prior = float(np.clip((counts * p).sum() / max(counts.sum(), 1), 1e-4, 1 - 1e-4))
-        new = right.copy()
-        for j in range(k):
-            for c, w in ((1, counts * p), (0, counts * (1 - p))):
-                cast = w[patterns[:, j] != 0].sum()
-                agree = w[patterns[:, j] == (1 if c else -1)].sum()
-                new[j, c] = np.clip((agree + 2) / (cast + 3), 0.05, 0.98)  # a weak belief that rules are mostly right
-        log = np.log(prior / (1 - prior)) * np.ones(len(patterns))
-        for j in range(k):
-            log += np.where(patterns[:, j] > 0, np.log(new[j, 1] / (1 - new[j, 0])), 0) + np.where(patterns[:, j] < 0, np.log((1 - new[j, 1]) / new[j, 0]), 0)
-        q = 1 / (1 + np.exp(-np.clip(log, -40, 40)))
-        q = np.where(known > 0, 1.0, np.where(known < 0, 0.0, q))
-        done = np.abs(q - p).max(initial=0) < 1e-7 and np.abs(new - right).max() < 1e-7
-        p, right = q, new
-        if done:
-            break
-    return p, right, prior
-
-
 def repetition(docs: DataFrame, run: int = 8) -> DataFrame:
     """``id, n_words, n_repeated, repeated_share``, the other measures, the ``votes`` and
     ``p_repetitive``, the posterior that the document is repetitive."""
@@ -155,7 +129,7 @@ def repetition(docs: DataFrame, run: int = 8) -> DataFrame:
     if not table:
         return votes.withColumn("p_repetitive", F.lit(None).cast("double"))
     patterns, counts = np.array([r[0] for r in table]), np.array([r[1] for r in table], float)
-    posterior, _, _ = estimate(patterns, counts)
+    posterior, _, _ = estimate(patterns, counts, known=patterns[:, 0])
     spark = docs.sparkSession
     known = spark.createDataFrame([([int(x) for x in v], float(p)) for v, p in zip(patterns, posterior)], "votes array<int>, p_repetitive double")
     out = votes.join(F.broadcast(known), "votes", "left")
