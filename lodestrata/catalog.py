@@ -183,7 +183,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lexical(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
     chunks = _t(spark, sf_dir, "chunks").select("chunk_id", "record_id", "chunk_field", F.get_json_object("metadata", "$.content_type").alias("content_type"), "text")
-    return lexical.LexicalIndex.build(chunks)
+    return lexical.LexicalIndex.build(chunks, keep=True)
 
 
 def _rounded(hits: DataFrame) -> DataFrame:

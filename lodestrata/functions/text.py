@@ -23,7 +23,9 @@ _FROM, _TO = "".join(a for a, _ in _ACCENTED), "".join(b for _, b in _ACCENTED)
 
 def folded(text: Column) -> Column:
     """Lower case, Latin accents and combining marks dropped."""
-    return F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), r"\p{Mn}", "")
+    low = F.lower(text)
+    plain = F.octet_length(low) == F.length(low)  # ASCII has nothing to fold
+    return F.when(plain, low).otherwise(F.regexp_replace(F.translate(low, _FROM, _TO), r"\p{Mn}", ""))
 
 
 def index_tokens(text: Column) -> Column:

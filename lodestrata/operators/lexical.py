@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
@@ -47,27 +47,33 @@ class LexicalIndex:
         flat = questions.select("qid", F.explode(F.filter(F.split("question", r"\s+"), lambda x: x != "")).alias("part"))
         return flat.select("qid", index_tokens(F.col("part")).alias("toks")).groupBy("qid", "toks").agg(F.count(F.lit(1)).alias("times"))
 
-    def matches(self, questions: DataFrame) -> DataFrame:
-        """``qid, chunk_id, score, complete``: complete tells whether all phrases are there."""
-        phrases = staged(self.phrases(questions), "phrases")
+    def matches(self, questions: DataFrame, keep_if: Column | None = None) -> DataFrame:
+        """``qid, chunk_id, score, complete, keep``: complete tells whether all phrases are there.
+
+        Phrase frequencies are laid out by chunk once; the weights of all questions (bounded by
+        the questions) are sent there, so a question's score for a chunk is summed up in place.
+        """
+        phrases = staged(self.phrases(questions).withColumn("pid", F.xxhash64("toks")), "phrases")
         asked = phrases.where(F.size("toks") > 0)
         words = asked.select(F.explode("toks").alias("tok")).distinct()
-        words = F.broadcast(words) if fits_broadcast(words, MAX_SENT_TOKENS) else words
-        placed = self.tokens.select("chunk_id", F.posexplode("toks").alias("pos", "tok")).join(words, "tok", "left_semi")
-        distinct = asked.select("toks").distinct()
-        single = distinct.where(F.size("toks") == 1).select("toks", F.col("toks")[0].alias("tok"))
-        counts = placed.groupBy("tok", "chunk_id").agg(F.count(F.lit(1)).alias("f")).join(single, "tok").select("toks", "chunk_id", "f")
-        several = distinct.where(F.size("toks") > 1).select("toks", F.posexplode("toks").alias("at", "tok"))
-        runs = placed.join(several, "tok").groupBy("toks", "chunk_id", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("there")).where(F.col("there") == F.size("toks"))
-        found = counts.unionByName(runs.groupBy("toks", "chunk_id").agg(F.count(F.lit(1)).alias("f")))
-        found = staged(found, "phrase-matches")
-        n = found.groupBy("toks").agg(F.count(F.lit(1)).alias("n"))
-        idf = F.greatest(F.log((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-        weights = asked.join(n, "toks").crossJoin(F.broadcast(self.stats)).select("qid", "toks", "times", idf.alias("idf"), "avgdl")  # stats is one row
-        part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
-        scored = found.join(weights, "toks").join(self.tokens.select("chunk_id", "size"), "chunk_id").select("qid", "chunk_id", part.alias("part"))
+        small = fits_broadcast(phrases, MAX_SENT_TOKENS)
+        sent = F.broadcast if small else (lambda df: df)
+        keep = F.coalesce(keep_if, F.lit(False)) if keep_if is not None else F.lit(True)
+        placed = self.tokens.select("chunk_id", "size", keep.alias("keep"), F.posexplode("toks").alias("pos", "tok")).join(sent(words), "tok", "left_semi")
+        distinct = asked.select("pid", "toks").distinct()
+        single = distinct.where(F.size("toks") == 1).select("pid", F.col("toks")[0].alias("tok"))
+        counts = placed.groupBy("chunk_id", "size", "keep", "tok").agg(F.count(F.lit(1)).alias("f")).join(sent(single), "tok").select("chunk_id", "size", "keep", "pid", "f")
+        several = distinct.where(F.size("toks") > 1).select("pid", F.size("toks").alias("length"), F.posexplode("toks").alias("at", "tok"))
+        runs = placed.join(sent(several), "tok").groupBy("chunk_id", "size", "keep", "pid", "length", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("there")).where("there = length")
+        found = staged(counts.unionByName(runs.groupBy("chunk_id", "size", "keep", "pid").agg(F.count(F.lit(1)).alias("f"))), "phrase-matches")
+        n = found.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
         needed = phrases.groupBy("qid").agg(F.count(F.lit(1)).alias("needed"))  # one without a token is never met
-        return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("met")).join(needed, "qid").select("qid", "chunk_id", "score", (F.col("met") == F.col("needed")).alias("complete"))
+        idf = F.greatest(F.log((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
+        weights = asked.join(n, "pid").crossJoin(F.broadcast(self.stats)).join(needed, "qid").select("qid", "pid", (F.col("times") * idf).alias("weight"), "avgdl", "needed")  # stats is one row
+        weights = staged(weights, "phrase-weights")
+        part = F.col("weight") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
+        scored = found.repartition("chunk_id").join(sent(weights), "pid")
+        return scored.groupBy("qid", "chunk_id", "keep", "needed").agg(F.round(F.sum(part), 9).alias("score"), F.count(F.lit(1)).alias("met")).select("qid", "chunk_id", "score", (F.col("met") == F.col("needed")).alias("complete"), "keep")
 
     def search(self, questions: DataFrame, top_k: int, keep_if: Column | None = None, prefilter: bool = False) -> DataFrame:
         """``qid, record_id, chunk_id, score, rank``: the best chunks of each question.
@@ -75,20 +81,24 @@ class LexicalIndex:
         ``keep_if`` filters on the index's other columns: after the best ``5 * top_k`` were
         taken, or before with ``prefilter`` (never fewer hits).
         """
-        empty = "qid, record_id, chunk_id, score, rank".split(", ")
         if top_k <= 0:
             return self.tokens.select(F.lit("").alias("qid"), "record_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-        hits = self.matches(questions)
-        strict = hits.where("complete").select("qid").distinct().withColumn("strict", F.lit(True))
-        hits = hits.join(strict, "qid", "left").where("complete or strict is null").drop("complete", "strict")
-        rows = hits.join(self.tokens.drop("toks", "size"), "chunk_id")
+        hits = self.matches(questions, keep_if)
+        order = [F.col("complete").desc(), F.col("score").desc(), F.col("chunk_id")]
         if keep_if is not None and prefilter:
-            rows = rows.where(keep_if)
-        wide = top_k * 5 if keep_if is not None and not prefilter else top_k
-        best = top_per_group(rows, ["qid"], [F.col("score").desc(), F.col("chunk_id")], wide)
-        if keep_if is not None and not prefilter:
-            best = top_per_group(best.where(keep_if).drop("rank"), ["qid"], [F.col("score").desc(), F.col("chunk_id")], top_k)
-        return best.select(*empty)
+            hits = staged(hits, "lexical-hits")
+            strict = hits.where("complete").select("qid").distinct().withColumn("strict", F.lit(True))
+            rows = hits.where("keep").join(strict, "qid", "left").where("complete or strict is null")
+            best = top_per_group(rows, ["qid"], order, top_k)
+        else:
+            # Complete answers come first, so the head of the ranking tells whether there are any.
+            best = top_per_group(hits, ["qid"], order, top_k * 5 if keep_if is not None else top_k)
+            strict = F.max("complete").over(Window.partitionBy("qid"))
+            best = best.withColumn("strict", strict).where("complete or not strict")
+            if keep_if is not None:
+                best = top_per_group(best.where("keep").drop("rank"), ["qid"], order, top_k)
+        named = self.tokens.select("chunk_id", "record_id")
+        return best.join(named, "chunk_id").select("qid", "record_id", "chunk_id", "score", "rank")
 
 
 def metadata_filter(filters: dict, metadata: str = "metadata", kinds: dict | None = None) -> Column:

@@ -107,6 +107,8 @@ _EVAL = """
         coalesce(1.0 / min(CASE WHEN hit THEN rank END), 0.0) AS mrr
       FROM x GROUP BY 1)"""
 
+_STOP = str("a an and are as at be but by for from has have how i in is it its of on or that the this to was what when where which who why will with you your do does did can could should would".split())
+
 _DOC_TEXT = "regexp_replace(array_to_string(flatten([" + ", ".join(_part_list(f) for f in ("summary", "workflow_steps", "tips", "caption", "concepts", "tools_apps")) + "]), chr(10)), '^\\s+|\\s+$', '', 'g')"
 
 _SIGNALS = "+".join(f"contains(lower(coalesce(text, '')), '{s}')::INT" for s in ("font", "poster", "prototype", "keyframe", "newsletter", "client", "freelanc", "checklist"))
@@ -182,8 +184,7 @@ SQL: dict[str, str] = {
         coalesce(fields.value_score BETWEEN 5 AND 7, FALSE) AS "between" FROM {_STORE}""",
     "serve_get": f"SELECT w.id, s.row_no, s.content_hash FROM (SELECT DISTINCT unnest(expected) AS id FROM gold_questions) w LEFT JOIN {_STORE} s ON s.id = w.id",
     "serve_abstain": _bm25(rf""", top AS ({_ranked('ok', 2)}),
-        stop AS (SELECT string_split('a an and are as at be but by for from has have how i in is it its of on or that the this to was what when where which who why will with you your do does did can could should would', ' ') AS w),
-        qt AS (SELECT qid, list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains((SELECT w FROM stop), x)) AS t FROM q),
+        qt AS (SELECT qid, list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({_STOP}, x)) AS t FROM q),
         b AS (SELECT qid, score AS s1, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS doc FROM top JOIN ch USING (chunk_id) WHERE rank = 1),
         s AS (SELECT qid, score AS s2 FROM top WHERE rank = 2),
         v AS (SELECT qid, s1, CASE WHEN len(t) = 0 THEN 1.0::DOUBLE WHEN doc IS NULL THEN 0.0::DOUBLE ELSE len(list_filter(t, lambda x: list_contains(doc, x)))::DOUBLE / len(t) END AS coverage,
