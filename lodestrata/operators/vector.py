@@ -90,7 +90,7 @@ def provider_embedder(model: str, dims: int, call: Callable[[list[str]], list[li
     def embed(df: DataFrame) -> DataFrame:
         if call is None:
             raise EmbeddingError(f"no client for {model}")
-        schema = df.drop("embedding").schema.add("embedding", "array<double>")
+        schema = df.drop("embedding").schema.add("embedding", T.ArrayType(T.DoubleType()))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
