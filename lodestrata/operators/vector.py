@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EmbeddingError
-from ..session import staged
+from ..session import fits_broadcast, staged
 from .rank import top_per_group
 
 CHARS_PER_TOKEN = 4
+#: As many query vectors at most are sent to all executors at once.
+QUERY_BLOCK = 10_000
 
 
 def text_hash(text: Column) -> Column:
@@ -150,7 +152,16 @@ def vector_search(vectors: DataFrame, query: list[float], top_k: int, keep_if: C
 
 
 def vector_search_many(vectors: DataFrame, queries: DataFrame, top_k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """``qid, key, score, rank`` for a bounded set of query vectors (qid, query) against all rows."""
-    pairs = vectors.select(key, vector).crossJoin(F.broadcast(queries.select("qid", "query")))  # the stated query set, sent to all rows
+    """``qid, key, score, rank`` for a stated set of query vectors (qid, query) against all rows.
+
+    Up to ``QUERY_BLOCK`` queries are sent to all rows; more are cut into blocks of that size,
+    and each block meets the rows in a join on its number.
+    """
+    asked, rows = queries.select("qid", "query"), vectors.select(key, vector)
+    if fits_broadcast(asked, QUERY_BLOCK):
+        pairs = rows.crossJoin(F.broadcast(asked))
+    else:
+        blocks = -(-asked.count() // QUERY_BLOCK)
+        pairs = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block")).join(asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))), "_block").drop("_block")
     scored = pairs.where(F.size(vector) == F.size("query")).select("qid", key, F.round(cosine(F.col(vector), F.col("query")), 9).alias("score"))
     return top_per_group(scored, ["qid"], [F.col("score").desc(), F.col(key)], top_k)

@@ -106,6 +106,14 @@ def test_vectors(spark):
     assert all(int(hashlib.md5(t.encode()).hexdigest(), 16) % 7 == b for t, b in buckets)
 
 
+def test_query_blocks_give_the_same(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)], "k bigint, embedding array<double>")
+    q = v.where("k % 4 = 0").select(F.col("k").alias("qid"), F.col("embedding").alias("query"))
+    whole = sorted(map(tuple, vector.vector_search_many(v, q, 3, key="k").collect()))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, vector.vector_search_many(v, q, 3, key="k").collect())) == whole and len(whole) == 30
+
+
 def test_embedding_cache(spark):
     model = vector.hash_embedder(4)
     texts, cache = spark.createDataFrame([("a",), ("b",), ("b",)], "text string"), spark.createDataFrame([], "key string, embedding array<float>")
