@@ -266,7 +266,7 @@ def similar_pairs(df: DataFrame, least: float, trees: int = 4, leaf: int = 1024,
     return apart.unionByName(equal).where("similarity >= %r" % float(least))
 
 
-def nearest(df: DataFrame, k: int = 10, trees: int = 4, leaf: int = 4096, probes: int = 12, **kw) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, trees: int = 4, leaf: int = 4096, probes: int = 16, **kw) -> DataFrame:
     """``key, neighbour, similarity, position``: the k most similar other keys of each key."""
     rows = vector_rows(df)
     found = class_pairs(rows, k, -1.0, trees, leaf, probes, **kw).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
