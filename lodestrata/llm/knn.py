@@ -9,7 +9,13 @@
    trees at once with one priority queue for the whole forest, ordered by how far the vector
    lies on the wrong side of the planes passed; the ``probes`` best leaves are searched.
 4. In each leaf queries meet members in blocks of matrix products, and candidates are reranked
-   exactly; the best over all leaves remain.
+   exactly; all pairs above the threshold remain.
+
+The k nearest of every key are searched in cells instead: centres fitted to the sample, every
+vector a member of the cell of its nearest centre. The numbers of cells and of cells searched
+are planned for each space: the true neighbours of held-out vectors are found by one exact pass
+over the table, and the cheapest plan that keeps ``target`` of them is taken, at any size. In
+the limit that plan is one cell, which is brute force.
 
 Recall is measured against brute force in the tests and in the README.
 
@@ -33,6 +39,8 @@ from ..session import ship, staged
 
 MAX_SPACES = 256
 _BLOCK = 1024
+_ROW = 2000
+_ASKING = 150_000
 
 
 @dataclass
@@ -168,22 +176,25 @@ def _route(indexes, probes: int, kind: str):
 
 
 def _search_leaf(k: int, least: float, kind: str):
-    """Queries of a leaf against its members: pairs ``a, b, similarity``."""
+    """Queries of a leaf or cell against its members: pairs ``a, b, similarity``."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, member = table.column("v").to_numpy(), table.column("member").to_numpy()
+        asks = table.column("asks").to_numpy() if "asks" in table.column_names else np.ones(len(ids), bool)
         x = np.frombuffer(b"".join(table.column("unit").to_pylist()), kind).reshape(len(ids), -1).astype(np.float32)
         order = np.lexsort((~member, ids))  # one row for each id, the member's if there is one
         first = np.ones(len(order), bool)
         first[1:] = ids[order][1:] != ids[order][:-1]
         order = order[first]
-        ids, member, x = ids[order], member[order], x[order]
-        inside, names = x[member], ids[member]
+        ids, member, asks, x = ids[order], member[order], asks[order], x[order]
+        inside, names, ids, x = x[member], ids[member], ids[asks], x[asks]
         a, b, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
-        for at in range(0, len(ids), _BLOCK):
+        for at in range(0, len(ids) if len(names) else 0, _BLOCK):
             own = ids[at : at + _BLOCK]
             score = x[at : at + _BLOCK] @ inside.T
-            score[own[:, None] == names[None, :]] = -2
+            place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            self_ = np.flatnonzero(names[place] == own)
+            score[self_, place[self_]] = -2
             if least > -1:
                 r, c = np.nonzero(score >= least)
             else:
@@ -199,6 +210,133 @@ def _search_leaf(k: int, least: float, kind: str):
     return run
 
 
+@dataclass
+class Cells:
+    """The cells of one space: centres, cells searched for a vector, parts each cell's queries are split in."""
+
+    centres: np.ndarray
+    probes: int
+    parts: np.ndarray
+    recall: float = 1.0
+
+
+def centres_of(points: np.ndarray, cells: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from random points; an empty cell begins again at another point."""
+    centres = points[rng.choice(len(points), cells, replace=False)]
+    for _ in range(rounds if cells > 1 else 0):
+        total = np.zeros_like(centres)
+        count = np.zeros(cells)
+        for at in range(0, len(points), 4096):
+            x = points[at : at + 4096]
+            own = np.argmax(x @ centres.T, axis=1)
+            order = np.argsort(own, kind="stable")
+            used, begin = np.unique(own[order], return_index=True)
+            total[used] += np.add.reduceat(x[order], begin, axis=0)
+            count += np.bincount(own, minlength=cells)
+        size = np.linalg.norm(total, axis=1)
+        lost = (count == 0) | (size < 1e-9)
+        total[lost] = points[rng.integers(len(points), size=int(lost.sum()))]
+        size[lost] = 1.0
+        centres = (total / size[:, None]).astype(np.float32)
+    return centres
+
+
+def planned(points: np.ndarray, count: int, asked: np.ndarray, true: np.ndarray, of: np.ndarray, target: float, leaf: int, rng: np.random.Generator) -> Cells:
+    """The cheapest cells that keep ``target`` of the true neighbours ``true`` of the held-out vectors.
+
+    ``of`` is the row of ``asked`` that each row of ``true`` belongs to. Tried are cells of about
+    ``leaf`` vectors, of four times as many, and so on to one cell.
+    """
+    best, least = None, np.inf
+    cells = min(max(1, round(count / leaf)), max(1, len(points) // 8), max(1, round(4 * count**0.5)))
+    while best is None or cells >= 1:
+        centres = centres_of(points, cells, rng)
+        near = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+        rank = np.empty_like(near)
+        np.put_along_axis(rank, near, np.broadcast_to(np.arange(cells), near.shape).copy(), axis=1)
+        home = np.argmax(true @ centres.T, axis=1)
+        needed = np.sort(rank[of, home]) + 1
+        probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) if len(needed) else 1
+        # A row that is sent costs about as much as _ROW products.
+        cost = _ROW * probes + count * probes / cells
+        if cost < least:
+            held = np.bincount(np.concatenate([np.argmax(points[at : at + 4096] @ centres.T, axis=1) for at in range(0, len(points), 4096)]), minlength=cells) * (count / len(points))
+            best, least = Cells(centres, probes, np.maximum(1, np.ceil(held * probes / _ASKING)).astype(np.int64), float((needed <= probes).mean()) if len(needed) else 1.0), cost
+        if cells == 1:
+            break
+        cells = max(1, cells // 4)
+    return best
+
+
+def _exact(held, k: int):
+    """Of each held-out vector the k most similar rows of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, best = held.value, {}
+        for batch in batches:
+            spaces = np.array(batch.column(1).to_pylist())
+            ids, units = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            for s in np.unique(spaces):
+                own, asked = known[s]
+                rows = np.flatnonzero(spaces == s)
+                x = np.frombuffer(b"".join(units[r] for r in rows), np.float32).reshape(len(rows), -1)
+                score = asked @ x.T
+                score[own[:, None] == ids[rows][None, :]] = -2
+                top = np.argsort(-score, axis=1)[:, :k]
+                new = (np.take_along_axis(score, top, axis=1), ids[rows][top], x[top])
+                old = best.get(s)
+                if old is not None:
+                    new = tuple(np.concatenate([p, q], axis=1) for p, q in zip(old, new))
+                    top = np.argsort(-new[0], axis=1)[:, :k]
+                    new = (np.take_along_axis(new[0], top, axis=1), np.take_along_axis(new[1], top, axis=1), np.take_along_axis(new[2], top[:, :, None], axis=1))
+                best[s] = new
+        for s, (score, ids, x) in best.items():
+            r, c = np.nonzero(score > -2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([str(s)] * len(r), pa.string()), pa.array(r.astype(np.int32)), pa.array(ids[r, c]), pa.array(score[r, c]), pa.array([v.tobytes() for v in x[r, c]], pa.binary())],
+                names=["space", "q", "b", "similarity", "unit"],
+            )
+
+    return run
+
+
+def _send(plans):
+    """Each vector to its cell as a member (to all parts of the cell) and to the cells it searches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = plans.value
+        for batch in batches:
+            spaces = np.array(batch.column(1).to_pylist())
+            ids, units = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            for s in np.unique(spaces):
+                number, plan = known[s]
+                where = np.flatnonzero(spaces == s)
+                for at in range(0, len(where), 1024):
+                    rows = where[at : at + 1024]
+                    x = np.frombuffer(b"".join(units[r] for r in rows), np.float32).reshape(len(rows), -1)
+                    score = x @ plan.centres.T
+                    home = np.argmax(score, axis=1)
+                    score[np.arange(len(rows)), home] = np.inf
+                    cells = np.argpartition(-score, plan.probes - 1, axis=1)[:, : plan.probes]
+                    part = (ids[rows][:, None] % plan.parts[cells]).ravel()
+                    r, cell = np.repeat(np.arange(len(rows)), plan.probes), cells.ravel()
+                    member = cell == home[r]
+                    asks = np.ones(len(r), bool)
+                    copies = plan.parts[home] - 1  # the parts of its cell in which it is a member only
+                    if copies.any():
+                        extra = np.repeat(np.arange(len(rows)), copies)
+                        nth = np.arange(len(extra)) - np.repeat(np.cumsum(copies) - copies, copies)
+                        mine = ids[rows][extra] % plan.parts[home[extra]]
+                        r, cell, part = np.concatenate([r, extra]), np.concatenate([cell, home[extra]]), np.concatenate([part, nth + (nth >= mine)])
+                        member, asks = np.concatenate([member, np.ones(len(extra), bool)]), np.concatenate([asks, np.zeros(len(extra), bool)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((np.int64(number) << 40) + (cell << 16) + part), pa.array(ids[rows][r]), pa.array(member), pa.array(asks), pa.array([units[i] for i in rows[r]], pa.binary())],
+                        names=["leaf", "v", "member", "asks", "unit"],
+                    )
+
+    return run
+
+
 def vector_rows(df: DataFrame, key: str = "key", embedding: str = "embedding") -> DataFrame:
     """``key, space, v, embedding``: v is a hash of space and vector; unusable rows are dropped."""
     parts = F.split(F.col(key), "::")
@@ -209,35 +347,75 @@ def vector_rows(df: DataFrame, key: str = "key", embedding: str = "embedding") -
     return rows.select(F.col(key).alias("key"), space.alias("space"), F.xxhash64(space, F.col(embedding)).alias("v"), F.col(embedding).alias("embedding"))
 
 
-def class_pairs(rows: DataFrame, k: int, least: float = -1.0, trees: int = 4, leaf: int = 1024, probes: int = 8, sample: int = 100_000, seed: int = 11) -> DataFrame:
-    """``a, b, similarity`` between vector classes, found by the forest.
-
-    With ``least`` all pairs found of at least that similarity, each once or twice; else the k
-    best of each query and leaf. ``least`` searches carry half-precision vectors.
-    """
-    spark = rows.sparkSession
-    ship(spark)
-    half = least > -1
-    kind = "<f2" if half else "<f4"
+def _units(rows: DataFrame, half: bool) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """The unit vectors of all classes, and the spaces with their numbers of classes."""
+    ship(rows.sparkSession)
     units = rows.select("v", "space", "embedding").mapInArrow(lambda b: _unit(b, half), "v bigint, space string, unit binary")
     units = staged(units.groupBy("v", "space").agg(F.first("unit").alias("unit")), "unit-vectors")
     sizes = units.groupBy("space").count().limit(MAX_SPACES + 1).collect()  # bounded
     if len(sizes) > MAX_SPACES:
         raise ValueError(f"more than {MAX_SPACES} models and dimensions")
+    return units, sorted(tuple(r) for r in sizes)
+
+
+def _sampled(units: DataFrame, space: str, count: int, sample: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of at most about ``sample`` classes of a space, chosen by hash."""
+    part = units.where(F.col("space") == space)
+    step = max(1, -(-count // sample))
+    part = part.where(F.pmod(F.xxhash64("v"), F.lit(step)) == 0) if step > 1 else part
+    held = part.select("v", "unit").limit(2 * sample).toArrow()
+    return held.column(0).to_numpy(), np.frombuffer(b"".join(held.column(1).to_pylist()), kind).reshape(held.num_rows, -1).astype(np.float32)
+
+
+def class_pairs(rows: DataFrame, least: float, trees: int = 4, leaf: int = 1024, probes: int = 8, sample: int = 100_000, seed: int = 11) -> DataFrame:
+    """``a, b, similarity`` of vector classes of at least that similarity found by the forest,
+    each once or twice. Vectors are carried in half precision."""
+    spark = rows.sparkSession
+    units, sizes = _units(rows, True)
     indexes = {}
-    for number, (space, count) in enumerate(sorted(tuple(r) for r in sizes)):
-        part = units.where(F.col("space") == space)
-        step = max(1, -(-count // sample))
-        part = part.where(F.pmod(F.xxhash64("v"), F.lit(step)) == 0) if step > 1 else part
-        held = part.select("unit").limit(2 * sample).toArrow().column(0).to_pylist()
-        points = np.frombuffer(b"".join(held), kind).reshape(len(held), -1).astype(np.float32)
+    for number, (space, count) in enumerate(sizes):
+        _, points = _sampled(units, space, count, sample, "<f2")
         rng = np.random.default_rng([seed, number])
         small = max(8.0, leaf * len(points) / count)
         indexes[space] = (number, Index.of([grow(points, small, rng) for _ in range(trees)]))
     if not indexes:
         return spark.createDataFrame([], "a bigint, b bigint, similarity float")
-    routed = units.mapInArrow(_route(spark.sparkContext.broadcast(indexes), probes, kind), "leaf bigint, v bigint, member boolean, unit binary")
-    return routed.groupBy("leaf").applyInArrow(_search_leaf(k, least, kind), "a bigint, b bigint, similarity float")
+    routed = units.mapInArrow(_route(spark.sparkContext.broadcast(indexes), probes, "<f2"), "leaf bigint, v bigint, member boolean, unit binary")
+    return routed.groupBy("leaf").applyInArrow(_search_leaf(0, least, "<f2"), "a bigint, b bigint, similarity float")
+
+
+def plans_of(units: DataFrame, sizes: list[tuple[str, int]], k: int, target: float, leaf: int, sample: int, queries: int, seed: int) -> dict[str, tuple[int, Cells]]:
+    """The planned cells of each space; ``queries`` vectors of each are held out of the fit."""
+    fitted, held = {}, {}
+    for number, (space, count) in enumerate(sizes):
+        ids, points = _sampled(units, space, count, sample, "<f4")
+        order = np.lexsort((np.arange(len(ids)), ids))
+        ids, points = ids[order], points[order]
+        rng = np.random.default_rng([seed, number])
+        out = rng.permutation(len(ids))[: min(queries, len(ids) // 2)]
+        kept = np.setdiff1d(np.arange(len(ids)), out)
+        held[space], fitted[space] = (ids[out], points[out]), (points[kept], rng)
+    best = Window.partitionBy("space", "q").orderBy(F.col("similarity").desc(), "b")
+    true = units.mapInArrow(_exact(units.sparkSession.sparkContext.broadcast(held), k), "space string, q int, b bigint, similarity float, unit binary")
+    true = true.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("space", "q", "unit").toArrow()  # at most k * queries for each space
+    names, of, near = np.array(true.column(0).to_pylist()), true.column(1).to_numpy(), true.column(2).to_pylist()
+    out = {}
+    for number, (space, count) in enumerate(sizes):
+        (points, rng), own = fitted[space], np.flatnonzero(names == space)
+        x = np.frombuffer(b"".join(near[i] for i in own), np.float32).reshape(len(own), points.shape[1])
+        out[space] = (number, planned(points, count, held[space][1], x, of[own], target, leaf, rng))
+    return out
+
+
+def cell_pairs(rows: DataFrame, k: int, target: float = 0.95, leaf: int = 512, sample: int = 100_000, queries: int = 256, seed: int = 11) -> DataFrame:
+    """``a, b, similarity``: the k best of each vector class in each cell it searches."""
+    spark = rows.sparkSession
+    units, sizes = _units(rows, False)
+    if not sizes:
+        return spark.createDataFrame([], "a bigint, b bigint, similarity float")
+    plans = plans_of(units, sizes, k, target, leaf, sample, queries, seed)
+    sent = units.mapInArrow(_send(spark.sparkContext.broadcast(plans)), "leaf bigint, v bigint, member boolean, asks boolean, unit binary")
+    return sent.groupBy("leaf").applyInArrow(_search_leaf(k, -1.0, "<f4"), "a bigint, b bigint, similarity float")
 
 
 def similar_pairs(df: DataFrame, least: float, trees: int = 4, leaf: int = 1024, probes: int = 8, **kw) -> DataFrame:
@@ -247,7 +425,7 @@ def similar_pairs(df: DataFrame, least: float, trees: int = 4, leaf: int = 1024,
     stored vectors in double precision.
     """
     rows = vector_rows(df)
-    found = class_pairs(rows, 0, least - 0.002, trees, leaf, probes, **kw)
+    found = class_pairs(rows, least - 0.002, trees, leaf, probes, **kw)
     pairs = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     same = rows.groupBy("v").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("v")
@@ -266,10 +444,13 @@ def similar_pairs(df: DataFrame, least: float, trees: int = 4, leaf: int = 1024,
     return apart.unionByName(equal).where("similarity >= %r" % float(least))
 
 
-def nearest(df: DataFrame, k: int = 10, trees: int = 4, leaf: int = 4096, probes: int = 16, **kw) -> DataFrame:
-    """``key, neighbour, similarity, position``: the k most similar other keys of each key."""
+def nearest(df: DataFrame, k: int = 10, target: float = 0.95, leaf: int = 512, **kw) -> DataFrame:
+    """``key, neighbour, similarity, position``: the k most similar other keys of each key.
+
+    ``target`` is the share of true neighbours the plan keeps of held-out vectors.
+    """
     rows = vector_rows(df)
-    found = class_pairs(rows, k, -1.0, trees, leaf, probes, **kw).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    found = cell_pairs(rows, k, target, leaf, **kw)
     first = Window.partitionBy("a").orderBy(F.col("similarity").desc(), F.col("b"))
     best = staged(found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r"), "nearest-classes")
     names = staged(rows.select("v", "key").distinct(), "vector-keys")

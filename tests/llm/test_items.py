@@ -179,6 +179,32 @@ def test_nearest_recall(spark):
     assert all(len(v) == min(10, len(of[k])) for k, v in got.items()) and set(got) == set(of)
 
 
+def test_nearest_recall_holds_in_many_small_cells(spark):
+    n = 6000
+    x = np.random.default_rng(3).standard_normal((n, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    score = x @ x.T
+    np.fill_diagonal(score, -2)
+    true = np.argpartition(-score, 9, axis=1)[:, :10]
+    df = spark.createDataFrame([(f"{i}::m::24", [float(v) for v in x[i]]) for i in range(n)], "key string, embedding array<float>")
+    got = defaultdict(set)
+    for r in knn.nearest(df, 10, leaf=64).select("key", "neighbour").toLocalIterator():
+        got[int(r["key"].split("::")[0])].add(int(r["neighbour"].split("::")[0]))
+    assert sum(len(got[i] & set(map(int, true[i]))) for i in range(n)) >= 0.9 * 10 * n
+
+
+def test_queries_of_a_full_cell_are_split(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_ASKING", 200)
+    rows = [r for r in vector_table() if r[0] and r[0].count("::") == 2]
+    df = spark.createDataFrame(rows, "key string, embedding array<float>")
+    whole = {(r["key"], r["neighbour"]) for r in knn.nearest(df, 10, target=1.0, leaf=10_000).collect()}
+    want = defaultdict(list)
+    for (a, b), c in brute_neighbours(rows).items():
+        want[a].append((-round(c, 5), b))
+    assert len(whole) == sum(min(10, len(v)) for v in want.values())
+    assert sum((a, b) in whole for a, v in want.items() for _, b in sorted(v)[:10]) >= 0.99 * len(whole)
+
+
 # --- 6 ---
 
 
