@@ -89,6 +89,9 @@ _INTERNATIONAL = re.compile(r"(?:\+|00)\d[\d ()./-]{6,18}\d$")
 _TRUNK = re.compile(r"(?=(?:\D*\d){9})(?:\(?0\d{1,5}\)?(?:[ ./-]\d{2,8}){1,4}|0\d{9,10})$")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}$")
 _TAX = re.compile(r"\d{2} \d{3} \d{3} \d{3}$")
+#: A number in a longer run, between blanks or slashes; where two numbers of a run are set apart.
+_INSIDE = re.compile(r"(?<![^ /])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\d{3}-\d{2}-\d{4})(?![^ /])")
+_APART = re.compile(r"\s*/\s+|\s+/\s*|\s{2,}|\s+-+\s+|(?<=\d)\s+(?=\(\d)|(?<=\d{4}) (?=\d{1,2}/\d)")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}$|\d{1,2}[./]\d{1,2}[./]\d{2,4}$")
 _UP = r"[^\W\d_][\w'’-]*"
 _PLACE = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)"
@@ -181,29 +184,69 @@ def _emails(text: str, low: str, out: list[Candidate]) -> None:
             _add(out, "email", text, low, m.start(), m.end(), [1, 1, 0, 0])
 
 
+def _whole(run: str) -> bool:
+    return any(p.match(run) for p in (_NANP, _INTERNATIONAL, _TRUNK, _SSN, _TAX, _DATE))
+
+
+def _parts(run: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The numbers ``run[a:b]`` is made of, where several were written side by side."""
+    while a < b and not (run[a].isdigit() or run[a] in "+("):
+        a += 1
+    while a < b and not run[b - 1].isdigit():
+        b -= 1
+    piece = run[a:b]
+    if len(piece) < 7:
+        return
+    if not _whole(piece):
+        inner = _INSIDE.search(piece)
+        if inner:
+            yield a + inner.start(), a + inner.end()
+            yield from _parts(run, a, a + inner.start())
+            yield from _parts(run, a + inner.end(), b)
+            return
+        gap = _APART.search(piece)
+        if gap and (sum(c.isdigit() for c in piece) > 15 or _whole(piece[: gap.start()]) or _whole(piece[gap.end() :])):
+            yield from _parts(run, a, a + gap.start())
+            yield from _parts(run, a + gap.end(), b)
+            return
+        if sum(c.isdigit() for c in piece) > 15:
+            for m in re.finditer(r"(?<=\d)[ /]+(?=[\d(])", piece):
+                if _whole(piece[: m.start()]):
+                    yield a, a + m.start()
+                    yield from _parts(run, a + m.end(), b)
+                    return
+    yield a, b
+
+
 def _numbers(text: str, low: str, out: list[Candidate]) -> None:
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        if end - start < 7:
-            continue
-        if start and (text[start - 1].isalnum() or text[start - 1] in ".,_/#@$€£") or end < len(text) and (text[end].isalnum() or text[end] in "_@" or text[end] == "," and text[end + 1 : end + 2].isdigit()):
+        if m.end() - m.start() < 7:
             continue
-        run = re.sub(r"[\r\n>]+ ?", " ", text[start:end]).replace(" ", " ")
-        if "(" in run and ")" not in run:
-            start, run = start + run.index("(") + 1 if run[0] == "(" else start, run.lstrip("(")
-        digits = sum(c.isdigit() for c in run)
-        if not 7 <= digits <= 15 or _DATE.match(run):
-            continue
-        context = _context(low, start, end)
-        before, after = context
-        no = _any(before[-3:], _SETS["no"]) or _any(after[:2], _SETS["noa"])
-        phone = bool(_NANP.match(run) or _INTERNATIONAL.match(run) or _TRUNK.match(run))
-        idlike = bool(_SSN.match(run) or _TAX.match(run))
-        if not phone and not idlike and (no or not _any(before, _SETS["pb"]) and not _any(before, _SETS["ib"])):
-            continue
-        near_id, near_phone = _any(before, _SETS["ib"]), _any(before, _SETS["pb"]) or before[-1:] == ["on"]
-        _add(out, "phone", text, low, start, end, [1 if phone and not _SSN.match(run) else -1, 1 if near_phone else 0, 1 if _any(after, _SETS["pa"]) else 0, -1 if no else 0, -1 if idlike or near_id and not near_phone else 0], context)
-        _add(out, "id_number", text, low, start, end, [1 if idlike else -1, 1 if near_id else 0, 1 if _any(after, _SETS["ia"]) else 0, -1 if no else 0, -1 if phone and not near_id else 0], context)
+        marks = list(re.finditer(r"[\r\n>]+ ?|.", m.group(), re.S))
+        run = "".join(" " if x.group()[0] in "\r\n>\xa0" else x.group() for x in marks)
+        at = [m.start() + x.start() for x in marks] + [m.end()]
+        for a, b in _parts(run, 0, len(run)):
+            _number(text, low, at[a], at[b - 1] + 1, run[a:b], out)
+
+
+def _number(text: str, low: str, start: int, end: int, run: str, out: list[Candidate]) -> None:
+    if start and (text[start - 1].isalnum() or text[start - 1] in ".,_/#@$€£") or end < len(text) and (text[end].isalnum() or text[end] in "_@" or text[end] == "," and text[end + 1 : end + 2].isdigit()):
+        return
+    if "(" in run and ")" not in run:
+        start, run = start + run.index("(") + 1 if run[0] == "(" else start, run.lstrip("(")
+    digits = sum(c.isdigit() for c in run)
+    if not 7 <= digits <= 15 or _DATE.match(run):
+        return
+    context = _context(low, start, end)
+    before, after = context
+    no = _any(before[-3:], _SETS["no"]) or _any(after[:2], _SETS["noa"])
+    phone = bool(_NANP.match(run) or _INTERNATIONAL.match(run) or _TRUNK.match(run))
+    idlike = bool(_SSN.match(run) or _TAX.match(run))
+    if not phone and not idlike and (no or not _any(before, _SETS["pb"]) and not _any(before, _SETS["ib"])):
+        return
+    near_id, near_phone = _any(before, _SETS["ib"]), _any(before, _SETS["pb"]) or before[-1:] == ["on"]
+    _add(out, "phone", text, low, start, end, [1 if phone and not _SSN.match(run) else -1, 1 if near_phone else 0, 1 if _any(after, _SETS["pa"]) else 0, -1 if no else 0, -1 if idlike or near_id and not near_phone else 0], context)
+    _add(out, "id_number", text, low, start, end, [1 if idlike else -1, 1 if near_id else 0, 1 if _any(after, _SETS["ia"]) else 0, -1 if no else 0, -1 if phone and not near_id else 0], context)
 
 
 def _codes(text: str, low: str, start: int, seen: set, out: list[Candidate]) -> None:

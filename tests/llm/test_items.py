@@ -49,6 +49,18 @@ def test_personal_information(spark):
         assert clean[i]["redacted"] == out + text[at:]
 
 
+@pytest.mark.parametrize(
+    "text, numbers",
+    [
+        ("call 555-123-4567 / 555-987-6543 now", ["555-123-4567", "555-987-6543"]), ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("(555) 123-4567 24/7", ["(555) 123-4567"]), ("555-123-4567 - 2 slots", ["555-123-4567"]), ("555-123-4567 - 2nd slot", ["555-123-4567"]),
+        ("01 99 00 76 52 / 01 99 00 76 53", ["01 99 00 76 52", "01 99 00 76 53"]), ("01 99 00 76 52 01 99 00 76 53", ["01 99 00 76 52", "01 99 00 76 53"]), ("Ruf +49 30 1234567 / 030 7654321 an", ["+49 30 1234567", "030 7654321"]), ("(555) 123-4567 (555) 987-6543", ["(555) 123-4567", "(555) 987-6543"]),
+        ("946-23-4604 555-123-4567", ["946-23-4604", "555-123-4567"]), ("(555) 123\n> 4567 555-987-6543", ["(555) 123\n> 4567", "555-987-6543"]), ("Post 899930620079940020 got 2 saves", []), ("Call 01 99 00 76 52 if", ["01 99 00 76 52"]),
+    ],
+)
+def test_numbers_side_by_side(text, numbers):
+    assert sorted({text[a:b] for k, a, b, _, _ in pii.candidates(text, pii.automaton()) if k in ("phone", "id_number")}) == sorted(numbers)
+
+
 def test_personal_information_in_nothing(spark):
     df = spark.createDataFrame([], "id bigint, field string, text string")
     assert pii.occurrences(pii.personal_spans(df)).count() == 0
