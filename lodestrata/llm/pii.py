@@ -2,7 +2,8 @@
 
 1. One pass over whole texts finds candidate spans of five types with generous patterns: e-mail
    addresses in any notation, groups of digits and of digit words, street addresses, first
-   names followed by another name. Each candidate carries the votes of its type's labelers
+   names followed by another name, and capitalised pairs with another first word where a title
+   or a word said of persons stands next to them. Each candidate carries the votes of its type's labelers
    (regular expressions, gazetteers, context words before and after, counter-evidence such as
    file names, order numbers or typefaces; each says yes, no, or abstains) and its features.
 2. Expectation-maximisation over the counts of all vote patterns estimates the reliability of
@@ -51,6 +52,21 @@ Mei Michael Miguel Mikael Mireia Mohammed Nadia Naomi Natalia Niklas Nikolai Nin
 Oscar Pablo Paola Patricia Paul Pavel Pedro Peter Petra Pierre Priya Rafael Rahul Raquel Ravi Robert Ruben Ruth Salma
 Samira Samuel Sara Sebastian Silas Simone Sofia Solveig Søren Stefan Sven Takeshi Tariq Tatiana Teodor Teresa Theo Thomas
 Tobias Tomas Valentina Vera Viktor Wei William Yara Yasmin Youssef Yuki Yusuf Zainab Zofia
+Aaron Abigail Adrian Agnes Alan Albert Alejandro Alessandro Alex Alexander Alexandra Alfred Alfredo Alina Allison Amanda Amy
+Andrew Angela Anita Ann Anne Anthony Arthur Axel Barbara Beatrice Benjamin Bernd Bernhard Birgit Brandon Brian Brigitte
+Britta Bruce Camila Carolina Caroline Céline Charles Charlotte Christian Christina Christine Christopher Clara Clémence Cristina
+Cynthia Daniel Daniela Deborah Denise Dennis Diana Dieter Dirk Dorothy Eduardo Edward Eleanor Eleni Elizabeth Emily
+Eric Ernesto Esteban Eugene Fabian Fatou Federico Felicia Finn Fiona Francisco François Franz Friedrich Gary Geoffrey
+George Gerhard Gertrud Giorgio Giovanni Gonzalo Graham Gregory Guillermo Günter Hanna Harold Harry Hélène Helen Helga Henry
+Horst Ignacio Ingo Isabelle Jacob Jacques Jake Jana Janet Jasmin Jason Jean Jeffrey Jennifer Jens Jeremy Jessica
+Joachim Joanna Joan Joel Jonas Jonathan Joseph Joshua Josef Juliette Julian Julien Julie Justin Karen Karl Katharina Katherine Kathrin
+Katie Keith Kelly Kenneth Kevin Kim Kimberly Larry Laurent Lena Leon Léa Linda Lisa Lorenzo Louis Louise Lukas Luke
+Lydia Maja Manfred Marcel Marco Marcus Margaret Margot Markus Mathieu Matthew Matthias Megan Melanie Melissa Michelle Miriam
+Mohamed Monica Monika Moritz Muhammad Nancy Natalie Nathan Nicholas Nicolas Nicole Noah Olivia Owen Pamela Pascal Patrick Paula
+Philip Philipp Philippe Rachel Raphael Raymond Rebecca Renate Ricardo Richard Roberto Roger Ronald Rosa Roxane Ryan Sabine
+Samantha Sandra Sarah Scott Sergio Sharon Silvia Simon Sophia Sophie Stefanie Stephanie Stephen Steven Susan Susanne Sylvia
+Theresa Thierry Thorsten Timothy Tina Tom Tyler Ulrich Ursula Uwe Vanessa Véronique Victor Victoria Vincent Virginia Walter
+Werner Wolfgang Xavier Yvonne Zachary Zoe
 """.split()
 DIGIT_WORDS = """
 zero oh nought one two three four five six seven eight nine double triple
@@ -59,7 +75,7 @@ cero uno dos tres cuatro cinco seis siete ocho nueve
 """.split()
 STREET_WORDS = """
 road rd street st lane ln avenue ave drive court crescent terrace boulevard blvd square close parkway highway
-straße strasse str weg gasse platz allee rue chemin impasse quai place calle avenida paseo plaza carrera camino via viale
+way circle grove row trail mews gardens walk alley straße strasse str weg gasse platz allee rue chemin impasse quai place calle avenida paseo plaza carrera camino via viale
 """.split()
 FILE_ENDINGS = "png jpg jpeg gif svg webp pdf psd mp4 mov zip css html js ttf otf woff".split()
 TYPEFACE_WORDS = "serif sans grotesk grotesque mono display slab script condensed regular bold italic font typeface variable".split()
@@ -70,6 +86,11 @@ ID_AFTER = "clearly plain comments text".split()
 ADDRESS_BEFORE = "address adresse dirección addr ship prints to at moved film come by parcel deliver send live lives office studio visit wohnt".split()
 PERSON_BEFORE = "client by to for with mit as dr prof mr mrs ms herr frau sr sra mme parcel ask thanks together avec von con ask met fragt".split()
 PERSON_AFTER = "told answers hated writes wrote says said im in overnight for on hello".split()
+#: Of these a title, or a word said of persons only, is enough beside a capitalised pair of any words.
+PERSON_SURE = "client by thanks ask met fragt said says told together freelancer designer colleague boss friend named called mentor editor kundin kunde cliente clienta".split()
+PERSON_THEN = "told answers hated writes wrote says said".split()
+#: Street words that are common words too: the street's name is capitalised, or a code follows.
+STREET_COMMON = "way place circle grove row trail mews gardens walk alley".split()
 NUMBER_NO = "order post preset version price iso sku ref invoice item page ticket build v $ € £ # # bestellung pedido commande".split()
 ARTICLES = "the a an el un una la los las del al cada sin dejan der die das den dem ein eine einen kein le les une ce chaque il lo".split()
 NUMBER_NO_AFTER = "got saves beats iso arrived px pixels pt usd eur percent %".split()
@@ -97,13 +118,15 @@ _UP = r"[^\W\d_][\w'’-]*"
 _PLACE = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)"
 #: Street words that are written as the end of a longer word.
 _SUFFIXES = frozenset("straße strasse str weg gasse platz allee".split())
-_EN = re.compile(rf"(?<![\w.,-])(\d{{1,5}}[a-z]?){_GAP}((?:{_UP}{_GAP}){{1,3}}?)(road|rd|street|st|lane|ln|avenue|ave|drive|court|crescent|terrace|boulevard|blvd|square|close|parkway|highway)\b\.?", re.I)
+_EN = re.compile(rf"(?<![\w.,-])(\d{{1,5}}[a-z]?){_GAP}((?:{_UP}{_GAP}){{1,3}}?)(road|rd|street|st|lane|ln|avenue|ave|drive|court|crescent|terrace|boulevard|blvd|square|close|parkway|highway|way|place|circle|grove|row|trail|mews|gardens|walk|alley)\b\.?", re.I)
 _EN_TAIL = re.compile(rf"(?:,?{_GAP}(?:apt|apartment|suite|unit|flat)\.?{_GAP}\w+)?(?P<town>,{_GAP}?{_PLACE}(?:{_GAP}(?-i:[A-ZÀ-Þ])[^\W\d_]+(?!\w))?)?(?P<code>,?{_GAP}(?:[A-Z]{{2}}{_GAP}\d{{5}}|[A-Z]{{1,2}}\d[\dA-Z]?{_GAP}\d[A-Z]{{2}}))?", re.I)
 _LOW_TAIL = re.compile(rf"(?:{_GAP}(?:apt|apartment|suite|unit|flat)\.?{_GAP}\w+)?{_GAP}(?P<town>{_PLACE})(?P<code>{_GAP}(?:[a-z]{{2}}{_GAP}\d{{5}}|[a-z]{{1,2}}\d[\da-z]?{_GAP}\d[a-z]{{2}}))", re.I)
 _DE = re.compile(rf"({_UP}(?:straße|strasse|str\.|weg|gasse|platz|allee)|{_UP}{_GAP}(?:straße|strasse|weg|gasse|platz|allee)){_GAP}(\d{{1,4}}[a-z]?)\b(?P<town>,?{_GAP}\d{{4,5}}{_GAP}{_UP})?", re.I)
 _FR = re.compile(rf"(\d{{1,4}}),?{_GAP}(?:bis{_GAP})?(?:rue|avenue|boulevard|chemin|impasse|quai|place|allée){_GAP}(?:(?:de{_GAP}la|de|du|des|d'|l'){_GAP}?)?{_UP}(?P<town>,?{_GAP}\d{{5}}{_GAP}{_UP})?", re.I)
 _ES = re.compile(rf"(?:calle|avenida|paseo|plaza|carrera|camino|via|viale){_GAP}(?:(?:de{_GAP}la|de|del){_GAP})?{_UP}(?:{_GAP}{_UP})?{_GAP}?,?{_GAP}?(\d{{1,4}})\b(?P<town>,?{_GAP}\d{{4,5}}{_GAP}{_UP})?", re.I)
 _NAME_TAIL = re.compile(rf"(?:{_GAP}(?P<initial>[^\W\d_]\.?))?{_GAP}(?P<family>(?:(?:van|von|de|del|della|di|da|le|la|bin|al|el|O['’]|Mc){_GAP}?){{0,2}}[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)?)")
+_TITLE = re.compile(rf"(?:^|[^\w])(?:dr|prof|mr|mrs|ms|mx|herr|frau|sr|sra|srta|mme|mlle|don|doña)\.?{_GAP}$")
+_PAIR = re.compile(rf"(?<![\w@./+#'’-])(?-i:[A-ZÀ-Þ])[^\W\d_]+(?:['’-][^\W\d_]+)*(?={_GAP}[^\W\d_])")
 _WORD = re.compile(r"[\w'’-]+|[^\w\s]")
 
 
@@ -143,7 +166,8 @@ def _any(words: list[str], listed) -> bool:
     return any(w in listed for w in words)
 
 
-_SETS = {k: frozenset(v) for k, v in {"pb": PHONE_BEFORE, "pa": PHONE_AFTER, "ib": ID_BEFORE, "ia": ID_AFTER, "ab": ADDRESS_BEFORE, "nb": PERSON_BEFORE, "na": PERSON_AFTER, "no": NUMBER_NO, "noa": NUMBER_NO_AFTER, "face": TYPEFACE_WORDS, "article": ARTICLES}.items()}
+_SETS = {k: frozenset(v) for k, v in {"pb": PHONE_BEFORE, "pa": PHONE_AFTER, "ib": ID_BEFORE, "ia": ID_AFTER, "ab": ADDRESS_BEFORE, "nb": PERSON_BEFORE, "na": PERSON_AFTER, "no": NUMBER_NO, "noa": NUMBER_NO_AFTER, "face": TYPEFACE_WORDS, "article": ARTICLES, "sure": PERSON_SURE, "then": PERSON_THEN, "street": [*STREET_WORDS, "calle"], "common": STREET_COMMON}.items()}
+_NO_NAME = frozenset([*PERSON_BEFORE, *PERSON_SURE, *ARTICLES, *STREET_WORDS, *TYPEFACE_WORDS, *ADDRESS_BEFORE, *PHONE_BEFORE, *NUMBER_NO, *DIGIT_WORDS, *"i we you he she they it my your our his her their and or but this that these those when if then now big many also new".split()])
 
 
 def _features(kind: str, span: str, before: list[str], after: list[str], votes: list[int]) -> list[int]:
@@ -302,6 +326,8 @@ def _addresses(text: str, low: str, at: int, seen: set, out: list[Candidate]) ->
                 if tail.group("town") is None:
                     tail = _LOW_TAIL.match(text, end) or tail
                 town = bool(tail.group("town"))
+                if m.group(3).lower() in _SETS["common"] and not (town and tail.group("code")) and not all(w[0].isupper() for w in [*m.group(2).split(), m.group(3)]):
+                    continue
                 end = tail.end() if town or tail.group("code") else tail.end()
             context = _context(low, m.start(), end)
             before, after = context
@@ -309,7 +335,7 @@ def _addresses(text: str, low: str, at: int, seen: set, out: list[Candidate]) ->
             _add(out, "address", text, low, m.start(), end, [1 if town else -1, 1 if _any(before, _SETS["ab"]) else 0, -1 if grid else 0, 1 if town and re.search(r"\d", text[m.end() - 8 : end]) else 0, 1 if pattern is not _EN else 0], context)
 
 
-def _persons(text: str, low: str, start: int, end: int, out: list[Candidate]) -> None:
+def _persons(text: str, low: str, start: int, end: int, out: list[Candidate], listed: bool = True) -> None:
     if start and (text[start - 1].isalnum() or text[start - 1] in "@._-+/#'") or end < len(text) and text[end] in "@._+/":
         return
     first = text[start:end]
@@ -322,7 +348,14 @@ def _persons(text: str, low: str, start: int, end: int, out: list[Candidate]) ->
     up = first[0].isupper()
     cased = 1 if up and head[0].isupper() else -1 if up else 0
     closed = -1 if head.lower() in _SETS["face"] or _any(before[-1:], ("set",)) else 0
-    near, then = _any(before[-2:], _SETS["nb"]), _any(after[:1], _SETS["na"]) or after[:1] == [","]
+    titled = bool(_TITLE.search(low, max(0, start - 8), start))
+    if not listed:
+        sure = titled or _any(before[-2:], _SETS["sure"]) or _any(after[:1], _SETS["then"])
+        if not sure or first.isupper() and not titled or not head[0].isupper() or head.lower() in _NO_NAME or first.lower() in _NO_NAME or before[-1:] and before[-1].isdigit() or after[:1] and after[0].isdigit():
+            return
+        if head.lower() in _FIRST and not titled and _NAME_TAIL.match(text, m.end()):  # the next word begins the name
+            return
+    near, then = titled or _any(before[-2:], _SETS["nb"]) or not listed and _any(before[-2:], _SETS["sure"]), _any(after[:1], _SETS["na"]) or after[:1] == [","]
     common = -1 if _any(before[-1:], _SETS["article"]) or not up and not near and not then else 0
     votes = [cased, 1 if near else 0, 1 if then else 0, closed, 1 if m.group("initial") else 0, common]
     _add(out, "person", text, low, start, m.end(), votes, (before, after + [f"f:{head.lower()}"]))
@@ -358,6 +391,9 @@ def candidates(text: str, finder: ahocorasick.Automaton) -> list[Candidate]:
             _persons(text, low, start, end, out)
         if "i" in kinds:
             _codes(text, low, end, seen, out)
+    for m in _PAIR.finditer(text):
+        if m.group().lower() not in _FIRST:
+            _persons(text, low, m.start(), m.end(), out, listed=False)
     if len(digit_hits) >= 7:
         _digit_words(text, low, digit_hits, out)
     return out

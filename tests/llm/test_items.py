@@ -61,6 +61,20 @@ def test_numbers_side_by_side(text, numbers):
     assert sorted({text[a:b] for k, a, b, _, _ in pii.candidates(text, pii.automaton()) if k in ("phone", "id_number")}) == sorted(numbers)
 
 
+def test_names_and_streets_that_no_list_has(spark):
+    rng = random.Random(2)
+    odd = [
+        ("my client Daniel Weber hated the draft.", "Daniel Weber"), ("Ask for Dr. Sarah Brown about it.", "Sarah Brown"), ("Big thanks to Zenobia Quartermain for the edit.", "Zenobia Quartermain"), ("Ask for Mr. Tarquin Holloway about it.", "Tarquin Holloway"), ("Ask Max Bellweather for the file.", "Max Bellweather"),
+        ("Ship prints to 28 Windlass Way, Dunmarrow TQ9 6ZZ only.", "28 Windlass Way, Dunmarrow TQ9 6ZZ"), ("Ship prints to 7 Maple Grove, Dunmarrow TQ9 6ZZ only.", "7 Maple Grove, Dunmarrow TQ9 6ZZ"),
+    ]
+    none = ["Put 12 icons per row, then save.", "By Slate Grotesk nobody was hurt.", "The Big Poster hangs here.", "We went with Paper Lantern again."]
+    rows = [(i, "caption", "\n".join([rng.choice(FILLER), rng.choice(PERSONAL)[0]])) for i in range(300)]
+    rows += [(1000 + i, "caption", t) for i, (t, _) in enumerate(odd)] + [(2000 + i, "caption", t) for i, t in enumerate(none)]
+    found = pii.occurrences(pii.personal_spans(spark.createDataFrame(rows, "id bigint, field string, text string"))).where("id >= 1000").collect()
+    assert {(r["id"], odd[r["id"] - 1000][0][r["start"] : r["end"]]) for r in found if r["id"] < 2000} == {(1000 + i, span) for i, (_, span) in enumerate(odd)}
+    assert not [r for r in found if r["id"] >= 2000]
+
+
 def test_personal_information_in_nothing(spark):
     df = spark.createDataFrame([], "id bigint, field string, text string")
     assert pii.occurrences(pii.personal_spans(df)).count() == 0
