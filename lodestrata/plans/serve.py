@@ -185,8 +185,19 @@ def hybrid(lexical: Search, dense: Search | None, k: int = 60) -> Search:
 
 
 def per_record(search: Search) -> Search:
-    """The best chunk of each record, of the chunks that a search gives."""
-    return lambda query, top_k: best_per_record(search(query, top_k), [])
+    """The best chunk of each of the ``top_k`` best records: more chunks are asked for until they
+    hold so many records or no chunk is left."""
+
+    def run(query: str, top_k: int) -> DataFrame:
+        asked = top_k
+        while True:
+            hits = search(query, asked)
+            seen = hits.agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("records")).first()
+            if seen["records"] >= top_k or seen["n"] < asked:
+                return best_per_record(hits, []).where(F.col("rank") <= top_k)
+            asked *= 4
+
+    return run
 
 
 def rerank(hits: DataFrame, enabled: bool = False) -> DataFrame:

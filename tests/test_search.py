@@ -284,3 +284,13 @@ def test_cli(spark, corpus, records, tmp_path, capsys):
     assert code == 0 and out["hits"][0]["record_id"] == "r2"
     assert call("--get", "r1")[1]["record"]["id"] == "r1" and call("--schema")[1]["corpus"] == "c"
     assert call("--search", "x", "--params", '{"filters": {"nope": 1}}')[0] == 2
+
+
+def test_records_are_collapsed_before_the_cut(spark):
+    from lodestrata.plans.serve import per_record
+
+    rows = [(f"r{0 if i < 30 else i}", f"c{i:02}", 100.0 - i, i + 1) for i in range(34)]
+    table = spark.createDataFrame(rows, "record_id string, chunk_id string, score double, rank int")
+    search = per_record(lambda query, k: table.where(F.col("rank") <= k))
+    assert [(r["record_id"], r["rank"]) for r in search("q", 3).orderBy("rank").collect()] == [("r0", 1), ("r30", 2), ("r31", 3)]
+    assert search("q", 20).count() == 5
