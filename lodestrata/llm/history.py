@@ -2,23 +2,35 @@
 
 A ``History`` holds three tables in the shared folder, each bucketed on its key:
 
-``known``     one row for each exact key (content hash, digest of the word sequence, record id)
-              of accepted rows, with the smallest accepted row id;
-``prefixes``  the trie entries (see ``neardup``) of each accepted text, with size and sketch;
-``texts``     the accepted texts by row id, read only for rows that are in a candidate pair.
-
-``admit`` reads an arrival (one or several batches), joins its keys bucket by bucket with these
-tables (only the arrival is shuffled), decides, and appends the keys of the rows it accepts.
-The history is never hashed, tokenised or shuffled again.
-
-The method asked for was content hashes with paragraph hashes. Paragraph hashes cannot give
-the required result: a text whose every paragraph has a changed word shares none, and the
-transcripts are often one paragraph. The second key family here is therefore prefixes of
-min-hash bytes of three-word shingles; hashes of normalised content, bucketed tables,
-bucket-local joins and appending are as asked.
-
-Order: rows are taken by ``seq``. A row is refused if an accepted earlier row has the same
-content hash, the same words, or three-word similarity of at least the threshold.
+``known``       the exact keys (normalised content hash, digest of the word sequence, record id)
+                of accepted rows, with the smallest accepted row id;
+``paragraphs``  a 64-bit hash of each normalised paragraph of each accepted text;
+``texts``       the accepted texts by row id, read to verify candidates.
+
+A paragraph is the word sequence between two line breaks or sentence ends; one of more than
+12 words is cut again after words whose own hash says so (finer above 24 words), so that an edit
+in a transcript of one paragraph leaves the pieces around it as they were.
+
+``admit`` decides on one arrival and appends the keys of the rows it accepts:
+
+1. One pass over the arrival's texts gives digests and paragraph hashes.
+2. Semi-joins, bucket by bucket, find full copies (``known``) and shared paragraphs
+   (``paragraphs``). Only the arrival is shuffled; the history is never hashed, tokenised or
+   shuffled again.
+3. Shared-paragraph coverage: a candidate must share paragraphs of at least ``coverage`` of the
+   arriving text's words. By that bound a row may leave out its most frequent paragraphs, as
+   long as they hold no larger share (a prefix filter over document frequencies), so a
+   paragraph that a third of all rows have pairs nobody. A paragraph that still has more than
+   ``block`` accepted rows meets them in blocks of growing ids, and a row goes on to the next
+   block only while no smaller accepted row has been found for it.
+4. Candidates are verified exactly by the similarity of their word shingles.
+5. Within the arrival, rows that nothing in the history refuses are met in the same way. If
+   their candidate pairs were too many (a family of edited copies that arrives at once), the
+   arrival is cut in two by id: the first part is settled and appended, then refuses the rest.
+
+Order: rows are taken by ``id``, which must grow from arrival to arrival. A row is refused if an
+accepted earlier row has the same content hash, the same words, or three-word similarity of at
+least the threshold.
 
 Defined cases: a null or malformed content hash is no key; a row without words and without
 hash is always accepted; repeated rows of one arrival refuse each other in order; an empty
@@ -27,16 +39,27 @@ arrival or history gives empty tables; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import new_path, staged
-from . import neardup
+from ..session import discard, new_path, ship, staged
+from .shingles import WORD, WordHasher, _mix, sequence_digest, shingle_hashes
 
-_ROUNDS = 200
+_BREAK = re.compile(r"[\n\r.!?…。！？;؟।]+")
+#: Words above which a paragraph is cut, one word in how many ends a piece, the least words of a piece.
+CUTS = ((24, 3, 3), (12, 6, 4))
+#: Open rows with relations that one task may settle in order; beyond that rounds run as joins until fewer are open.
+MAX_IN_ONE_TASK = 200_000
+SIGNED = "id bigint, chash binary, rid string, digest binary, n int, w int, keys array<bigint>, lens array<int>"
 
 
 def normal_hash(value: Column) -> Column:
@@ -54,21 +77,101 @@ def _id_key(rid: Column) -> Column:
     return F.when(rid.isNotNull(), F.unhex(F.md5(F.concat(F.lit("id:"), rid))))
 
 
+def paragraphs(text: str, hasher: WordHasher) -> tuple[list[str], dict[int, int]]:
+    """The words of a text, and the hashes of its distinct paragraphs with their words."""
+    words, parts = [], []
+    for part in _BREAK.split(text.lower()):
+        w = WORD.findall(part)
+        if not w:
+            continue
+        words += w
+        every, least = next(((e, m) for long, e, m in CUTS if len(w) > long), (0, 0))
+        if not every:
+            parts.append(w)
+            continue
+        last = 0
+        for cut in [*(np.flatnonzero(_mix(hasher(w)) % np.uint64(every) == 0) + 1).tolist(), len(w)]:
+            if cut - last >= least or cut == len(w) > last:
+                parts.append(w[last:cut])
+                last = cut
+    long = [p for p in parts if len(p) >= 3] or ([words] if words else [])
+    return words, {xxhash.xxh3_64_intdigest(" ".join(p).encode("utf-8", "surrogatepass")): len(p) for p in long}
+
+
+def _sign(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                digests, ns, ws, keys, lens = [], [], [], [], []
+                for text in part.column(3).to_pylist():
+                    words, of = paragraphs(text or "", hasher)
+                    digests.append(sequence_digest(words) if words else None)
+                    ns.append(len(np.unique(shingle_hashes(hasher(words), shingle))))
+                    ws.append(sum(of.values()))
+                    keys.append(np.fromiter(of, np.uint64, len(of)).view(np.int64))
+                    lens.append(np.fromiter(of.values(), np.int32, len(of)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), pa.array(ns, pa.int32()), pa.array(ws, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(lens, pa.list_(pa.int32()))], names=[c.split()[0] for c in SIGNED.split(", ")])
+
+    return run
+
+
+def _similar(shingle: int, threshold: float):
+    """The pairs (a, b, x, y) of texts whose shingle sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, known, held = WordHasher(), {}, 0
+        for batch in batches:
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                keep = []
+                for r, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
+                    if held > 8_000_000:
+                        known, held = {}, 0
+                    for i, text in ((a, x), (b, y)):
+                        if i not in known:
+                            known[i] = np.unique(shingle_hashes(hasher(WORD.findall(text.lower())), shingle))
+                            held += len(known[i])
+                    common = len(np.intersect1d(known[a], known[b], assume_unique=True))
+                    if common >= threshold * (len(known[a]) + len(known[b]) - common):
+                        keep.append(r)
+                rows = pa.array(keep, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows)], names=["a", "b"])
+
+    return run
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settles nodes in order: taken unless a group it looks at has a taken member (the least is reported)."""
+    taken: dict[str, int] = {}
+    for batch in batches:
+        nodes, kept = batch.column(0).to_pylist(), []
+        for node, groups, looks in zip(nodes, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            by = [taken[g] for g in (*groups, *(looks or ())) if g in taken]
+            kept.append(min(by) if by else None)
+            if not by:
+                taken.update(dict.fromkeys(groups, node))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kept, pa.int64())], names=["node", "kept"])
+
+
 @dataclass
 class History:
-    """The accepted rows' tables. ``forest`` is fixed when the history begins."""
+    """The accepted rows' tables and the parameters of every later decision."""
 
     spark: SparkSession
-    forest: neardup.Forest
-    buckets: int = 24
+    threshold: float = 0.5
+    words: int = 3
+    coverage: float = 0.1
+    block: int = 256
+    pairs_per_row: int = 200
+    buckets: int = 0
     path: str = ""
     name: str = field(default_factory=lambda: f"history_{uuid.uuid4().hex[:12]}")
-    bucket_limit: int = 8192
 
     def __post_init__(self):
         self.path = self.path or new_path(self.spark, "history")
-        self.empty = True
-        self.hot: DataFrame | None = None
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.last_id: int | None = None
+        self.admitted_pairs: list[int] = []
 
     def _append(self, table: str, key: str, df: DataFrame) -> None:
         (
@@ -80,154 +183,232 @@ class History:
     def table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
 
-    def _entries(self, signed: DataFrame) -> DataFrame:
-        """Trie entries; which prefixes are lengthened was settled by the first rows."""
-        cols = ["id", "n", "s0", "s1", "s2", "s3"]
-        flat = neardup.flat_entries(signed)
-        if self.hot is None:
-            hot = staged(flat.groupBy("key").count().where(F.col("count") > self.bucket_limit).select("key"), "hot-prefixes")
-            self.hot = hot if not hot.isEmpty() else False
-        if self.hot is False:
-            return flat
-        longer = (
-            neardup.flat_entries(signed, "refine").join(self.hot, "key", "left_semi")
-            .select(*cols, "key", F.posexplode("refine").alias("sub", "more"))
-            .select(*cols, F.xxhash64("key", "sub", "more").alias("key"))
-        )
-        return flat.join(self.hot, "key", "left_anti").select(*cols, "key").unionByName(longer)
+    def append(self, signed: DataFrame, docs: DataFrame) -> None:
+        """Take accepted rows in; of rows of the same words the paragraphs and text of the first."""
+        last = signed.agg(F.max("id")).first()[0]
+        if last is None and self.last_id is not None:
+            return
+        keys = signed.select("id", F.explode(F.array("digest", "chash", _id_key(F.col("rid")))).alias("key")).where("key is not null")
+        firsts = signed.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "keys"), "id").alias("f")).select("f.*")
+        parts = (
+            ("known", "key", keys.groupBy("key").agg(F.min("id").alias("id"))),
+            ("paragraphs", "key", firsts.select("id", "n", F.explode("keys").alias("key"))),
+            ("texts", "id", docs.join(firsts.select("id"), "id", "left_semi").select("id", "text")),
+        )
+        with ThreadPool(len(parts)) as pool:  # three independent jobs
+            pool.starmap(self._append, parts)
+        self.last_id = max(x for x in (last, self.last_id, -(1 << 63)) if x is not None)
+
+    def close(self) -> None:
+        """Drop the tables and their files. Decisions that were returned stay readable."""
+        for t in ("known", "paragraphs", "texts"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{t}")
+        discard(self.spark, self.path)
+
 
-    def append(self, rows: DataFrame, signed: DataFrame, docs: DataFrame) -> None:
-        """Take accepted rows in. ``rows``: id, chash, digest, rid; ``signed``: their signatures."""
-        kinds = F.array(F.struct(F.lit("text").alias("kind"), F.col("digest").alias("key")), F.struct(F.lit("hash").alias("kind"), F.col("chash").alias("key")), F.struct(F.lit("id").alias("kind"), _id_key(F.col("rid")).alias("key")))
-        keys = rows.select("id", F.explode(kinds).alias("k")).select("id", "k.*").where("key is not null")
-        self._append("known", "key", keys.groupBy("kind", "key").agg(F.min("id").alias("id")))
-        firsts = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id")).select("id")
-        firsts = staged(firsts, "firsts")
-        self._append("prefixes", "key", self._entries(neardup.only(signed, firsts)))
-        self._append("texts", "id", neardup.only(docs, firsts).select("id", "text"))
-        self.empty = False
+def _read(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (
+        df.select(F.col("id").cast("bigint"), normal_hash(F.col("content_hash")).alias("chash"), normal_id(F.col("record_id")).alias("rid"), "text"),
+        df.select(F.col("id").cast("bigint"), "text"),
+    )
 
 
-def _arrival(df: DataFrame) -> DataFrame:
-    return df.select(F.col("id").cast("bigint"), F.col("seq").cast("bigint"), normal_hash(F.col("content_hash")).alias("chash"), normal_id(F.col("record_id")).alias("rid"), "text")
+def _signed(h: History, df: DataFrame) -> DataFrame:
+    ship(h.spark)
+    return staged(df.mapInArrow(_sign(h.words), SIGNED), "signed")
 
 
-def start(spark: SparkSession, accepted: DataFrame, threshold: float = 0.5, words: int = 3, recall: float = 0.99, texts_expected: int = 0, **kw) -> History:
+def start(spark: SparkSession, accepted: DataFrame, threshold: float = 0.5, words: int = 3, **kw) -> History:
     """A history of rows that are accepted whole.
 
-    Columns: ``id``, ``seq``, ``record_id``, ``content_hash``, ``text``. ``texts_expected`` is
-    the number of texts that the forest is planned for (at least those given).
+    Columns: ``id``, ``record_id``, ``content_hash``, ``text``. Further parameters are those of
+    ``History``: ``coverage`` (the share of a text's words in paragraphs that a near-duplicate
+    shares at least), ``block`` (accepted rows of one paragraph that are met at once),
+    ``pairs_per_row`` (candidate pairs a row within an arrival before it is cut).
     """
-    forest = neardup.plan_forest(max(texts_expected, accepted.count()), threshold, recall, words=words)
-    h = History(spark, forest, **kw)
-    docs = _arrival(accepted)
-    signed = staged(neardup.signatures(docs, forest), "signatures")
-    h.append(docs.drop("text").join(signed.select("id", "digest"), "id"), signed, docs)
+    h = History(spark, threshold, words, **kw)
+    full, docs = _read(accepted)
+    h.append(_signed(h, full), docs)
     return h
 
 
-def _near(h: History, heads: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links of the arrival's classes: (class, other) within it, (class, id) with history."""
-    forest = h.forest
-    tries = staged(h._entries(heads), "arrival-prefixes")
-    inner = (
-        tries.alias("p")
-        .join(tries.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & neardup.sketch_condition("p", "q", forest))
-        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    )
-    outer = (
-        tries.alias("p")
-        .join(h.table("prefixes").alias("q"), (F.col("p.key") == F.col("q.key")) & neardup.sketch_condition("p", "q", forest))
-        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    )
-    pairs = staged(inner.select("a", "b", F.lit(False).alias("old")).unionByName(outer.select("a", "b", F.lit(True).alias("old"))).distinct(), "candidates")
-    own = pairs.select("a").union(pairs.where("not old").select("b")).select(F.col("a").alias("id")).distinct()
-    old = pairs.where("old").select(F.col("b").alias("id")).distinct()
-    own, old = staged(own, "candidate-ids"), staged(old, "candidate-ids")
-    texts = neardup.only(docs.select("id", "text"), own).unionByName(neardup.only(h.table("texts"), old).select("id", "text"))
-    sets = staged(neardup.shingle_sets(texts, forest.words), "shingle-sets")
-    both = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        .withColumn("common", F.size(F.array_intersect("x", "y")))
-        .where(F.col("common") >= forest.threshold * (F.size("x") + F.size("y") - F.col("common")))
-        .select("a", "b", "old")
-    )
-    links = staged(both, "links")
-    return links.where("not old").select("a", "b"), links.where("old").select("a", "b")
+def _verified(h: History, pairs: DataFrame, docs: DataFrame, others: DataFrame) -> DataFrame:
+    """``a, b`` of the candidate pairs of similar texts; ``b``'s texts are met where they lie."""
+    left = docs.join(pairs.hint("shuffle_hash"), docs.id == pairs.a).select("a", "b", F.col("text").alias("x"))
+    both = others.select(F.col("id").alias("_b"), F.col("text").alias("y")).join(left.hint("shuffle_hash"), F.col("_b") == F.col("b"))
+    return both.select("a", "b", "x", "y").mapInArrow(_similar(h.words, h.threshold), "a bigint, b bigint")
 
 
-def admit(h: History, arrival: DataFrame, append: bool = True) -> DataFrame:
-    """Decide on an arrival: ``id, accepted, kept_id, known_id``.
+def _wanted(h: History, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The paragraphs by which each head must be looked for, and the history's rows that have them.
 
-    ``kept_id`` is the smallest id among the accepted rows that a refused row duplicates;
-    ``known_id`` tells whether its record id was accepted before (which refuses nothing).
-    Ids must differ from all ids of the history.
+    ``wanted``: id, n, key, len, before (accepted rows with it), beside (heads with it), need (words
+    still to be shared in wanted paragraphs)."""
+    flat = heads.select("id", "n", "w", F.explode(F.arrays_zip("keys", "lens")).alias("p")).select("id", "n", "w", F.col("p.keys").alias("key"), F.col("p.lens").alias("len"))
+    asked = flat.select("key").distinct().hint("shuffle_hash")
+    met = staged(h.table("paragraphs").join(asked, "key").select("key", "id", "n"), "met-paragraphs")
+    before = met.groupBy("key").agg(F.count(F.lit(1)).alias("before"))
+    beside = flat.groupBy("key").agg(F.count(F.lit(1)).alias("beside"))
+    rated = flat.join(beside.join(before, "key", "left"), "key").select("*", (F.col("beside") + F.coalesce("before", F.lit(0))).alias("df"))
+    order = Window.partitionBy("id").orderBy(F.col("df").desc(), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left_out = F.col("run") <= h.coverage * F.col("w")
+    spared = F.max(F.when(left_out, F.col("run")).otherwise(0)).over(Window.partitionBy("id"))
+    kept = rated.withColumn("run", F.sum("len").over(order)).withColumn("need", h.coverage * F.col("w") - spared).where(~left_out & (F.col("df") > 1))
+    return staged(kept.select("id", "n", "key", "len", F.coalesce("before", F.lit(0)).alias("before"), "beside", "need"), "wanted"), met
+
+
+def _sizes_fit(h: History, a: str, b: str) -> Column:
+    return (F.col(a) >= h.threshold * F.col(b)) & (F.col(b) >= h.threshold * F.col(a))
+
+
+def _older(h: History, wanted: DataFrame, met: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """``id, old``: for each head the smallest similar accepted row, if any."""
+    want = wanted.where("before > 0").select("id", "key", "len", "need", F.col("n").alias("na"), "before")
+    usual = want.where(F.col("before") <= h.block)
+    cand = (
+        usual.join(met.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(_sizes_fit(h, "na", "nb"))
+        .groupBy("id", "b").agg(F.sum("len").alias("shared"), F.first("need").alias("need"))
+    )
+    if most <= h.block:  # no paragraph is crowded, so all shared words are counted here
+        cand = cand.where("shared >= need")
+    pairs = cand.select(F.col("id").alias("a"), "b")
+    texts = h.table("texts")
+    if most <= h.block:
+        return staged(_verified(h, pairs, docs, texts).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old")), "older")
+
+    crowd = want.where(F.col("before") > h.block)
+    keys = crowd.select("key").distinct()
+    w = Window.partitionBy("key").orderBy("id")
+    first = met.join(keys, "key", "left_semi").withColumn("at", F.row_number().over(w)).where(F.col("at") <= h.block).drop("at")
+    met_first = crowd.join(first.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(_sizes_fit(h, "na", "nb")).select(F.col("id").alias("a"), "b")
+    pairs = staged(pairs.unionByName(met_first).distinct(), "candidates")
+    old = staged(_verified(h, pairs, docs, texts).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old")), "older")
+    low = h.block
+    while low < most:
+        # The next ids of each crowded paragraph, for the rows that could still find a smaller one.
+        high = low * 8
+        ranked = met.join(keys, "key", "left_semi").withColumn("at", F.row_number().over(w)).where(F.col("at") <= high).where(F.col("at") > low)
+        block = staged(ranked, "crowded-block")
+        begins = block.groupBy("key").agg(F.min("id").alias("begins"))
+        open_ = staged(crowd.where(F.col("before") > low).join(begins, "key").join(old, "id", "left").where("old is null or begins < old").select("id", "key", "na", "old"), "open-crowded")
+        if open_.isEmpty():
+            break
+        more = open_.join(block.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(_sizes_fit(h, "na", "nb") & F.expr("old is null or b < old")).select(F.col("id").alias("a"), "b").distinct()
+        found = _verified(h, staged(more, "candidates"), docs, texts).select(F.col("a").alias("id"), F.col("b").alias("old"))
+        old = staged(old.unionByName(found).groupBy("id").agg(F.min("old").alias("old")), "older")
+        low = high
+    return old
+
+
+def _in_order(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``node, kept`` of open nodes (node, class, chash): the least taken node that refuses it, or null.
+
+    As many as ``MAX_IN_ONE_TASK`` nodes are settled in order by one task. Of more, those without
+    any relation are taken at once, and rounds of joins settle the others (a node waits while an
+    earlier relative is open) until so few are left.
     """
-    docs = _arrival(arrival)
-    signed = staged(neardup.signatures(docs, h.forest), "signatures")
-    rows = staged(docs.drop("text").join(signed.select("id", "digest"), "id"), "arrival")
-
-    firsts = rows.where("digest is not null").groupBy("digest").agg(F.min_by("id", "seq").alias("class"))
-    rows = rows.join(firsts, "digest", "left")
-    nodes = staged(
-        rows.where("class is not null or chash is not null").groupBy("class", "chash", "digest").agg(F.min_by("id", "seq").alias("node"), F.min("seq").alias("seq")), "nodes"
-    )
-    known = h.table("known")
-    by_text = firsts.join(known.where("kind = 'text'"), firsts.digest == known.key).groupBy("class").agg(F.min("id").alias("old"))
-    hashes = nodes.where("chash is not null").select("chash").distinct()
-    by_hash = hashes.join(known.where("kind = 'hash'"), hashes.chash == known.key).groupBy("chash").agg(F.min("id").alias("old"))
-    heads = neardup.only(signed, staged(firsts.select(F.col("class").alias("id")), "firsts"))
-    inner, outer = _near(h, heads, docs)
-    by_class = by_text.select("class", "old").unionByName(outer.select(F.col("a").alias("class"), F.col("b").alias("old"))).groupBy("class").agg(F.min("old").alias("old_c"))
-    nodes = staged(
-        nodes.join(by_class, "class", "left").join(by_hash.withColumnRenamed("old", "old_h"), "chash", "left").select("node", "seq", "class", "chash", F.least("old_c", "old_h").alias("old")), "nodes"
-    )
-    # Groups whose accepted members a node must look at, and those it is a member of.
     group_c, group_h = F.concat(F.lit("c"), F.col("class").cast("string")), F.concat(F.lit("h"), F.hex("chash"))
-    member = nodes.select("node", "seq", F.explode(F.array(group_c, group_h)).alias("g")).where("g is not null")
-    around = inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    looks = staged(
-        member.select("node", "seq", "g").unionByName(nodes.join(around, F.col("class") == F.col("a")).select("node", "seq", F.concat(F.lit("c"), F.col("b").cast("string")).alias("g"))), "looks"
-    )
-    state = nodes.select("node", F.when(F.col("old").isNotNull(), 2).otherwise(0).alias("state"))
-    for _ in range(_ROUNDS):
-        of_group = (
-            member.join(state, "node")
-            .groupBy("g")
-            .agg(F.min(F.when(F.col("state") == 1, F.col("seq"))).alias("taken"), F.min(F.when(F.col("state") == 0, F.col("seq"))).alias("open"))
-        )
+    groups = F.filter(F.array(group_c, group_h), lambda g: g.isNotNull())
+    around = None
+    if links is not None:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        around = both.select(F.col("a").alias("class"), F.concat(F.lit("c"), F.col("b").cast("string")).alias("g"))
+    if nodes.limit(MAX_IN_ONE_TASK + 1).count() <= MAX_IN_ONE_TASK:
+        of_class = around.groupBy("class").agg(F.collect_set("g").alias("looks")) if around is not None else None
+        lists = nodes.join(of_class, "class", "left") if of_class is not None else nodes.withColumn("looks", F.lit(None).cast("array<string>"))
+        rows = lists.select("node", groups.alias("groups"), "looks")
+        return staged(rows.repartition(1).sortWithinPartitions("node").mapInArrow(_greedy, "node bigint, kept bigint"), "settled")
+    member = nodes.select("node", F.explode(groups).alias("g"))
+    looks = staged(member.unionByName(nodes.join(around, "class").select("node", "g")) if around is not None else member, "looks")
+    tied = staged(looks.join(looks.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "g", "left_semi").select("node").distinct(), "tied")
+    looks, member = looks.join(tied, "node", "left_semi"), staged(member.join(tied, "node", "left_semi"), "member")
+    state = tied.select("node", F.lit(0).alias("state"))
+    while True:
+        waiting = state.where("state = 0")
+        n = waiting.limit(MAX_IN_ONE_TASK + 1).count()
+        settled = state.where("state = 1").join(member, "node").select("g").distinct()
+        if n <= MAX_IN_ONE_TASK:
+            shut = looks.join(waiting, "node").join(settled, "g", "left_semi").select("node").distinct()
+            rest = waiting.join(shut, "node", "left_anti")
+            lists = member.join(rest, "node").groupBy("node").agg(F.collect_set("g").alias("groups")).join(looks.join(rest, "node").groupBy("node").agg(F.collect_set("g").alias("looks")), "node")
+            solved = lists.repartition(1).sortWithinPartitions("node").mapInArrow(_greedy, "node bigint, kept bigint").select("node", F.when(F.col("kept").isNull(), 1).otherwise(2).alias("state"))
+            state = staged(state.where("state <> 0").unionByName(shut.select("node", F.lit(2).alias("state"))).unionByName(solved), "state")
+            break
+        of_group = member.join(state, "node").groupBy("g").agg(F.min(F.when(F.col("state") == 1, F.col("node"))).alias("taken"), F.min(F.when(F.col("state") == 0, F.col("node"))).alias("open"))
         verdict = (
-            looks.join(state.where("state = 0"), "node").drop("state").join(of_group, "g")
-            .groupBy("node").agg(F.max(F.coalesce(F.col("taken") < F.col("seq"), F.lit(False))).alias("refused"), F.max(F.coalesce(F.col("open") < F.col("seq"), F.lit(False))).alias("waits"))
+            looks.join(waiting, "node").join(of_group, "g")
+            .groupBy("node").agg(F.max(F.coalesce(F.col("taken") < F.col("node"), F.lit(False))).alias("refused"), F.max(F.coalesce(F.col("open") < F.col("node"), F.lit(False))).alias("waits"))
             .select("node", F.when(F.col("refused"), 2).when(F.col("waits"), 0).otherwise(1).alias("next"))
         )
         state = staged(state.join(verdict, "node", "left").select("node", F.coalesce("next", "state").alias("state")), "state")
-        if state.where("state = 0").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"an arrival needs more than {_ROUNDS} rounds")
-    taken = nodes.join(state.where("state = 1"), "node").select(F.col("node").alias("id"), F.col("seq").alias("taken_seq"), "class", "chash")
-    taken_in = taken.select("id", "taken_seq", F.explode(F.array(group_c, group_h)).alias("g")).where("g is not null")
-
-    of_row = rows.select("id", "seq", "class", "chash", "rid").join(nodes.select(F.col("class").alias("c2"), F.col("chash").alias("h2"), "node", "old"), F.col("class").eqNullSafe(F.col("c2")) & F.col("chash").eqNullSafe(F.col("h2")), "left").drop("c2", "h2")
-    of_row = staged(of_row, "arrival-rows")
-    kept = (
-        of_row.select("id", "seq", "node").join(looks.select("node", "g"), "node")
-        .join(taken_in.select(F.col("id").alias("kept"), "taken_seq", "g"), "g").where("taken_seq < seq")
-        .groupBy("id").agg(F.min("kept").alias("kept"))
+    taken = member.join(state.where("state = 1"), "node").groupBy("g").agg(F.min("node").alias("taken"))
+    kept = looks.join(state.where("state = 2").select("node"), "node", "left_semi").join(taken, "g").groupBy("node").agg(F.min("taken").alias("kept"))
+    return nodes.select("node").join(kept, "node", "left")
+
+
+def _settle(h: History, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Decisions on signed rows, ``id, accepted, kept_id, known_id``; accepted rows are appended."""
+    asked = signed.select(F.explode(F.array("digest", "chash", _id_key(F.col("rid")))).alias("key")).where("key is not null").distinct().hint("shuffle_hash")
+    known = h.table("known").join(asked, "key").groupBy("key").agg(F.min("id").alias("old"))
+    firsts = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
+    heads = signed.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("id", "n", "w", "keys", "lens"), "id").alias("f")).select("f.*")
+    with ThreadPool(2) as pool:
+        copies, wanted = pool.apply_async(staged, (known, "exact")), pool.apply_async(_wanted, (h, heads))
+        exact, (wanted, met) = copies.get(), wanted.get()
+    most = wanted.agg(F.max("before")).first()[0] or 0
+    near = _older(h, wanted, met, docs, most)
+
+    nodes = signed.where("digest is not null or chash is not null").groupBy("digest", "chash").agg(F.min("id").alias("node")).join(firsts, "digest", "left")
+    nodes = (
+        nodes.join(exact.select(F.col("key").alias("digest"), F.col("old").alias("old_t")), "digest", "left")
+        .join(exact.select(F.col("key").alias("chash"), F.col("old").alias("old_h")), "chash", "left")
+        .join(near.select(F.col("id").alias("class"), F.col("old").alias("old_n")), "class", "left")
+        .select("node", "class", "digest", "chash", F.least("old_t", "old_h", "old_n").alias("old"))
     )
-    decided = of_row.join(kept, "id", "left").select("id", "seq", "chash", "rid", F.least("old", "kept").alias("kept_id")).withColumn("accepted", F.col("kept_id").isNull())
+    nodes = staged(nodes, "nodes")
+    open_ = nodes.where("old is null")
+    inner = wanted.where("beside > 1").join(open_.select(F.col("class").alias("id")).distinct(), "id", "left_semi").select("id", "n", "key")
+    counted = inner.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) div 2")), F.sum("count")).first()
+    pairs_ahead, entries = int(counted[0] or 0), int(counted[1] or 0)
+    if pairs_ahead > max(1_000_000, h.pairs_per_row * entries):
+        cut = open_.approxQuantile("node", [0.125], 0.01)[0]
+        if open_.where(F.col("node") > cut).limit(1).count():
+            head = _settle(h, staged(signed.where(F.col("id") <= cut), "signed"), docs.where(F.col("id") <= cut))
+            tail = _settle(h, staged(signed.where(F.col("id") > cut), "signed"), docs.where(F.col("id") > cut))
+            return head.unionByName(tail)
+    h.admitted_pairs.append(pairs_ahead)
+
+    links = None
+    if pairs_ahead:
+        p, q = inner.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), inner.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+        pairs = p.join(q, "key").where((F.col("b") < F.col("a")) & _sizes_fit(h, "na", "nb")).select("a", "b").distinct()
+        links = staged(_verified(h, pairs, docs, docs), "links")
+    kept = _in_order(open_.select("node", "class", "chash"), links)
+    verdicts = nodes.join(kept, "node", "left").select(F.col("digest").alias("d"), F.col("chash").alias("c"), "node", F.coalesce("old", "kept").alias("kept"))
+    rows = signed.select("id", "digest", "chash", "rid").join(verdicts, F.col("digest").eqNullSafe(F.col("d")) & F.col("chash").eqNullSafe(F.col("c")), "left")
+    decided = rows.select("id", "rid", F.coalesce("kept", F.when(F.col("node") < F.col("id"), F.col("node"))).alias("kept_id")).withColumn("accepted", F.col("kept_id").isNull())
     decided = staged(decided, "decided")
-    earlier = decided.where("accepted").groupBy("rid").agg(F.min("seq").alias("rid_seq"))
-    rids = decided.where("rid is not null").select("rid").distinct().withColumn("rid_key", _id_key(F.col("rid")))
-    old_ids = rids.join(known.where("kind = 'id'"), rids.rid_key == known.key).groupBy("rid").agg(F.lit(True).alias("old_rid"))
-    result = (
-        decided.join(earlier, "rid", "left").join(old_ids, "rid", "left")
-        .select("id", "accepted", "kept_id", (F.coalesce("old_rid", F.lit(False)) | F.coalesce(F.col("rid_seq") < F.col("seq"), F.lit(False))).alias("known_id"))
+    h.append(signed.join(decided.where("accepted").select("id"), "id", "left_semi"), docs)
+    earlier = decided.where("accepted").groupBy("rid").agg(F.min("id").alias("rid_id"))
+    return (
+        decided.withColumn("key", _id_key(F.col("rid"))).join(earlier, "rid", "left").join(exact.select("key", F.lit(True).alias("old_rid")), "key", "left")
+        .select("id", "accepted", "kept_id", (F.coalesce("old_rid", F.lit(False)) | F.coalesce(F.col("rid_id") < F.col("id"), F.lit(False))).alias("known_id"))
     )
-    result = staged(result, "decisions")
-    if append:
-        good = result.where("accepted").select("id")
-        h.append(rows.join(good, "id", "left_semi").select("id", "chash", "digest", "rid"), signed, docs)
-    return result
+
+
+def admit(h: History, arrival: DataFrame) -> DataFrame:
+    """Decide on an arrival and append what is accepted: ``id, accepted, kept_id, known_id``.
+
+    ``kept_id`` is the smallest id among the accepted rows that a refused row duplicates;
+    ``known_id`` tells whether its record id was accepted before (which refuses nothing).
+    Rows are taken by id; every id must be larger than those already accepted. The arrival is
+    read a few times, so one that is costly to compute should be staged before.
+    """
+    full, docs = _read(arrival)
+    signed = _signed(h, full)
+    least = signed.agg(F.min("id")).first()[0]
+    if least is None:
+        return h.spark.createDataFrame([], "id bigint, accepted boolean, kept_id bigint, known_id boolean")
+    if h.last_id is not None and least <= h.last_id:
+        raise ValueError(f"id {least} is not larger than the accepted id {h.last_id}")
+    return _settle(h, signed, docs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,23 +34,14 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir).select("item_table", "item_key", "piece_no", "n_pieces", "start_char", "end_char", "overlap_chars", "piece").distinct()
 
 
-def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "canonical_records").select(
-        F.col("row_no").alias("id"), "batch_no", (F.col("batch_no") * F.lit(1 << 40) + F.col("row_no")).alias("seq"),
-        F.col("id").alias("record_id"), "content_hash", neardup.record_text().alias("text"),
-    )
-
-
-def _decisions(spark: SparkSession, sf_dir: str, batches: int = 8, at_once: int = 4) -> DataFrame:
-    """Batch 0 begins the history; the later batches arrive ``at_once`` at a time."""
-    rows = _arrivals(spark, sf_dir)
-    h = history.start(spark, rows.where("batch_no = 0"), threshold=0.5, words=3, texts_expected=rows.count())
-    found = None
-    for first in range(1, batches + 1, at_once):
-        last = first + at_once - 1
-        new = history.admit(h, rows.where(F.col("batch_no").between(first, last)), append=last < batches)
-        found = new if found is None else found.unionByName(new)
-    return found
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 0 begins the history; every later batch of the table is one arrival, all are appended."""
+    rows = _table(spark, sf_dir, "canonical_records").select("batch_no", F.col("row_no").alias("id"), F.col("id").alias("record_id"), "content_hash", neardup.record_text().alias("text"))
+    batches = sorted(r[0] for r in rows.select("batch_no").distinct().collect() if r[0])  # one number for each delivery
+    h = history.start(spark, rows.where("batch_no = 0"), threshold=0.5, words=3)
+    decided = [history.admit(h, rows.where(F.col("batch_no") == b)) for b in batches] or [history.admit(h, rows.limit(0))]
+    h.close()
+    return functools.reduce(DataFrame.unionByName, decided)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
