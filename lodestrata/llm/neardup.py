@@ -3,18 +3,21 @@
 Plan
 ----
 1. One pass over the texts (Arrow batches, numpy) gives each row a digest of its word
-   sequence, its number of distinct shingles, one trie key for each tree of the forest, the
-   bytes that can lengthen a key, and a sketch of one bit from each of 256 min-hashes.
+   sequence, its number of distinct shingles, one label of ``DEPTH`` min-hash bytes for each
+   tree of the forest, and a sketch of two bits from each min-hash.
 2. Rows of the same word sequence form a class; only one representative of a class goes on,
    so a group of copies of any size costs one row.
-3. The forest: every tree is the trie of the min-hash bytes of all texts, kept as rows sorted
-   by (tree, prefix). ``plan_forest`` starts from the longest prefix that the trees could hold
-   and shortens it until the given recall is reached at the threshold within the number of
-   comparisons allowed per text, which depends on the number of texts and on a parameter, the
-   agreement of unrelated texts. Prefixes that too many texts share are
-   lengthened again in ``REFINE`` sub-tries each, so that the recall stays.
-4. Neighbours in a trie are compared by size and sketch in one equi-join on the prefix; the
-   few survivors are verified exactly on their shingle sets.
+3. The forest: every tree is the trie of all labels, met as rows sorted by (tree, prefix). The
+   texts that share a prefix of ``begin`` bytes are compared first. Then the matched prefix is
+   shortened byte by byte, each time meeting the pairs that share exactly so much, until the
+   recall that is measured on the links found reaches the target: a link of similarity s is
+   found with probability p(s) = 1 - (1 - s ** depth) ** trees, so the links that exist are
+   estimated by the sum of 1 / p(s) over those found.
+4. Nodes with one text drop out before anything but keys is shuffled. A node that more than
+   ``CROWD`` texts share is cut into blocks of texts, and each pair of blocks is one key, so no
+   task holds a crowded node and no pair of it is left out.
+5. Neighbours are compared by size and sketch in one equi-join on the node; the few survivors
+   are verified exactly on their shingle sets.
 
 Defined cases: null fields are left out of a text; a text without words is in no pair and
 forms a class of its own; a text of one or two words counts as one shingle; repeated rows are
@@ -36,48 +39,53 @@ from ..session import fits_broadcast, ship, staged
 from .shingles import WordHasher, minhashes, sequence_digest, shingle_hashes, sketch_words, words_of
 
 SKETCH = 256
-REFINE = 20
+#: Min-hash bytes of a label.
+DEPTH = 8
+#: Texts of a trie node above which it is met block by block.
+CROWD = 4096
 #: As many ids (8 bytes each) at most are sent to all executors; beyond that ids and texts are shuffled.
-MAX_SENT_IDS = 2_000_000
+MAX_SENT_IDS = 500_000
 #: Standard deviations below its mean at which a sketch still passes: one true pair in 300,000 fails.
 SIGMAS = 4.5
 
 
 @dataclass(frozen=True)
 class Forest:
-    """``trees`` tries whose texts meet where the first ``prefix`` min-hash bytes agree."""
+    """``trees`` tries of labels of ``DEPTH`` min-hash bytes, first met at ``begin`` bytes.
+
+    The prefix is shortened to ``end`` bytes at most, by which a link of exactly the threshold
+    has the target recall too."""
 
     trees: int
-    prefix: int
+    begin: int
+    end: int
     threshold: float
     words: int = 3
+    target: float = 0.99
 
-    def recall(self, similarity: float) -> float:
-        return 1 - (1 - similarity**self.prefix) ** self.trees
+    def recall(self, similarity: float, depth: int) -> float:
+        return 1 - (1 - similarity**depth) ** self.trees
 
     @property
     def functions(self) -> int:
-        return self.trees * self.prefix + 2 * REFINE + SKETCH
+        return max(self.trees * DEPTH, SKETCH // 2)
 
     @property
     def most_differing_bits(self) -> int:
-        p = (1 + self.threshold) / 2
-        return math.ceil(SKETCH * (1 - p) + SIGMAS * math.sqrt(SKETCH * p * (1 - p)))
-
+        """Two bits differ in one place of two on average where min-hashes differ, and never where they agree."""
+        q, n = 1 - self.threshold, SKETCH // 2
+        return math.ceil(n * q + SIGMAS * math.sqrt(n * (1.5 * q - q * q)))
 
-def plan_forest(texts: int, threshold: float = 0.5, recall: float = 0.99, agreement: float = 0.02, comparisons: float = 80.0, longest: int = 8, words: int = 3) -> Forest:
-    """The forest for a number of texts.
 
-    ``agreement`` is the chance that one min-hash byte of two unrelated texts agrees. Prefixes
-    of length r meet ``texts * agreement ** r`` unrelated texts in a tree; the longest prefix
-    is shortened while the shorter one still keeps these below ``comparisons``, because fewer
-    trees then reach ``recall`` at the threshold.
-    """
-    prefix = longest
-    while prefix > 2 and texts * agreement ** (prefix - 1) <= comparisons:
-        prefix -= 1
-    trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold**prefix))
-    return Forest(trees, prefix, threshold, words)
+def plan_forest(threshold: float = 0.5, recall: float = 0.99, words: int = 3, trees: int = 16) -> Forest:
+    """The forest for a threshold: ``begin`` is the longest prefix at which a link of the threshold
+    is found more often than not, ``end`` the longest at which it is found with ``recall``."""
+    deep = [d for d in range(1, DEPTH + 1) if 1 - (1 - threshold**d) ** trees >= recall]
+    end = max(deep, default=1)
+    if not deep:
+        trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold))
+    begin = max((d for d in range(end, DEPTH + 1) if 1 - (1 - threshold**d) ** trees >= 0.5), default=end)
+    return Forest(trees, begin, end, threshold, words, recall)
 
 
 def record_text(fields: str = "fields") -> Column:
@@ -88,41 +96,32 @@ def record_text(fields: str = "fields") -> Column:
 def _sign(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        trees, prefix = forest.trees, forest.prefix
-        place = np.uint64(257) ** np.arange(prefix, dtype=np.uint64)
+        sketches = ("s0", "s1", "s2", "s3")
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("id", "digest", "n", "keys", "refine", "s0", "s1", "s2", "s3")}
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                distinct = np.unique(shingle_hashes(hasher(words), forest.words))
-                rows["id"].append(i)
-                rows["digest"].append(sequence_digest(words) if words else None)
-                rows["n"].append(len(distinct))
-                if not len(distinct):
-                    for k in ("keys", "refine", "s0", "s1", "s2", "s3"):
-                        rows[k].append(None)
-                    continue
-                mins = minhashes(distinct, forest.functions)
-                byte = (mins & np.uint32(255)).astype(np.uint64)
-                of_tree = (byte[: trees * prefix].reshape(trees, prefix) * place).sum(axis=1, dtype=np.uint64)
-                rows["keys"].append((of_tree & np.uint64(0x7FFFFFFF)).astype(np.int32))
-                more = byte[trees * prefix : trees * prefix + 2 * REFINE].astype(np.uint16)
-                rows["refine"].append(((more[0::2] << 8) | more[1::2]).view(np.int16))
-                for k, v in zip(("s0", "s1", "s2", "s3"), sketch_words(mins, SKETCH)):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows["id"], pa.int64()), pa.array(rows["digest"], pa.binary()), pa.array(rows["n"], pa.int32()),
-                    pa.array(rows["keys"], pa.list_(pa.int32())), pa.array(rows["refine"], pa.list_(pa.int16())),
-                    *(pa.array(rows[k], pa.int64()) for k in ("s0", "s1", "s2", "s3")),
-                ],
-                names=list(rows),
-            )
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                rows: dict[str, list] = {k: [] for k in ("digest", "n", "labels", *sketches)}
+                for text in part.column(1).to_pylist():
+                    words = words_of(text)
+                    distinct = np.unique(shingle_hashes(hasher(words), forest.words))
+                    rows["digest"].append(sequence_digest(words) if words else None)
+                    rows["n"].append(len(distinct))
+                    if not len(distinct):
+                        for k in ("labels", *sketches):
+                            rows[k].append(None)
+                        continue
+                    mins = minhashes(distinct, forest.functions)
+                    rows["labels"].append(mins[: forest.trees * DEPTH].astype(np.uint8).view(">i8").astype(np.int64))
+                    for k, v in zip(sketches, sketch_words(mins, SKETCH)):
+                        rows[k].append(v)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(rows["digest"], pa.binary()), pa.array(rows["n"], pa.int32()), pa.array(rows["labels"], pa.list_(pa.int64())), *(pa.array(rows[k], pa.int64()) for k in sketches)],
+                    names=["id", *rows],
+                )
 
     return run
 
 
-SIGNATURE = "id bigint, digest binary, n int, keys array<int>, refine array<smallint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+SIGNATURE = "id bigint, digest binary, n int, labels array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
 def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -147,25 +146,44 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("id").cast("bigint"), "text").mapInArrow(_shingle_sets(words), "id bigint, shingles array<bigint>")
 
 
-def flat_entries(signed: DataFrame, *more: str) -> DataFrame:
-    """One row for each text and tree; the key holds the tree's number and the prefix."""
-    cols = ["id", "n", "s0", "s1", "s2", "s3", *more]
-    return signed.where("n > 0").select(*cols, F.posexplode("keys").alias("tree", "prefix")).select(*cols, (F.col("tree").cast("bigint") * F.lit(1 << 32) + F.col("prefix")).alias("key"))
+def _node(depth: int) -> Column:
+    """The trie node of a label at a depth: its first bytes and the tree's number, as one number."""
+    return F.xxhash64(F.lit(depth), "tree", F.shiftrightunsigned("label", 8 * (DEPTH - depth)))
 
 
-def entries(signed: DataFrame, bucket_limit: int = 8192) -> DataFrame:
-    """Trie entries ``key, id, n, s0..s3``; prefixes of more than ``bucket_limit`` texts lengthened."""
-    cols = ["id", "n", "s0", "s1", "s2", "s3"]
-    flat = flat_entries(signed)
-    hot = staged(flat.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "hot-prefixes")
-    if hot.isEmpty():
-        return flat
-    longer = (
-        flat_entries(signed, "refine").join(hot, "key", "left_semi")
-        .select(*cols, "key", F.posexplode("refine").alias("sub", "more"))
-        .select(*cols, F.xxhash64("key", "sub", "more").alias("key"))
-    )
-    return flat.join(hot, "key", "left_anti").select(*cols, "key").unionByName(longer)
+def _blocks(df: DataFrame, key: str, crowded: DataFrame, limit: int) -> DataFrame:
+    """``df`` once for each pair of blocks of its key that it is in: ``key``, ``lo``, ``hi``, ``blk``.
+
+    ``crowded`` holds ``key`` and ``m``, the rows of each key above ``limit``. A key of m rows has
+    ceil(m / limit) blocks; other keys have one. Two rows of a key meet exactly once, under
+    (lo, hi) of their blocks (see ``_once``)."""
+    sized = df.join(F.broadcast(crowded) if fits_broadcast(crowded, 100_000) else crowded, key, "left")
+    nb = F.ceil(F.coalesce("m", F.lit(1)) / F.lit(limit)).cast("int")
+    placed = sized.withColumn("_nb", nb).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
+    each = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return each.withColumn("lo", F.least("blk", "_o")).withColumn("hi", F.greatest("blk", "_o")).drop("_o", "_nb", "m")
+
+
+def _once(p: str, q: str, key: str) -> Column:
+    c = lambda x, n: F.col(f"{x}.{n}")
+    return (c(p, key) == c(q, key)) & (c(p, "lo") == c(q, "lo")) & (c(p, "hi") == c(q, "hi")) & (c(p, "id") < c(q, "id")) & ((c(p, "blk") != c(q, "blk")) | (c(p, "lo") == c(p, "hi")))
+
+
+def met_at(heads: DataFrame, forest: Forest, depth: int, new_only: bool, crowd: int = CROWD) -> DataFrame:
+    """Pairs ``a, b`` whose labels share ``depth`` bytes in some tree and whose sizes and sketches fit.
+
+    With ``new_only`` those that share more in that tree are left out: they met before."""
+    flat = heads.where("n > 0").select("id", F.posexplode("labels").alias("tree", "label")).select("id", "tree", "label", _node(depth).alias("node"))
+    nodes = staged(flat.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-nodes")
+    keys = nodes.select("node")
+    shared = flat.join(F.broadcast(keys) if fits_broadcast(keys, MAX_SENT_IDS) else keys, "node", "left_semi")
+    # What a text carries is added only for the entries that meet another.
+    carried = shared.join(heads.select("id", "n", "s0", "s1", "s2", "s3"), "id")
+    cut = _blocks(carried, "node", nodes.where(F.col("m") > crowd), crowd)
+    condition = _once("p", "q", "node") & sketch_condition("p", "q", forest)
+    if new_only:
+        condition &= F.shiftrightunsigned("p.label", 8 * (DEPTH - depth - 1)) != F.shiftrightunsigned("q.label", 8 * (DEPTH - depth - 1))
+    return cut.alias("p").join(cut.alias("q"), condition).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
 
 
 def sketch_condition(a: str, b: str, forest: Forest) -> Column:
@@ -198,38 +216,49 @@ def verified(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
 @dataclass(frozen=True)
 class NearDuplicates:
     """``members``: id, class_id (smallest id of the same words; null without words).
-    ``pairs``: a, b, similarity between class representatives, a < b."""
+    ``pairs``: a, b, similarity between class representatives, a < b.
+    ``depth`` and ``recall``: the prefix at which the search ended, and the recall measured there."""
 
     members: DataFrame
     pairs: DataFrame
+    depth: int
+    recall: float
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.5, words: int = 3, recall: float = 0.99, forest: Forest | None = None) -> NearDuplicates:
-    """Classes of equal texts and all links of at least ``threshold`` between different texts.
+    """Classes of equal texts and the links of at least ``threshold`` between different texts.
 
-    ``docs`` has a unique ``id bigint`` and ``text string``. A link of exactly the threshold is
-    found with probability ``recall`` (0.99), a closer one almost surely; none is reported
-    that is below the threshold.
+    ``docs`` has a unique ``id bigint`` and ``text string``. Prefixes are shortened until the
+    measured recall of all links is at least ``recall``; none is reported below the threshold.
     """
-    forest = forest or plan_forest(docs.count(), threshold, recall, words=words)
+    forest = forest or plan_forest(threshold, recall, words)
     signed = staged(signatures(docs, forest), "signatures")
     first = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"))
     members = signed.select("id", "digest").join(first, "digest", "left").select("id", "class_id")
     heads = only(signed, staged(first.select(F.col("class_id").alias("id")), "heads"))
-    tries = entries(heads)
-    pairs = (
-        tries.alias("p")
-        .join(tries.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & sketch_condition("p", "q", forest))
-        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-        .distinct()
-    )
-    return NearDuplicates(members, staged(verified(staged(pairs, "candidates"), docs, forest), "links"))
-
-
-def expanded(found: NearDuplicates) -> DataFrame:
-    """All pairs of ids (a < b) that the classes and links stand for. Only where all are asked for."""
+    links, seen, depth = None, None, forest.begin
+    while True:
+        pairs = met_at(heads, forest, depth, new_only=links is not None)
+        pairs = staged(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "candidates")
+        more = verified(pairs, docs, forest)
+        links = staged(more if links is None else links.unionByName(more), "links")
+        miss = F.pow(1 - F.pow("similarity", F.lit(depth)), F.lit(forest.trees))
+        found, there = links.agg(F.count(F.lit(1)), F.sum(1 / (1 - miss))).first()
+        measured = found / there if found else 0.0
+        if depth <= forest.end or measured >= forest.target:
+            return NearDuplicates(members, links, depth, measured)
+        seen = pairs if seen is None else staged(seen.unionByName(pairs), "met")
+        depth -= 1
+
+
+def expanded(found: NearDuplicates, limit: int = CROWD) -> DataFrame:
+    """All pairs of ids (a < b) that the classes and links stand for. Only where all are asked for.
+
+    Pairs inside a class are made block by block, so no task holds a large class."""
     m = found.members.where("class_id is not null")
-    same = m.alias("x").join(m.alias("y"), (F.col("x.class_id") == F.col("y.class_id")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    sizes = m.groupBy("class_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    cut = _blocks(m.join(sizes.select("class_id"), "class_id", "left_semi"), "class_id", sizes.where(F.col("m") > limit), limit)
+    same = cut.alias("p").join(cut.alias("q"), _once("p", "q", "class_id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     linked = (
         found.pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
         .join(m.select(F.col("class_id").alias("ca"), F.col("id").alias("i")), "ca")

@@ -25,6 +25,22 @@ SQL: dict[str, str] = {
         l AS (SELECT run_id, count(DISTINCT list) AS lists FROM b GROUP BY 1),
         f AS (SELECT run_id, record_id, round(sum(1 - (r - 1) / n) / any_value(lists), 12) AS score FROM k JOIN l USING (run_id) GROUP BY 1, 2)
         SELECT run_id, record_id FROM f QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY score DESC, record_id) = 1""",
+    # The first principal component by power iteration over DuckDB's own correlations of the rank-transformed lists.
+    "p4_ranking": """
+        WITH RECURSIVE s AS (SELECT run_id, backend AS list, record_id, score FROM hits UNION ALL SELECT run_id, retriever, record_id, score FROM ranked_hits),
+        b AS (SELECT run_id, list, record_id, max(score) AS score FROM s WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3),
+        k AS (SELECT *, 1 - (rank() OVER (PARTITION BY run_id, list ORDER BY score DESC) + (count(*) OVER (PARTITION BY run_id, list, score) - 1) / 2 - 1) / count(*) OVER (PARTITION BY run_id, list) AS v FROM b),
+        names AS (SELECT list, row_number() OVER (ORDER BY list) AS i FROM (SELECT DISTINCT list FROM s)),
+        there AS (SELECT DISTINCT run_id, list FROM b),
+        recs AS (SELECT DISTINCT run_id, record_id FROM b),
+        t AS (SELECT r.run_id, r.record_id, i, coalesce(k.v, 0)::DOUBLE AS v FROM recs r JOIN there USING (run_id) JOIN names USING (list) LEFT JOIN k ON k.run_id = r.run_id AND k.list = there.list AND k.record_id = r.record_id),
+        c AS (SELECT x.i AS i, y.i AS j, corr(x.v, y.v) AS r FROM t x JOIN t y USING (run_id, record_id) GROUP BY 1, 2),
+        m AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE coalesce(r, 0) END ORDER BY j) AS row FROM c GROUP BY 1)),
+        it AS (SELECT 0 AS n, list_transform(m, lambda x: 1.0::DOUBLE) AS l FROM m UNION ALL
+               SELECT n + 1, list_transform(list_transform(m, lambda x: list_dot_product(x, l)), lambda z: z / sqrt(list_dot_product(list_transform(m, lambda x: list_dot_product(x, l)), list_transform(m, lambda x: list_dot_product(x, l))))) FROM it, m WHERE n < 400),
+        l AS (SELECT l FROM it ORDER BY n DESC LIMIT 1),
+        f AS (SELECT run_id, record_id, round(sum(l.l[i] * v) / sum(l.l[i]), 12) AS score FROM t, l GROUP BY 1, 2)
+        SELECT run_id, record_id, round(score, 6) AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, record_id) AS position FROM f""",
     "p5_found": """
         WITH e AS (SELECT DISTINCT key, embedding::DOUBLE[] AS v, split_part(key, '::', 2) || '::' || split_part(key, '::', 3) AS space FROM embed_cache
                    WHERE embedding IS NOT NULL AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)

@@ -76,15 +76,11 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.winners(_scores(spark, sf_dir), equal_say=True).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"))
+    return ranking.winners(_scores(spark, sf_dir)).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"))
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.fused_ranking(_scores(spark, sf_dir), equal_say=True).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"), "score", "position")
-
-
-def p4_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.fused_ranking(_scores(spark, sf_dir)).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"), "score", "position")
+    return ranking.fused_ranking(_scores(spark, sf_dir)).select(F.col("run").alias("run_id"), F.col("record").alias("record_id"), F.round("score", 6).alias("score"), "position")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +144,7 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the posterior holds repetitive, checked against the defined share."""
     rated = repetition.repetition(_documents(spark, sf_dir), run=8)
     return rated.where("p_repetitive >= 0.5").where("repeated_share >= 0.3").select(F.col("id").alias("doc_id")).distinct()
 

@@ -1,15 +1,15 @@
 """Repetition inside single documents (problem 10): weak supervision over repetition rules.
 
-One pass over the texts measures each document: the share of its words that lie in eight
-consecutive words which also begin at an earlier word, the shares of repeated sentences and
-lines, the shares of its most frequent two- and four-word sequences, the variety of its words
-and how far it compresses. Rules turn each measure into a vote (repetitive, clean) or abstain.
+One pass over the texts measures each document: the shares of its words that lie in five, eight
+and thirteen consecutive words which also begin at an earlier word, the shares of repeated
+sentences and lines, the share of its most frequent four-word sequence, the variety of its
+words and how far it compresses. Rules turn each measure into a vote (repetitive, clean) or
+abstain.
 
 Expectation-maximisation estimates from the votes of all documents how reliable each rule is
-and how common repetition is. It needs only the number of documents for each pattern of votes
-(at most 3 ** 7 patterns), so it runs over a summary of bounded size whatever the corpus.
-The first rule measures the defined share itself; where it does not abstain its vote is taken
-as the label, and the posterior of the rest is estimated.
+and how common repetition is; no label is given. It needs only the number of documents for each
+pattern of votes (at most 3 ** 8 patterns), so it runs over a summary of bounded size whatever
+the corpus. A document is held repetitive by its posterior, not by passing every rule.
 
 Words are the longest runs of letters and digits of the lower-cased text. Defined cases:
 null, blank and wordless texts have share 0, all rules abstain and their posterior is null;
@@ -34,9 +34,10 @@ from .weak import estimate
 #: Measure, votes "repetitive" from, votes "clean" up to, words needed to vote.
 RULES = (
     ("repeated_share", 0.30, 0.10, 8),
+    ("share_5", 0.30, 0.12, 8),
+    ("share_13", 0.25, 0.05, 13),
     ("sentence_share", 0.25, 0.05, 20),
     ("line_share", 0.30, 0.05, 20),
-    ("top_pair_share", 0.20, 0.06, 20),
     ("top_four_share", 0.15, 0.05, 20),
     ("sameness", 0.75, 0.50, 60),
     ("compression", 0.70, 0.60, 60),
@@ -74,11 +75,12 @@ def _again_share(parts: list[str]) -> float:
     return again / total if total else 0.0
 
 
-def _top_share(hashes: np.ndarray, n: int) -> float:
-    if len(hashes) < 4 * n:
+def _top_share(sorted_grams: np.ndarray, n: int, words: int) -> float:
+    if words < 4 * n:
         return 0.0
-    most = np.unique(shingle_hashes(hashes, n), return_counts=True)[1].max()
-    return min(1.0, n * int(most) / len(hashes)) if most > 1 else 0.0
+    edges = np.flatnonzero(np.diff(sorted_grams)) + 1
+    most = np.diff(np.concatenate(([0], edges, [len(sorted_grams)]))).max()
+    return min(1.0, n * int(most) / words) if most > 1 else 0.0
 
 
 def _measure(run: int):
@@ -88,19 +90,24 @@ def _measure(run: int):
             rows: dict[str, list] = {k: [] for k in ("n_words", "n_repeated", *_MEASURES[1:])}
             for text in batch.column(1).to_pylist():
                 h = hasher(words_of(text))
-                again, n = repeated_share(h, run)
+                n = len(h)
                 rows["n_words"].append(n)
-                rows["n_repeated"].append(again)
                 if not n:
+                    rows["n_repeated"].append(0)
                     for k in _MEASURES[1:]:
                         rows[k].append(None)
                     continue
+                fours = np.sort(shingle_hashes(h, 4))
+                # Where no four words repeat, no longer sequence does.
+                again = n >= 4 and bool((fours[1:] == fours[:-1]).any())
+                rows["n_repeated"].append(repeated_share(h, run)[0] if again or run < 4 else 0)
+                for k in (5, 13):
+                    rows[f"share_{k}"].append(repeated_share(h, k)[0] / n if again else 0.0)
                 raw = text.encode("utf-8", "surrogatepass")
                 rows["sentence_share"].append(_again_share(_SENTENCE.split(text)))
                 rows["line_share"].append(_again_share(text.split("\n")) if "\n" in text else 0.0)
-                rows["top_pair_share"].append(_top_share(h, 2))
-                rows["top_four_share"].append(_top_share(h, 4))
-                rows["sameness"].append(1 - len(np.unique(h)) / n)
+                rows["top_four_share"].append(_top_share(fours, 4, n) if again else 0.0)
+                rows["sameness"].append(1 - len(set(h.tolist())) / n)
                 rows["compression"].append(1 - min(1.0, len(zlib.compress(raw, 1)) / len(raw)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_repeated"], pa.int64()), *(pa.array(rows[k], pa.float64()) for k in _MEASURES[1:])], names=["id", *rows])
 
@@ -129,7 +136,7 @@ def repetition(docs: DataFrame, run: int = 8) -> DataFrame:
     if not table:
         return votes.withColumn("p_repetitive", F.lit(None).cast("double"))
     patterns, counts = np.array([r[0] for r in table]), np.array([r[1] for r in table], float)
-    posterior, _, _ = estimate(patterns, counts, known=patterns[:, 0])
+    posterior, _, _ = estimate(patterns, counts)
     spark = docs.sparkSession
     known = spark.createDataFrame([([int(x) for x in v], float(p)) for v, p in zip(patterns, posterior)], "votes array<int>, p_repetitive double")
     out = votes.join(F.broadcast(known), "votes", "left")

@@ -83,11 +83,12 @@ def minhashes(distinct: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
 
 
 def sketch_words(mins: np.ndarray, bits: int) -> np.ndarray:
-    """One bit of each of the last ``bits`` min-hashes, packed into 64-bit integers.
+    """Two bits of each of the first ``bits`` / 2 min-hashes, packed into 64-bit integers.
 
     Two texts of similarity s agree in a bit with probability (1 + s) / 2.
     """
-    bit = (mins[-bits:] >> np.uint32(13)) & np.uint32(1)
+    top = mins[: bits // 2]
+    bit = np.concatenate(((top >> np.uint32(13)) & np.uint32(1), (top >> np.uint32(22)) & np.uint32(1)))
     return np.packbits(bit.astype(np.uint8)).view(np.int64)
 
 

@@ -109,24 +109,39 @@ def score_rows(seed=1, runs=12):
 
 
 def brute_ranking(rows):
+    """Ranks, the correlation matrix and its first component by numpy; the records of each run in order."""
     best = defaultdict(dict)
     for run, name, rec, s in rows:
         if s is not None and s == s:
             best[run, name][rec] = max(s, best[run, name].get(rec, -1e300))
-    out = {}
+    names = sorted({k[1] for k in best})
+    table = {}
     for run in {k[0] for k in best}:
-        lists = [v for k, v in best.items() if k[0] == run]
-        score = {}
-        for rec in {r for x in lists for r in x}:
-            total = 0.0
-            for x in lists:
-                if rec in x:
-                    above = sum(v > x[rec] for v in x.values())
-                    ties = sum(v == x[rec] for v in x.values())
-                    total += 1 - (above + (ties - 1) / 2) / len(x)
-            score[rec] = round(total / len(lists), 9)
-        out[run] = sorted(score, key=lambda r: (-score[r], r))
-    return out
+        for rec in {r for (q, _), v in best.items() if q == run for r in v}:
+            line = []
+            for name in names:
+                x = best.get((run, name))
+                if x is None:
+                    line.append(np.nan)
+                elif rec in x:
+                    line.append(1 - (sum(v > x[rec] for v in x.values()) + (sum(v == x[rec] for v in x.values()) - 1) / 2) / len(x))
+                else:
+                    line.append(0.0)
+            table[run, rec] = line
+    m = np.array(list(table.values()))
+    k = len(names)
+    corr = np.eye(k)
+    for i in range(k):
+        for j in range(k):
+            both = ~np.isnan(m[:, i]) & ~np.isnan(m[:, j])
+            corr[i, j] = np.corrcoef(m[both, i], m[both, j])[0, 1] if i != j else 1.0
+    values, vectors = np.linalg.eigh(corr)
+    load = np.abs(vectors[:, -1])
+    out = defaultdict(list)
+    for (run, rec), line in table.items():
+        there = ~np.isnan(line)
+        out[run].append((-round(float((load * np.nan_to_num(line)).sum() / load[there].sum()), 9), rec))
+    return {run: [r for _, r in sorted(v)] for run, v in out.items()}
 
 
 def test_ranking_equals_brute_force(spark):
@@ -134,13 +149,27 @@ def test_ranking_equals_brute_force(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "run bigint, list string, record string, score double, position string")
     want = brute_ranking(rows)
     got = defaultdict(list)
-    for r in ranking.fused_ranking(df, equal_say=True).orderBy("run", "position").collect():
+    for r in ranking.fused_ranking(df).orderBy("run", "position").collect():
         got[r["run"]].append(r["record"])
     assert dict(got) == want
-    assert {r["run"]: r["record"] for r in ranking.winners(df, equal_say=True).collect()} == {k: v[0] for k, v in want.items()}
+    assert {r["run"]: r["record"] for r in ranking.winners(df).collect()} == {k: v[0] for k, v in want.items()}
     assert ranking.fused_ranking(df.limit(0)).count() == 0
 
 
+def test_hot_runs_have_the_same_table(spark):
+    df = spark.createDataFrame(score_rows(), "run bigint, list string, record string, score double")
+    a, b = ranking.rank_table(df, ["a", "b", "c"]), ranking.rank_table(df, ["a", "b", "c"], hot_rows=50)
+    rounded = lambda t: sorted((r[0], r[1], *(None if x is None else round(x, 9) for x in r[2:])) for r in t.collect())
+    assert rounded(a) == rounded(b)
+
+
+def test_the_matrix_decides_the_ranking(spark, monkeypatch):
+    rows = [(1, "a", "x", 3.0), (1, "a", "y", 2.0), (1, "b", "y", 9.0), (1, "b", "x", 1.0), (1, "c", "z", 5.0), (1, "c", "y", 1.0)]
+    df = spark.createDataFrame(rows, "run bigint, list string, record string, score double")
+    winner = lambda m: (monkeypatch.setattr(ranking, "correlation", lambda *_: np.array(m)), ranking.winners(df).first()["record"])[1]
+    assert winner([[1, 0.9, 0], [0.9, 1, 0], [0, 0, 1]]) == "y" and winner([[1, 0, 0.01], [0, 0.1, 0], [0.01, 0, 0.1]]) == "x"
+
+
 def test_large_groups_are_ranked_in_parts(spark):
     rows = [(i % 2, f"r{i:03}", float(i * i % 37)) for i in range(300)]
     df = spark.createDataFrame(rows, "run bigint, record string, score double")
@@ -153,7 +182,7 @@ def test_large_groups_are_ranked_in_parts(spark):
 def test_loadings_follow_the_declared_directions():
     m = np.array([[1, 0.8, 0.1], [0.8, 1, 0.1], [0.1, 0.1, 1]])
     assert (ranking.loadings(m, np.ones(3)) > 0).all() and ranking.loadings(m, np.ones(3))[2] < ranking.loadings(m, np.ones(3))[0]
-    assert np.allclose(ranking.loadings(m, np.ones(3), equal_say=True), 3**-0.5)
+    assert np.allclose(ranking.loadings(np.eye(3), np.ones(3)), 3**-0.5)
 
 
 # --- 5 ---

@@ -98,19 +98,49 @@ def test_near_duplicates_equal_brute_force(spark):
         assert groups[i]["group_id"] == groups[j]["group_id"]
 
 
-def test_crowded_prefixes_lose_nothing(spark):
+def test_crowded_nodes_lose_nothing(spark, monkeypatch):
     rng = random.Random(5)
     shared = text_of(rng, 30)  # a third of the rows share a long head
     texts = [f"{shared} {text_of(rng, 20)}" for _ in range(30)] + [text_of(rng, 50) for _ in range(60)]
-    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.3}
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    forest = neardup.plan_forest(len(texts), 0.3, 0.999)
-    signed = neardup.signatures(df, forest).cache()
-    tries = neardup.entries(signed, bucket_limit=8).cache()
-    met = tries.alias("p").join(tries.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & neardup.sketch_condition("p", "q", forest))
-    pairs = met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    got = {(r["a"], r["b"]) for r in neardup.verified(pairs, df, forest).collect()}
-    assert got <= want and len(want - got) <= 0.02 * len(want)
+    forest = neardup.plan_forest(0.3, 0.99)
+    heads = neardup.signatures(df, forest).cache()
+    for depth in (1, 2):
+        whole, blocks = (neardup.met_at(heads, forest, depth, False, crowd).collect() for crowd in (10_000, 4))
+        assert whole and sorted(whole) == sorted(blocks)
+
+
+def test_shorter_prefixes_meet_only_what_did_not_meet(spark):
+    texts = corpus(3, 60)
+    heads = neardup.signatures(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), neardup.plan_forest()).cache()
+    forest = neardup.plan_forest()
+    met = {d: {tuple(r) for r in neardup.met_at(heads, forest, d, False).collect()} for d in (3, 4)}
+    new = {tuple(r) for r in neardup.met_at(heads, forest, 3, True).collect()}
+    assert met[4] | new == met[3]
+
+
+def test_the_prefix_is_shortened_until_the_recall(spark):
+    rng = random.Random(8)
+    base = [text_of(rng, 80) for _ in range(60)]
+    want, texts = set(), list(base)
+    for i, t in enumerate(base):
+        texts.append(edited(rng, t, 0.1))
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.5}
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    ends = {}
+    for target in (0.5, 0.995):
+        found = neardup.near_duplicates(df, recall=target, forest=neardup.Forest(16, 5, 1, 0.5, 3, target))
+        got = {(r["a"], r["b"]) for r in found.pairs.collect()}
+        assert got <= want and found.recall >= target and len(got) >= (target - 0.1) * len(want)
+        ends[target] = found.depth
+    assert ends[0.995] < ends[0.5] == 5
+
+
+def test_copies_are_paired_once_in_blocks(spark):
+    df = spark.createDataFrame([(i, f"the same words in text {i // 40} again and again") for i in range(120)], "id bigint, text string")
+    found = neardup.near_duplicates(df, threshold=0.95)
+    got = [tuple(r) for r in neardup.expanded(found, limit=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(120) for j in range(i + 1, 120) if i // 40 == j // 40}
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -119,9 +149,10 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_forest_plan():
-    small, large = neardup.plan_forest(1_000), neardup.plan_forest(10_000_000_000)
-    assert small.prefix == 2 and large.prefix > 4
-    assert small.recall(0.5) >= 0.99 and large.recall(0.5) >= 0.99 and large.recall(0.6) > 0.999
+    f = neardup.plan_forest(0.5, 0.99)
+    assert f.recall(0.5, f.end) >= 0.99 > f.recall(0.5, f.end + 1) and f.recall(0.5, f.begin) >= 0.5 and f.begin > f.end
+    near = neardup.plan_forest(0.8, 0.99, words=5)
+    assert near.end > f.end and near.recall(0.8, near.end) >= 0.99
 
 
 def test_components(spark):
@@ -183,6 +214,72 @@ def test_empty_arrival_and_hash_notations(spark):
     assert got[0] == got[1] == got[2] == a.upper() and got[3] is None and got[4] is None
 
 
+def test_a_family_of_edited_copies_arrives_at_once(spark):
+    """A third of all rows are one-word edits of one text; pairs stay bounded and results exact."""
+    rng = random.Random(9)
+    base = text_of(rng, 60).split()
+    rows = []
+    for i in range(1500):
+        if i % 3 == 0:
+            w = list(base)
+            w[rng.randrange(60)] = f"edit{i}"
+            rows.append((i, " ".join(w)))
+        else:
+            rows.append((i, text_of(rng, 30)))
+    frame_of = lambda part: spark.createDataFrame([(i, None, None, t) for i, t in part], "id bigint, record_id string, content_hash string, text string")
+    h = history.start(spark, frame_of([(-1, "nothing like the others at all")]), block=16, pairs_per_row=2)
+    h.pairs_floor = 2000
+    got = {r["id"]: r["kept_id"] for r in history.admit(h, frame_of(rows)).collect()}
+    family = [i for i, _ in rows if i % 3 == 0]
+    assert len(got) == 1500 and all(got[i] is None for i in got if i % 3)
+    kept, want = [], {}
+    for i, t in rows:
+        if i % 3 == 0:
+            near = [k for k, x in kept if jaccard(x, t) >= 0.5]
+            want[i] = min(near) if near else None
+            if not near:
+                kept.append((i, t))
+    assert {i: got[i] for i in family} == want
+    assert sum(h.admitted_pairs) < 60_000  # all pairs of the family would be 125,000 for each paragraph that they share
+    # Later members meet the family in the history, in blocks.
+    w = list(base)
+    w[5] = "late"
+    late = history.admit(h, frame_of([(5000, " ".join(w)), (5001, text_of(rng, 40))])).collect()
+    assert {r["id"]: r["kept_id"] for r in late} == {5000: 0, 5001: None}
+    with pytest.raises(ValueError):
+        history.admit(h, frame_of([(3, "an old number")]))
+    h.close()
+
+
+def test_crowded_history_is_met_in_blocks(spark):
+    """Rows that share a long paragraph with many others but are similar to few."""
+    rng = random.Random(10)
+    shared = text_of(rng, 9)
+    rows = [(i, f"{shared}. {text_of(rng, 24)}") for i in range(200)]
+    frame_of = lambda part: spark.createDataFrame([(i, None, None, t) for i, t in part], "id bigint, record_id string, content_hash string, text string")
+    h = history.start(spark, frame_of(rows), block=8, coverage=0.01)
+    late = [(1000 + i, edited(rng, rows[190 - i][1], 0.02)) for i in range(6)] + [(2000, f"{shared}. {text_of(rng, 24)}")]
+    want = {}
+    kept = list(rows)
+    for i, t in late:
+        near = [k for k, x in kept if jaccard(x, t) >= 0.5]
+        want[i] = min(near) if near else None
+        if not near:
+            kept.append((i, t))
+    assert {r["id"]: r["kept_id"] for r in history.admit(h, frame_of(late)).collect()} == want
+
+
+@pytest.mark.parametrize("limit", [3, 10_000])
+def test_rounds_settle_like_one_task(spark, monkeypatch, limit):
+    """A chain: each row is similar to the one before only, so every second one is taken."""
+    monkeypatch.setattr(history, "MAX_IN_ONE_TASK", limit)
+    h = history.History(spark)
+    nodes = spark.createDataFrame([(i, i, None) for i in range(12)], "node bigint, class bigint, chash binary")
+    links = spark.createDataFrame([(i + 1, i) for i in range(9)], "a bigint, b bigint")
+    got = {r["node"]: r["kept"] for r in history._in_order(h, nodes, links, 12).collect()}
+    assert got == {i: (i - 1 if i % 2 and i < 10 else None) for i in range(12)}
+
+
 # --- 9 ---
 
 
