@@ -13,9 +13,12 @@ from pyspark.sql import types as T
 
 from .contract import Corpus, parse_corpus
 from .functions import transforms
-from .functions.text import content_tokens, coverage_ratio, index_tokens
+from .functions.text import index_tokens
 from .operators import chunk, evaluate, ingest, lexical, rank, vector, views
-from .plans.params import Filter, SortKey, serve_condition, sort_order
+from .plans import gate, retrieve, serve
+from .plans.params import Filter, SortKey, serve_condition
+from .session import new_path
+from .sources import adapters
 from .sources.adapters import latest_by_id, merged_posts
 
 #: The contract of the test corpus.
@@ -40,6 +43,7 @@ CONTRACT = {
             {"name": "by_domain", "group_by": ["domains"], "metrics": [{"post_count": "count"}, {"avg_value_score": "mean(value_score)"}]},
             {"name": "multi_key", "group_by": ["content_type", "domains", "tools_apps"], "metrics": [{"post_count": "count"}]},
             {"name": "seeded", "group_by": ["content_type"], "metrics": [{"post_count": "count"}, {"avg_value_score": "mean(value_score)"}], "filters": {"content_type": ["reel", "carousel", "hologram"]}},
+            {"name": "seeded_pairs", "group_by": ["content_type", "owner"], "metrics": [{"post_count": "count"}], "filters": {"content_type": ["reel", "hologram"], "owner": ["nobody.here", "noone.there"]}},
             {"name": "ranged", "group_by": ["content_type"], "metrics": [{"post_count": "count"}], "filters": {"value_score": {"op": "between", "value": [4, 8]}, "domains": "typography"}},
         ],
     },
@@ -112,7 +116,7 @@ def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def namespaced_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir).select(F.col("row_no").alias("seq"), F.concat(F.lit("ns:"), "id").alias("id"))
+    rows = ingest.namespaced(_records(spark, sf_dir).select(F.col("row_no").alias("seq"), "id"), "ns")
     return ingest.dedupe(rows, [F.col("id")], "version_append").select("seq", "id")
 
 
@@ -126,11 +130,35 @@ def _deduped(policy: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def hash_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later batches against the state that batch 0 left, row by row."""
     r = _records(spark, sf_dir).select("row_no", "batch_no", "id", F.coalesce("content_hash", F.lit("")).alias("content_hash"))
-    added, skipped = ingest.split_known(r.where("batch_no > 0"), r.where("batch_no = 0"))
+    state = ingest.current_hashes(r.limit(0), r.where("batch_no = 0"), "row_no")
+    added, skipped = ingest.split_known(r.where("batch_no > 0"), state, "row_no")
     return added.select("row_no", F.lit("added").alias("state")).unionByName(skipped.select("row_no", F.lit("skipped").alias("state")))
 
 
+def hash_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries of all documents: as they are, every second one changed, as they were."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    state, out = spark.createDataFrame([], "id string, content_hash string"), None
+    for n in range(3):
+        text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")) if n == 1 else F.col("text")
+        rows = d.select("id", F.lit(n).alias("delivery"), F.lit(n).alias("seq"), vector.text_hash(text).alias("content_hash"))
+        added, skipped = ingest.split_known(rows, state)
+        state = ingest.current_hashes(state, rows)
+        told = added.select("delivery", "id", F.lit("added").alias("state")).unionByName(skipped.select("delivery", "id", F.lit("skipped").alias("state")))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def reference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record store, reconciled against the ids as delivered and put into their order."""
+    r = _records(spark, sf_dir).select("id", F.col("row_no").alias("seq"))
+    final = ingest.in_reference_order(ingest.reconciled(r.select("id").distinct(), _store(spark, sf_dir).select("id", "row_no")), r)
+    numbered = adapters.numbered(final.join(r.groupBy("id").agg(F.min("seq").alias("place")), "id"), ["place"])
+    return numbered.select("id", "row_no", F.col("seq").alias("position"))
+
+
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _records(spark, sf_dir)
     return ingest.reconcile(r.select("id"), _t(spark, sf_dir, "chunks").select(F.col("record_id").alias("id")).distinct(), ["id"])
@@ -226,10 +254,8 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _t(spark, sf_dir, "chunks").select("text")
-    keyed = texts.withColumn("key", vector.cache_key(F.col("text"), "kb-embed-2", 64)).select("key").distinct()
-    known = _t(spark, sf_dir, "embed_cache").where("embedding is not null").select("key").distinct()
-    return keyed.join(known, "key", "left_anti")
+    keyed = _t(spark, sf_dir, "chunks").select(vector.cache_key(F.col("text"), "kb-embed-2", 64).alias("key"))
+    return vector.asked_keys(keyed, _t(spark, sf_dir, "embed_cache")).where("not hit").select("key")
 
 
 def embed_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +263,17 @@ def embed_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.embed_cached(texts, cache, vector.hash_embedder(16)).counts
 
 
+def embed_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against a cache that holds every third one: which are hits, and the vectors' sums."""
+    d = _t(spark, sf_dir, "documents").where("text is not null")
+    embedder = vector.hash_embedder(16)
+    cache = embedder.embed(d.where("doc_id % 3 = 0").select("text")).select(vector.cache_key(F.col("text"), embedder.model, embedder.dims).alias("key"), F.col("embedding").cast("array<float>").alias("embedding"))
+    out = vector.embed_cached(d.select("doc_id", "text"), cache, embedder)
+    added = out.added.select("key", F.lit(True).alias("added"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return out.vectors.join(added, "key", "left").select("doc_id", F.col("added").isNull().alias("hit"), F.round(total, 4).alias("total"))
+
+
 def embed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, cache = _t(spark, sf_dir, "chunks").select("text"), _t(spark, sf_dir, "embed_cache").select("key", "embedding")
     return vector.embedding_cost(texts, cache, vector.Embedder("kb-embed-2", 64, lambda df: df, 0.15)).withColumn("cost", F.round("cost", 8))
@@ -272,27 +309,24 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = _ranked_lists(spark, sf_dir).where("list in ('fts5', 'vec0')")
-    fused = rank.reciprocal_rank_fusion(two, ["run_id"])
-    return fused.where("rank <= 10").select("run_id", "record_id", F.round("score", 9).alias("score"), "rank")
+    lists = _ranked_lists(spark, sf_dir).withColumnRenamed("run_id", "qid")
+    fused = retrieve.hybrid_ranked(lists.where("list = 'fts5'"), lists.where("list = 'vec0'"), 10)
+    return fused.select(F.col("qid").alias("run_id"), "record_id", F.round("score", 9).alias("score"), "rank")
 
 
 def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus()
+    """Every run of the memory backend as one request: filters, sorting, positions."""
     hits = _ranked_lists(spark, sf_dir).where("list = 'memory'").groupBy("run_id", "record_id").agg(F.max("score").alias("score"))
-    rows = hits.join(_store(spark, sf_dir).select(F.col("id").alias("record_id"), "fields"), "record_id")
-    for f in (Filter("value_score", "gte", 3), Filter("content_type", "in", ["reel", "carousel", "post"]), Filter("domains", "in", ["motion", "typography", "ui_ux"])):
-        rows = rows.where(serve_condition(f, c.fields[f.field].is_list, F.col(f"fields.{f.field}")))
-    order = sort_order((SortKey("value_score", "desc"), SortKey("owner", "asc")), lambda n: F.col(f"fields.{n}"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order))).select("run_id", "record_id", F.col("fields.value_score").alias("value_score"), F.col("fields.owner").alias("owner"), "rank")
+    filters = (Filter("value_score", "gte", 3), Filter("content_type", "in", ["reel", "carousel", "post"]), Filter("domains", "in", ["motion", "typography", "ui_ux"]))
+    return serve.filtered(corpus(), hits, filters, (SortKey("value_score", "desc"), SortKey("owner", "asc")), _store(spark, sf_dir), ("run_id",))
 
 
 def serve_filters_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _served(spark, sf_dir)
+    return _served(spark, sf_dir).select("run_id", "record_id", F.col("fields.value_score").alias("value_score"), F.col("fields.owner").alias("owner"), F.col("position").alias("rank"))
 
 
 def serve_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _served(spark, sf_dir).where(F.col("rank").between(6, 10)).select("run_id", "record_id", "rank")
+    return serve.page(_served(spark, sf_dir), 5, 5).select("run_id", "record_id", F.col("position").alias("rank"))
 
 
 def serve_list_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,8 +339,8 @@ def serve_list_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def serve_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point lookups of all expected ids of the gold questions."""
-    wanted = _t(spark, sf_dir, "gold_questions").select(F.explode("expected").alias("id")).distinct()
-    return wanted.join(_store(spark, sf_dir).select("id", "row_no", "content_hash"), "id", "left")
+    wanted = _t(spark, sf_dir, "gold_questions").select(F.explode("expected").alias("id"))
+    return serve.get_many(wanted, _store(spark, sf_dir)).select("id", "row_no", "content_hash")
 
 
 def serve_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,12 +348,49 @@ def serve_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _questions(spark, sf_dir)
     top = _lexical(spark, sf_dir).search(q, 2)
     texts = _t(spark, sf_dir, "chunks").select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    best = top.where("rank = 1").join(texts, "chunk_id").select("qid", F.col("score").alias("s1"), content_tokens(F.col("text")).alias("doc"))
-    second = top.where("rank = 2").select("qid", F.col("score").alias("s2"))
-    rows = q.join(best, "qid", "left").join(second, "qid", "left")
-    coverage = coverage_ratio(content_tokens(F.col("question")), F.col("doc"))
-    margin = F.when(F.col("s2").isNull(), 1.0).when(F.col("s1") == 0, 0.0).otherwise((F.col("s1") - F.col("s2")) / F.abs("s1"))
-    return rows.select(F.col("qid").alias("question_id"), F.round(coverage, 4).alias("coverage"), F.round(margin, 4).alias("margin"), (F.col("s1").isNull() | (coverage < 0.6) | (margin < 0.15)).alias("abstained"))
+    rows = q.join(top, "qid", "left").join(texts, "chunk_id", "left").withColumn("position", F.coalesce("rank", F.lit(1)))
+    told = serve.judged(rows, F.col("question"), F.col("text"), serve.ServeConfig(), ("qid",)).where("position = 1")
+    return told.select(F.col("qid").alias("question_id"), F.round("coverage", 4).alias("coverage"), F.round("margin", 4).alias("margin"), "abstained")
+
+
+def gate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate evaluates: the index rebuilt from the record store, ten records a question."""
+    ranked = gate.retrieved(corpus(), _store(spark, sf_dir), _t(spark, sf_dir, "gold_questions"))
+    return ranked.select("question_id", "record_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every run and retriever against the questions' expected ids."""
+    r = _t(spark, sf_dir, "ranked_hits").where("score is not null").groupBy("run_id", "retriever", "question_id", "record_id").agg(F.max("score").alias("score"))
+    hits = r.withColumn("rank", F.row_number().over(Window.partitionBy("run_id", "retriever").orderBy(F.col("score").desc(), "record_id")))
+    key = F.concat_ws("|", "question_id", F.col("run_id").cast("string"), "retriever")
+    gold = _t(spark, sf_dir, "gold_questions")
+    asked = hits.select("run_id", "retriever", "question_id").distinct().join(gold, "question_id").withColumn("question_id", key)
+    m = evaluate.question_metrics(asked, hits.withColumn("question_id", key))
+    return m.select("question_id", "n_hits", *(F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "ndcg_10", "mrr")))
+
+
+def _document_vectors(spark: SparkSession, sf_dir: str) -> retrieve.VectorIndex:
+    return retrieve.VectorIndex.of_documents(_store(spark, sf_dir), corpus(), vector.hash_embedder(16))
+
+
+def dense_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector a record, the ten nearest to each question."""
+    hits = _document_vectors(spark, sf_dir).search(_questions(spark, sf_dir), 10)
+    return hits.select(F.col("qid").alias("question_id"), "record_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def dense_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by distance, filtered after five times as many were taken."""
+    hits = _document_vectors(spark, sf_dir).search(_questions(spark, sf_dir), 5, F.col("content_type") == "reel", "distance", prefilter=False)
+    return hits.select(F.col("qid").alias("question_id"), "record_id", F.round("score", 6).alias("score"), "rank")
+
+
+def bm25_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search under a metadata filter, taken before ranking."""
+    chunks = _t(spark, sf_dir, "chunks").select("chunk_id", "record_id", F.from_json("metadata", "owner string, content_type string, domains array<string>").alias("metadata"), "text")
+    keep = lexical.metadata_filter({"content_type": "reel", "domains": ["motion", "typography"]}, kinds={"domains": "list"})
+    return _rounded(lexical.LexicalIndex.build(chunks, keep=True).search(_questions(spark, sf_dir), 5, keep, prefilter=True))
 
 
 # --- views --------------------------------------------------------------------------------------
@@ -340,6 +411,19 @@ def _view(name: str, provenance: bool = False) -> Callable[[SparkSession, str],
     return run
 
 
+def view_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view stored by the manager and served while it is fresh."""
+    manager = views.ViewManager(spark, corpus(), new_path(spark, "views"))
+    manager.refresh(_records(spark, sf_dir), "by_domain", provenance=False)
+    return manager.serve("by_domain").select("domains", "post_count", F.round("avg_value_score", 6).alias("avg_value_score"), "schema_version")
+
+
+def view_provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = next(v for v in views.parse_views(corpus()) if v.name == "top_creators")
+    rows = views.provenance_rows(view, _records(spark, sf_dir).withColumn("seq", F.col("row_no")))
+    return rows.select("owner", "seq", "record_id", "source", "media_ref")
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 
@@ -379,6 +463,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = (
     map_transforms, json_path_props, content_hash, record_hash, envelope_gaps, coverage_stats, namespaced_versions, hash_skip, reconcile, carry_forward, merge_sources, record_store,
+    hash_revert, reference_order, embed_cache_hits, gate_retrieval, gate_metrics, dense_documents, dense_overfetch, bm25_metadata, view_served, view_provenance_rows,
     chunk_by_field, chunk_by_size, document_text, bm25_search, bm25_filtered, bm25_overfetch, bm25_best_per_record, bm25_phrases, token_counts, hash_embed, embed_cache_misses, embed_cached, embed_cost,
     vector_topk, vector_topk_filtered, rrf_fusion, hybrid_topk, serve_filters_sort, serve_page2, serve_list_filters, serve_get, serve_abstain, eval_questions, eval_summary, triage_signals,
 )
@@ -387,7 +472,7 @@ _PLAIN = (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in _PLAIN}
     out |= {f"dedupe_{p}": _deduped(p) for p in ingest.POLICIES}
-    out |= {f"view_{v}": _view(v) for v in ("top_creators", "tools", "by_domain", "multi_key", "seeded", "ranged")}
+    out |= {f"view_{v}": _view(v) for v in ("top_creators", "tools", "by_domain", "multi_key", "seeded", "seeded_pairs", "ranged")}
     return out | {"view_provenance": _view("by_domain", provenance=True)}
 
 

@@ -198,7 +198,7 @@ class _Checker:
             mapped.append(MappingSpec(target, m["from"], transform, m.get("pattern")))
         provenance = self.mapping(raw.get("provenance"), f"source {name}: provenance")
         for key in ("source", "media_ref", "timestamp_field"):
-            self.need(key in provenance, f"source {name}: provenance has no {key}")
+            self.need(provenance.get(key) is not None and str(provenance[key]).strip(), f"source {name}: provenance has no {key}")
         location = raw.get("location")
         if location is not None:
             location = str(resolved(location, self.path.parent.parent))

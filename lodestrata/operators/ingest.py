@@ -163,11 +163,30 @@ def dedupe(records: DataFrame, keys: list[Column], policy: str, seq: str = "seq"
     return (won if policy == "keep_first" else won.withColumn(seq, F.col("_slot")).drop("_slot")).drop("_n", *drop)
 
 
-def split_known(records: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(added, skipped): rows whose (id, content_hash) the manifest has are skipped."""
-    on = ["id", "content_hash"]
-    known = manifest.select(*on).distinct()
-    return records.join(known, on, "left_anti"), records.join(known, on, "left_semi")
+def namespaced(records: DataFrame, namespace: str | None) -> DataFrame:
+    """Ids with the source's namespace before them; without one as they are."""
+    return records.withColumn("id", F.concat(F.lit(f"{namespace}:"), "id")) if namespace else records
+
+
+def split_known(records: DataFrame, manifest: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(added, skipped): rows whose id has the same content hash now are skipped.
+
+    ``manifest`` (id, content_hash) has one row for each id. Rows are taken by ``order``: what an
+    id has is the hash of its row before, in ``records`` or else in the manifest, so a content
+    that comes back after another one is added again. A null hash is never the same.
+    """
+    was = manifest.select(F.col("id").alias("_id"), F.col("content_hash").alias("_held"))
+    by = Window.partitionBy("id").orderBy(order)
+    told = records.withColumn("_n", F.row_number().over(by)).withColumn("_before", F.lag("content_hash").over(by)).join(was, F.col("id") == F.col("_id"), "left")
+    same = F.coalesce(F.when(F.col("_n") == 1, F.col("_held")).otherwise(F.col("_before")) == F.col("content_hash"), F.lit(False))
+    told = told.withColumn("_same", same)
+    return told.where("not _same").select(*records.columns), told.where("_same").select(*records.columns)
+
+
+def current_hashes(manifest: DataFrame, records: DataFrame, order: str = "seq") -> DataFrame:
+    """The manifest after ``records``: id and content_hash, the last one of each id."""
+    last = records.groupBy("id").agg(F.max_by("content_hash", order).alias("content_hash"))
+    return manifest.select("id", "content_hash").join(last.select("id"), "id", "left_anti").unionByName(last)
 
 
 def coverage(records: DataFrame, names: list[str], prefix: str = "fields.") -> DataFrame:
@@ -182,6 +201,26 @@ def reconcile(reference: DataFrame, final: DataFrame, on: list[str]) -> DataFram
     return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("extra")))
 
 
+def reconciled(reference: DataFrame, final: DataFrame, key: str = "id") -> DataFrame:
+    """``final``, if it has exactly the keys of ``reference``, each once; else an error.
+
+    One aggregation over both key columns counts missing, extra and repeated keys and names the
+    first of each."""
+    both = reference.select(F.col(key).alias("k"), F.lit(1).alias("r"), F.lit(0).alias("f")).unionByName(final.select(F.col(key).alias("k"), F.lit(0).alias("r"), F.lit(1).alias("f")))
+    counts = both.groupBy("k").agg(F.sum("r").alias("r"), F.sum("f").alias("f"))
+    kind = F.when(F.col("f") == 0, "missing").when(F.col("r") == 0, "extra").when(F.col("f") > 1, "repeated")
+    wrong = counts.select("k", kind.alias("kind")).where("kind is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("k").cast("string")).alias("first"))
+    if rows := wrong.orderBy("kind").collect():  # at most three
+        raise PipelineError("; ".join(f"{r['n']} {r['kind']}, first {r['first']!r}" for r in rows))
+    return final
+
+
+def in_reference_order(final: DataFrame, reference: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+    """``final`` sorted as ``reference`` delivers its keys (first place of a key); others at the end by key."""
+    place = reference.groupBy(key).agg(F.min(order).alias("_place"))
+    return final.join(place, key, "left").orderBy(F.col("_place").asc_nulls_last(), key).drop("_place")
+
+
 def carried_forward(skipped: DataFrame, previous: DataFrame, order: str = "seq") -> DataFrame:
     """Skipped rows with their previous payload, as stored; a missing one raises when it is read."""
     old = previous.select("id", F.struct(*[c for c in previous.columns if c != "id"]).alias("_old"))
@@ -201,8 +240,9 @@ class IngestResult:
 
 @dataclass
 class Pipeline:
-    """Runs the sources of a corpus in declared order; a manifest (id, content_hash) of earlier
-    runs makes it incremental, and each source sees what those before it added."""
+    """Runs the sources of a corpus in declared order; a manifest (id, content_hash; one row for
+    each id) of earlier runs makes it incremental, and each source sees the state that those
+    before it left."""
 
     spark: SparkSession
     corpus: Corpus
@@ -225,15 +265,14 @@ class Pipeline:
         if policy_of_failure == "abort" and (bad := gaps.orderBy("seq").first()):
             raise PipelineError(f"source {spec.name}, row {bad['seq']}: {bad['reason']} {bad['detail']}")
         good = mapped.where("reason is null").drop("reason", "detail")
-        if namespace:
-            good = good.withColumn("id", F.concat(F.lit(f"{namespace}:"), "id"))
+        good = namespaced(good, namespace)
         key_columns = [F.col("id") if k == self.corpus.id_field else F.col(f"fields.{k}") for k in keys]
         once = dedupe(good, key_columns, policy, timestamp=F.col("provenance.timestamp"), confidence=F.col("provenance.confidence"))
         if self.manifest is None:
             self.manifest = self.spark.createDataFrame([], "id string, content_hash string")
         added, skipped = split_known(once, self.manifest)
         added = staged(added, f"added-{spec.name}")
-        self.manifest = self.manifest.unionByName(added.select("id", "content_hash"))
+        self.manifest = staged(current_hashes(self.manifest, once), f"manifest-{spec.name}")
         return IngestResult(spec.name, added, skipped, gaps, coverage(good, list(self.corpus.fields)))
 
 

@@ -1,30 +1,32 @@
 """Materialised aggregate views: declared groups, metrics and filters over records.
 
-A view is one plan: filter, explode the list facets, group, and a full join with the seeded
-keys where a filter lists values of a single group key. With several keys the other keys of a
+A view is one plan: filter, explode the list facets, group, and the seeded keys where a filter
+lists values of a group key (every such key is seeded). With several keys the other keys of a
 seeded row are null.
 """
 
 from __future__ import annotations
 
-import json
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
-from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contract import LIST_TYPES, NUMBER_TYPES, SPARK_TYPES, Corpus
 from ..errors import FilterError, MaterializeError, StaleViewError, ViewConfigError
+from ..session import discard
 
 OPS = ("eq", "in", "gte", "lte", "between")
 RANGES = ("gte", "lte", "between")
 _UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}
+_STAMP = "materialized_at string, folder string"
 PROVENANCE_ROW = "array<struct<record_id:string,source:string,media_ref:string,timestamp:string>>"
 
 
@@ -121,24 +123,16 @@ def view_condition(col: Column, is_list: bool, op: str, value: Any, numeric: boo
     return F.coalesce(F.exists(col, one) if is_list else one(col), F.lit(False))
 
 
-def materialize(view: View, records: DataFrame, now: datetime | None = None, provenance: bool = True) -> DataFrame:
-    """Rows: group keys, metrics, provenance, materialized_at, schema_version.
-
-    ``records`` has the struct ``fields`` (or the fields as columns), and for provenance id, the
-    struct ``provenance`` and ``seq`` (the input order). Provenance holds a group's record
-    pointers in one array, as a view row demands; leave it out for groups of unbounded size.
-    """
-    if not isinstance(records, DataFrame):
-        raise MaterializeError("records must be a DataFrame")
-    corpus, now = view.corpus, now or datetime.now(UTC)
+def _grouped(view: View, records: DataFrame, means: list[str], provenance: bool) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Filtered rows with the group keys (lists unfolded), the metrics' fields and the record pointer."""
+    corpus = view.corpus
     nested = "fields" in records.columns and isinstance(records.schema["fields"].dataType, T.StructType)
     have = set(records.schema["fields"].dataType.names if nested else records.columns)
     field = lambda f: F.col(f"fields.{f}" if nested else f) if f in have else F.lit(None).cast(SPARK_TYPES[corpus.fields[f].type])
     rows = records
     for f, (op, value) in view.filters.items():
         rows = rows.where(view_condition(field(f), corpus.fields[f].type in LIST_TYPES, op, value, corpus.fields[f].type in NUMBER_TYPES))
-    means = {m.field for m in view.metrics if m.field}
-    want = [field(f).alias(f"m_{f}") for f in sorted(means)]
+    want = [field(f).alias(f"m_{f}") for f in means]
     if provenance:
         p = F.col("provenance") if "provenance" in records.columns else None
         part = [F.col("seq") if "seq" in records.columns else F.lit(0).alias("seq"), (F.col("id") if "id" in records.columns else field(corpus.id_field).cast("string")).alias("record_id")]
@@ -148,6 +142,22 @@ def materialize(view: View, records: DataFrame, now: datetime | None = None, pro
     for k in view.group_by:
         if corpus.fields[k].type in LIST_TYPES:  # several lists: every combination of their values
             rows = rows.withColumn(k, F.explode_outer(k))
+    return rows, field
+
+
+def materialize(view: View, records: DataFrame, now: datetime | None = None, provenance: bool = True) -> DataFrame:
+    """Rows: group keys, metrics, provenance, materialized_at, schema_version.
+
+    ``records`` has the struct ``fields`` (or the fields as columns), and for provenance id, the
+    struct ``provenance`` and ``seq`` (the input order). Provenance holds a group's record
+    pointers in one array, as a view row demands; for groups of unbounded size leave it out and use
+    ``provenance_rows``.
+    """
+    if not isinstance(records, DataFrame):
+        raise MaterializeError("records must be a DataFrame")
+    corpus, now = view.corpus, now or datetime.now(UTC)
+    means = {m.field for m in view.metrics if m.field}
+    rows, field = _grouped(view, records, sorted(means), provenance)
     aggs = []
     for m in view.metrics:
         aggs.append(F.count(F.lit(1)).alias(m.name) if m.kind == "count" else F.avg(F.col(f"m_{m.field}").cast("double")).alias(m.name))
@@ -157,11 +167,17 @@ def materialize(view: View, records: DataFrame, now: datetime | None = None, pro
     for k in view.group_by:
         if k in view.filters and view.filters[k][0] == "in":
             out = _seeded(view, out, k)
-            break
     keys = [F.initcap(F.coalesce(F.col(k).cast("string"), F.lit("None"))) if corpus.fields[k].type == "bool" else F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in view.group_by]
     return out.withColumn("materialized_at", F.lit(now.astimezone(UTC).isoformat())).withColumn("schema_version", F.lit(corpus.schema_version)).orderBy(*keys)
 
 
+def provenance_rows(view: View, records: DataFrame) -> DataFrame:
+    """The records behind each group as rows (group keys, ``seq``, ``record_id``, ``source``, ``media_ref``,
+    ``timestamp``): what the array of a view row holds, for groups of any size."""
+    out = _grouped(view, records, [], True)[0]
+    return out.select(*view.group_by, "_p.*")
+
+
 def _seeded(view: View, rows: DataFrame, key: str) -> DataFrame:
     """The listed values of a filtered key that no record has, at count 0."""
     kind = rows.schema[key].dataType
@@ -187,26 +203,41 @@ class ViewManager:
             raise ViewConfigError(f"unknown view {name!r}")
         return self.views[name]
 
+    def _state(self, name: str) -> tuple[datetime, str] | None:
+        """When the view was last stored, and the folder of its rows."""
+        try:
+            row = self.spark.read.schema(_STAMP).json(f"{self.path}/_stamps/{name}").orderBy(F.col("materialized_at").desc()).first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return (datetime.fromisoformat(row["materialized_at"]), row["folder"]) if row else None
+
     def _stamp(self, name: str) -> datetime | None:
-        p = Path(self.path, f"{name}.json")
-        return datetime.fromisoformat(json.loads(p.read_text())["materialized_at"]) if p.exists() else None
+        state = self._state(name)
+        return state and state[0]
 
     def refresh(self, records: DataFrame, view: str | None = None, provenance: bool = True) -> list[str]:
+        """Store the rows of one view or all. Rows go to a new folder; the stamp that names it is
+        written last, by Spark, so readers see old rows with the old stamp or new ones with the new."""
         done = []
         for name in [view] if view else list(self.views):
-            now = self.clock()
-            materialize(self._view(name), records, now, provenance).write.mode("overwrite").parquet(f"{self.path}/{name}")
-            Path(self.path, f"{name}.json").write_text(json.dumps({"materialized_at": now.isoformat()}))
+            now, before = self.clock(), self._state(name)
+            folder = f"{self.path}/{name}/{now.astimezone(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+            materialize(self._view(name), records, now, provenance).write.parquet(folder)
+            self.spark.createDataFrame([(now.isoformat(), folder)], _STAMP).coalesce(1).write.mode("append").json(f"{self.path}/_stamps/{name}")
+            if before:
+                discard(self.spark, before[1])
             done.append(name)
         return done
 
     def serve(self, name: str) -> DataFrame:
-        view, stamp = self._view(name), self._stamp(name)
-        if stamp is None:
+        view, state = self._view(name), self._state(name)
+        if state is None:
             raise StaleViewError(f"view {name} was never materialised")
-        if self.clock() - stamp > view.freshness:
+        if self.clock() - state[0] > view.freshness:
             raise StaleViewError(f"view {name} is older than {view.freshness}")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(state[1])
 
     def status(self) -> dict[str, dict[str, Any]]:
         out = {}

@@ -22,6 +22,11 @@ _STORE = "(SELECT * FROM canonical_records QUALIFY row_number() OVER (PARTITION
 _CHUNK_COLUMNS = "id || '::' || c.f || '::' || idx AS chunk_id, id AS record_id, c.f AS chunk_field, idx::INT AS chunk_idx, length(c.t)::INT AS chars, md5(c.t) AS text_md5, provenance.media_ref AS media_ref"
 
 
+def _texts(entries: str, records: str) -> str:
+    return f"""SELECT id || '::' || c.f || '::' || idx AS chunk_id, id AS record_id, NULL AS content_type, c.t AS text FROM (
+      SELECT id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS idx FROM (SELECT id, list_filter({entries}, lambda x: x.t <> '') AS l FROM {records}))"""
+
+
 def _chunks(entries: str) -> str:
     return f"""
     WITH e AS (SELECT id, provenance, list_filter({entries}, lambda x: x.t <> '') AS l FROM canonical_records),
@@ -39,9 +44,12 @@ _QUESTIONS = "SELECT question_id AS qid, question FROM gold_questions"
 _FIXED = "SELECT * FROM (VALUES ('a', 'eye-can rest rest'), ('b', 'fonts-load-late — poster')) v(qid, question)"
 
 
-def _bm25(tail: str, questions: str = _QUESTIONS) -> str:
+_CHUNKS = "SELECT DISTINCT chunk_id, record_id, json_extract_string(metadata, '$.content_type') AS content_type, text FROM chunks"
+
+
+def _bm25(tail: str, questions: str = _QUESTIONS, chunks: str = _CHUNKS) -> str:
     return rf"""
-    WITH ch AS (SELECT DISTINCT chunk_id, record_id, json_extract_string(metadata, '$.content_type') AS content_type, text FROM chunks),
+    WITH ch AS ({chunks}),
     tk AS (SELECT chunk_id, record_id, content_type, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+') AS toks FROM ch),
     st AS (SELECT count(*)::DOUBLE AS n_all, avg(len(toks)) AS avgdl FROM tk),
     pos AS (SELECT chunk_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM tk),
@@ -113,6 +121,30 @@ _DOC_TEXT = "regexp_replace(array_to_string(flatten([" + ", ".join(_part_list(f)
 
 _SIGNALS = "+".join(f"contains(lower(coalesce(text, '')), '{s}')::INT" for s in ("font", "poster", "prototype", "keyframe", "newsletter", "client", "freelanc", "checklist"))
 
+def _embedded(key: str, text: str, source: str, kind: str) -> str:
+    """``key, v``: the 16 buckets of each text at unit length, held as ``kind``."""
+    return rf"""
+    SELECT x.k AS key, list((coalesce(n / size, 0.0))::{kind}::DOUBLE ORDER BY b) AS v FROM (SELECT {key} AS k, unnest(range(16)) AS b FROM {source}) x
+    LEFT JOIN (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY k)) AS size FROM (
+      SELECT k, ('0x' || substr(md5(tok), 17, 16))::UBIGINT % 16 AS bucket, count(*)::DOUBLE AS n FROM (
+        SELECT {key} AS k, unnest(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '{_BLANKS}'), lambda x: x <> '')) AS tok FROM {source}) GROUP BY 1, 2)) c ON c.k = x.k AND c.bucket = x.b
+    GROUP BY 1"""
+
+
+_SEARCH_TEXT = "regexp_replace(array_to_string(flatten([" + ", ".join(_part_list(f) for f in _SEARCH) + "]), chr(10)), '^\\s+|\\s+$', '', 'g')"
+
+
+def _dense(score: str, wide: int, also: str = "", k: int | None = None) -> str:
+    empty = "list_max(list_transform({0}.v, lambda x: abs(x))) = 0"
+    score = f"CASE WHEN {empty.format('d')} OR {empty.format('q')} THEN 0.0 ELSE {score} END" if "cosine" in score else score
+    chunk = "record_id || '::__document__::0' AS chunk_id, " if k is None else ""
+    return f"""WITH d AS ({_embedded('id', _SEARCH_TEXT, _STORE, 'FLOAT')}), q AS ({_embedded('question_id', 'question', 'gold_questions', 'DOUBLE')}),
+        s AS (SELECT q.key AS question_id, d.key AS record_id, round({score}, 9) AS score FROM d, q),
+        w AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, record_id || '::__document__::0') AS place FROM s),
+        r AS (SELECT * FROM w WHERE place <= {wide})
+        SELECT question_id, record_id, {chunk}round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY place)::INT AS rank FROM r {also.format(s=_STORE)} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY place) <= {k or wide}"""
+
+
 SQL: dict[str, str] = {
     "map_transforms": """
         SELECT o_orderkey, o_orderkey::VARCHAR AS key_text, try_cast(substr(o_orderpriority, 1, 1) AS BIGINT) AS priority, try_cast(o_orderpriority AS BIGINT) IS NULL AS word_fails,
@@ -134,8 +166,12 @@ SQL: dict[str, str] = {
     "dedupe_highest_confidence": _dedupe("coalesce(provenance.confidence, 0.0) DESC,", True),
     "dedupe_version_append": """SELECT row_no AS seq, row_no, CASE WHEN n > 1 THEN id || '#v' || n ELSE id END AS id
         FROM (SELECT row_no, id, row_number() OVER (PARTITION BY id, fields.owner ORDER BY row_no) AS n FROM canonical_records)""",
-    "hash_skip": """SELECT row_no, CASE WHEN EXISTS (SELECT 1 FROM canonical_records o WHERE o.batch_no = 0 AND o.id = r.id AND coalesce(o.content_hash, '') = coalesce(r.content_hash, ''))
-        THEN 'skipped' ELSE 'added' END AS state FROM canonical_records r WHERE batch_no > 0""",
+    # What an id has is the hash of its row before: of batch 0 the last, then row by row.
+    "hash_skip": """WITH r AS (SELECT row_no, batch_no, coalesce(content_hash, '') AS h, lag(coalesce(content_hash, '')) OVER (PARTITION BY id ORDER BY row_no) AS before FROM canonical_records)
+        SELECT row_no, CASE WHEN before = h THEN 'skipped' ELSE 'added' END AS state FROM r WHERE batch_no > 0""",
+    "hash_revert": """SELECT n::INT AS delivery, doc_id::VARCHAR AS id, CASE WHEN n = 0 OR doc_id % 2 = 0 THEN 'added' ELSE 'skipped' END AS state FROM documents, (SELECT unnest([0, 1, 2]) AS n)""",
+    "reference_order": f"""WITH p AS (SELECT id, min(row_no) AS place FROM canonical_records GROUP BY 1)
+        SELECT s.id, s.row_no, row_number() OVER (ORDER BY place) AS position FROM {_STORE} s JOIN p ON p.id = s.id""",
     "reconcile": """WITH a AS (SELECT id FROM canonical_records), b AS (SELECT DISTINCT record_id AS id FROM chunks)
         SELECT id, 'missing' AS side FROM (SELECT id FROM a EXCEPT ALL SELECT id FROM b) UNION ALL SELECT id, 'extra' AS side FROM (SELECT id FROM b EXCEPT ALL SELECT id FROM a)""",
     "carry_forward": """WITH p AS (SELECT id, fields.owner AS owner, fields.value_score AS value_score FROM canonical_records WHERE batch_no = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_no DESC) = 1)
@@ -162,6 +198,13 @@ SQL: dict[str, str] = {
         LEFT JOIN c ON c.doc_id = d.doc_id AND c.bucket = b.bucket LEFT JOIN s ON s.doc_id = d.doc_id""",
     "embed_cache_misses": """SELECT DISTINCT sha256(text) || '::kb-embed-2::64' AS key FROM chunks
         WHERE sha256(text) || '::kb-embed-2::64' NOT IN (SELECT key FROM embed_cache WHERE embedding IS NOT NULL)""",
+    "embed_cache_hits": rf"""
+        WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{_BLANKS}'), lambda x: x <> '')) AS tok FROM d),
+        c AS (SELECT doc_id, ('0x' || substr(md5(tok), 17, 16))::UBIGINT % 16 AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2),
+        s AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY 1),
+        v AS (SELECT doc_id, sum((n / size)::FLOAT::DOUBLE) AS total FROM c JOIN s USING (doc_id) GROUP BY 1)
+        SELECT d.doc_id, d.text IN (SELECT text FROM d WHERE doc_id % 3 = 0) AS hit, round(coalesce(total, 0.0), 4) AS total FROM d LEFT JOIN v USING (doc_id)""",
     "embed_cached": """SELECT count(*)::BIGINT AS asked, count(e.key)::BIGINT AS hits, (count(*) - count(e.key))::BIGINT AS misses FROM documents d
         LEFT JOIN (SELECT DISTINCT key FROM embed_cache WHERE embedding IS NOT NULL) e ON e.key = sha256(d.text) || '::hash-embed::16'""",
     "embed_cost": """WITH o AS (SELECT length(text) AS n FROM chunks WHERE sha256(text) || '::kb-embed-2::64' NOT IN (SELECT key FROM embed_cache)),
@@ -178,6 +221,29 @@ SQL: dict[str, str] = {
     "hybrid_topk": f"""WITH {_LISTED}, b AS (SELECT run_id, list, record_id, min(rank) AS rank FROM r WHERE list IN ('fts5', 'vec0') GROUP BY 1, 2, 3),
         s AS (SELECT run_id, record_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM b GROUP BY 1, 2)
         SELECT run_id, record_id, round(score, 9) AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, record_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY s.score DESC, record_id) <= 10""",
+    "gate_retrieval": _bm25(f""", b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS place FROM ok),
+        f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid, record_id ORDER BY place) = 1)
+        SELECT qid AS question_id, record_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY place)::INT AS rank FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY place) <= 10""", _QUESTIONS, _texts(_BY_FIELD, _STORE)),
+    "gate_metrics": """
+        WITH b AS (SELECT run_id, retriever, question_id, record_id, max(score) AS score FROM ranked_hits WHERE score IS NOT NULL GROUP BY 1, 2, 3, 4),
+        k AS (SELECT *, row_number() OVER (PARTITION BY run_id, retriever ORDER BY score DESC, record_id) AS rank FROM b),
+        a AS (SELECT DISTINCT run_id, retriever, k.question_id, g.expected, len(g.expected) AS e FROM k JOIN gold_questions g USING (question_id)),
+        x AS (SELECT a.*, k.rank, k.record_id, list_contains(a.expected, k.record_id) AS hit FROM a LEFT JOIN k ON k.run_id = a.run_id AND k.retriever = a.retriever AND k.question_id = a.question_id AND k.rank <= 10)
+        SELECT question_id || '|' || run_id || '|' || retriever AS question_id, count(rank)::INT AS n_hits,
+          round(CASE WHEN any_value(e) > 0 THEN count(CASE WHEN hit AND rank <= 5 THEN 1 END) / any_value(e) ELSE 0.0 END, 6) AS recall_5,
+          round(CASE WHEN any_value(e) > 0 THEN count(CASE WHEN hit THEN 1 END) / any_value(e) ELSE 0.0 END, 6) AS recall_10,
+          round(CASE WHEN any_value(e) > 0 THEN coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 1) END), 0) / list_sum(list_transform(range(1, least(any_value(e), 10) + 1), lambda i: 1 / log2(i + 1))) ELSE 0.0 END, 6) AS ndcg_10,
+          round(coalesce(1.0 / min(CASE WHEN hit THEN rank END), 0.0), 6) AS mrr FROM x GROUP BY run_id, retriever, x.question_id""",
+    "dense_documents": _dense("list_cosine_similarity(d.v, q.v)", 10),
+    "dense_overfetch": _dense("1 - list_distance(d.v, q.v)", 25, "JOIN (SELECT id FROM {s} WHERE fields.content_type = 'reel') ok ON ok.id = r.record_id", 5),
+    "bm25_metadata": _bm25(f"{_OUT} FROM ({_ranked('ok', 5, 'content_type IS NOT NULL')})", _QUESTIONS, """SELECT chunk_id, record_id, CASE WHEN json_extract_string(metadata, '$.content_type') = 'reel'
+        AND list_has_any(coalesce(from_json(json_extract(metadata, '$.domains'), '["VARCHAR"]'), []), ['motion', 'typography']) THEN 'reel' END AS content_type, text FROM (SELECT DISTINCT chunk_id, record_id, metadata, text FROM chunks)"""),
+    "view_served": f"SELECT domains, count(*) AS post_count, round(avg(v), 6) AS avg_value_score, '1' AS schema_version FROM (SELECT {_outer('fields.domains')} AS domains, fields.value_score AS v FROM canonical_records) GROUP BY 1",
+    "view_provenance_rows": "SELECT fields.owner AS owner, row_no AS seq, id AS record_id, provenance.source AS source, provenance.media_ref AS media_ref FROM canonical_records WHERE fields.extraction_status = 'ok'",
+    "view_seeded_pairs": """WITH g AS (SELECT fields.content_type AS content_type, fields.owner AS owner, count(*) AS post_count FROM canonical_records
+          WHERE fields.content_type IN ('reel', 'hologram') AND fields.owner IN ('nobody.here', 'noone.there') GROUP BY 1, 2)
+        SELECT *, '1' AS schema_version FROM g UNION ALL SELECT v, NULL, 0, '1' FROM (SELECT unnest(['reel', 'hologram']) AS v) WHERE v NOT IN (SELECT content_type FROM g)
+        UNION ALL SELECT NULL, v, 0, '1' FROM (SELECT unnest(['nobody.here', 'noone.there']) AS v) WHERE v NOT IN (SELECT owner FROM g)""",
     "serve_filters_sort": f"{_SERVED} SELECT run_id, record_id, value_score, owner, rank::INT AS rank FROM o",
     "serve_page2": f"{_SERVED} SELECT run_id, record_id, rank::INT AS rank FROM o WHERE rank BETWEEN 6 AND 10",
     "serve_list_filters": f"""SELECT id, coalesce(fields.domains = ['motion', 'ui_ux'], FALSE) AS equal, coalesce(list_has_any(fields.domains, ['motion', 'ui_ux']), FALSE) AS overlaps,

@@ -9,9 +9,16 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
-
-from ..operators.evaluate import question_metrics, summary
+from pyspark.sql import functions as F
+
+from ..contract import Corpus
+from ..errors import ModeError
+from ..operators.chunk import Chunker
+from ..operators.evaluate import TOP_K, question_metrics, summary
+from ..operators.lexical import LexicalIndex
+from ..operators.vector import Embedder, hash_embedder
 from ..sources.sinks import write_json
+from .retrieve import VectorIndex, dense_ranked, hybrid_ranked, lexical_ranked
 
 #: Gated metrics and the absolute drop that fails.
 METRICS = ("recall@5", "recall@10", "ndcg@10", "mrr")
@@ -52,11 +59,11 @@ class GateResult:
 
 def load_baseline(path: str | Path) -> Baseline:
     raw = json.loads(Path(path).read_text(encoding="utf-8"))
-    missing = [k for k in ("schema_version", "index_version", "eval_set_version", "embedder_version", "corpus", "metrics") if k not in raw]
+    missing = [k for k in ("schema_version", "index_version", "eval_set_version", "embedder_version", "corpus", "metrics", "generated_at") if k not in raw]
     missing += [m for m in METRICS if m not in {k.lower() for k in raw.get("metrics", {})}]
     if missing:
         raise ValueError(f"baseline {path} lacks {', '.join(missing)}")
-    return Baseline(Versions(raw["schema_version"], raw["index_version"], raw["eval_set_version"], raw["embedder_version"]), raw["corpus"], {k.lower(): float(v) for k, v in raw["metrics"].items()}, raw.get("generated_at", ""))
+    return Baseline(Versions(str(raw["schema_version"]), str(raw["index_version"]), str(raw["eval_set_version"]), dict(raw["embedder_version"])), str(raw["corpus"]), {k.lower(): float(v) for k, v in raw["metrics"].items()}, str(raw["generated_at"]))
 
 
 def write_baseline(baseline: Baseline, path: str | Path) -> Path:
@@ -102,3 +109,46 @@ def quality_gate(questions: DataFrame, hits: DataFrame, versions: Versions, base
         code, report = EXIT["error"], {"error": str(e), "generated_at": now.isoformat()}
     write_json(Path(out_dir) / f"gate-{now:%Y%m%dT%H%M%S}Z.json", report)
     return code, report
+
+
+def retrieved(corpus: Corpus, records: DataFrame, questions: DataFrame, mode: str = "bm25", embedder: Embedder | None = None, top_k: int = TOP_K) -> DataFrame:
+    """Rebuild the index of ``records`` and retrieve the ``top_k`` best records of each question.
+
+    ``mode`` is bm25, dense (one vector a chunk), document (one vector a record) or hybrid.
+    """
+    asked = questions.select(F.col("question_id").alias("qid"), "question")
+    embedder = embedder or hash_embedder()
+    chunks = Chunker.of(corpus).chunks(records).select("chunk_id", "record_id", "text") if mode != "document" else None
+    if mode == "document":
+        ranked = dense_ranked(VectorIndex.of_documents(records, corpus, embedder), asked, top_k)
+    elif mode == "dense":
+        ranked = dense_ranked(VectorIndex.of_chunks(chunks, embedder), asked, top_k)
+    elif mode == "bm25":
+        ranked = lexical_ranked(LexicalIndex.build(chunks, keep=True), asked, top_k)
+    elif mode == "hybrid":
+        ranked = hybrid_ranked(lexical_ranked(LexicalIndex.build(chunks, keep=True), asked, top_k), dense_ranked(VectorIndex.of_chunks(chunks, embedder), asked, top_k), top_k)
+    else:
+        raise ModeError(f"mode {mode!r} is not known")
+    return ranked.withColumnRenamed("qid", "question_id")
+
+
+def gold_ids(records: DataFrame, field: str = "shortcode") -> DataFrame:
+    """``raw_id, gold_id``: the record id behind each value of a field, the smallest of several."""
+    if field not in records.schema["fields"].dataType.names:
+        return records.sparkSession.createDataFrame([], "raw_id string, gold_id string")
+    short = F.col(f"fields.{field}").cast("string")
+    return records.where(F.trim(short) != "").groupBy(short.alias("raw_id")).agg(F.min("id").alias("gold_id"))
+
+
+def with_record_ids(questions: DataFrame, id_map: DataFrame) -> DataFrame:
+    """The questions with expected ids turned into record ids; others stay as they are."""
+    flat = questions.select("question_id", F.posexplode("expected").alias("_at", "raw_id")).join(id_map, "raw_id", "left")
+    turned = flat.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("gold_id", "raw_id").alias("id")))).alias("_l"))
+    return questions.join(turned, "question_id", "left").withColumn("expected", F.coalesce(F.col("_l.id"), F.array().cast("array<string>"))).drop("_l")
+
+
+def rebuilt_gate(corpus: Corpus, records: DataFrame, questions: DataFrame, versions: Versions, baseline_path: str | Path, out_dir: str | Path, mode: str = "dense", embedder: Embedder | None = None) -> tuple[int, dict[str, Any]]:
+    """The whole loop: rebuild from records, retrieve, evaluate, compare, report; exit code and report."""
+    threshold = float((corpus.verify.get("gate") or {}).get("regression_threshold", THRESHOLD))
+    asked = with_record_ids(questions, gold_ids(records))
+    return quality_gate(asked, retrieved(corpus, records, asked, mode, embedder), versions, baseline_path, out_dir, threshold=threshold)

@@ -13,14 +13,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contract import Corpus
 from ..errors import ModeError, RecordStoreRequired, RerankError, StaleCursorError
-from ..functions.text import content_words
+from ..functions.text import content_tokens, content_words, coverage_ratio
 from ..operators.rank import best_per_record, reciprocal_rank_fusion
-from .params import QueryParams, serve_condition, sort_order
+from .params import Filter, QueryParams, SortKey, serve_condition, sort_order
 
 Search = Callable[[str, int], DataFrame]  # (query, top_k) -> record_id, chunk_id, score, rank
 
@@ -92,40 +93,46 @@ def read_cursor(cursor: str, index_version: str, of: str) -> int:
     return offset
 
 
-def relative_margin(scores: list[float]) -> float:
-    if len(scores) < 2:
-        return 1.0
-    return 0.0 if scores[0] == 0 else (scores[0] - scores[1]) / abs(scores[0])
+def relative_margin(first: Column, second: Column) -> Column:
+    """How far the best score is above the next: 1 without a next, 0 where the best is 0."""
+    return F.when(second.isNull(), 1.0).when(first == 0, 0.0).otherwise((first - second) / F.abs(first))
 
 
-def coverage_of(query: str, text: str | None) -> float:
-    asked = content_words(query)
-    if not asked:
-        return 1.0
-    if text is None:
-        return 0.0
-    have = set(content_words(text))
-    return sum(w in have for w in asked) / len(asked)
+def search_text(corpus: Corpus, rows: DataFrame) -> Column:
+    """The record's search fields as one text, by lines; null without a record."""
+    kinds = rows.schema["fields"].dataType
+    names = kinds.names if isinstance(kinds, T.StructType) else []
+    parts = [F.array_join(F.col(f"fields.{n}").cast("array<string>"), "\n") if isinstance(kinds[n].dataType, T.ArrayType) else F.col(f"fields.{n}").cast("string") for n in corpus.with_role("search") if n in names]
+    return F.when(F.col("fields").isNotNull(), F.concat_ws("\n", *parts) if parts else F.lit(""))
 
 
-def search_text(corpus: Corpus, row: Any) -> str:
-    out: list[str] = []
-    for name in corpus.with_role("search"):
-        value = row["fields"][name] if row["fields"] is not None and name in row["fields"] else None
-        out += [str(v) for v in value if v is not None] if isinstance(value, list) else [str(value)] if value is not None else []
-    return "\n".join(out)
+def filtered(corpus: Corpus, hits: DataFrame, filters: tuple[Filter, ...], sort: tuple[SortKey, ...], records: DataFrame, keys: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
+    """Hits (``keys``, record_id, score, rank) with their records' fields and provenance, those that
+    meet all filters, in ``position`` 1, 2, ... of each request (``keys``; none for a single one).
 
-
-def candidates(corpus: Corpus, hits: DataFrame, params: QueryParams, records: DataFrame | None) -> DataFrame:
-    """Filtered and sorted hits (at most the window) with their records' fields and provenance."""
-    if records is None:
-        return hits.withColumn("fields", F.lit(None)).withColumn("provenance", F.lit(None)).orderBy("rank")
+    ``bounded`` says that the hits are few enough to be sent to the records."""
     store = records.select(F.col("id").alias("record_id"), "fields", "provenance")
-    # The hits are at most max_top_k rows, so they are what is sent.
-    joined = store.join(F.broadcast(hits), "record_id", "right" if not params.filters else "inner")
-    for f in params.filters:
+    joined = store.join(F.broadcast(hits) if bounded else hits, "record_id", "right" if not filters else "inner")
+    for f in filters:
         joined = joined.where(serve_condition(f, corpus.fields[f.field].is_list, F.col(f"fields.{f.field}")))
-    return joined.orderBy(*sort_order(params.sort, lambda n: F.col(f"fields.{n}"))) if params.sort else joined.orderBy("rank")
+    order = sort_order(sort, lambda n: F.col(f"fields.{n}")) if sort else [F.col("rank")]
+    return joined.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def judged(rows: DataFrame, question: Column, text: Column, config: ServeConfig, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (with ``position`` and ``score``) with the evidence of their request: ``coverage`` of the
+    question by the first row's text, ``margin`` of the two best scores, ``abstained``."""
+    of = Window.partitionBy(*keys)
+    at = lambda n, c: F.max(F.when(F.col("position") == n, c)).over(of)
+    told = rows.withColumn("_text", text).withColumn("_asked", content_tokens(question)).withColumn("_held", content_tokens(F.col("_text")))
+    told = told.withColumn("_cover", coverage_ratio(F.col("_asked"), F.when(F.col("_text").isNotNull(), F.col("_held"))))
+    told = told.withColumn("coverage", at(1, F.col("_cover"))).drop("_text", "_asked", "_held", "_cover")
+    told = told.withColumn("margin", relative_margin(at(1, F.col("score")), at(2, F.col("score"))))
+    return told.withColumn("abstained", at(1, F.col("score")).isNull() | (F.col("coverage") < config.min_coverage) | (F.col("margin") < config.margin_ratio))
+
+
+def page(rows: DataFrame, offset: int, top_k: int) -> DataFrame:
+    return rows.where((F.col("position") > offset) & (F.col("position") <= offset + top_k))
 
 
 def serve(corpus: Corpus, search: Search | dict[str, Search], params: QueryParams, records: DataFrame | None = None, config: ServeConfig | None = None) -> SearchResult:
@@ -140,18 +147,27 @@ def serve(corpus: Corpus, search: Search | dict[str, Search], params: QueryParam
     of = fingerprint(params)
     offset = read_cursor(params.cursor, config.index_version, of) if params.cursor else 0
     run = search if callable(search) else search[mode]
-    rows = candidates(corpus, run(params.query, config.max_top_k), params, records).collect()  # at most max_top_k rows
+    hits = run(params.query, config.max_top_k)
     abstained, reason, detail = False, None, {}
-    if records is not None:
-        cover = coverage_of(params.query, search_text(corpus, rows[0]) if rows and rows[0]["fields"] is not None else None)
-        margin = relative_margin([r["score"] for r in rows])
-        if not rows or cover < config.min_coverage or margin < config.margin_ratio:
+    if records is None:
+        rows = hits.withColumn("provenance", F.lit(None)).orderBy("rank").collect()  # at most max_top_k rows
+    else:
+        told = filtered(corpus, hits, params.filters, params.sort, records, bounded=True)
+        told = judged(told, F.lit(params.query), search_text(corpus, told), config)
+        rows = told.select("record_id", "score", "chunk_id", "provenance", "position", "coverage", "margin", "abstained").orderBy("position").collect()
+        if not rows or rows[0]["abstained"]:
             abstained, reason = True, "insufficient_evidence"
-            detail = {"coverage": round(cover, 4), "margin": round(margin, 4)}
-    page = rows[offset : offset + top_k]
-    hits = [ServeHit(r["record_id"], r["score"], r["chunk_id"], offset + i + 1, r["provenance"].asDict() if r["provenance"] is not None else {}) for i, r in enumerate(page)]
+            cover = rows[0]["coverage"] if rows else 0.0 if content_words(params.query) else 1.0
+            detail = {"coverage": round(cover, 4), "margin": round(rows[0]["margin"] if rows else 1.0, 4)}
+    shown = rows[offset : offset + top_k]
+    out = [ServeHit(r["record_id"], r["score"], r["chunk_id"], offset + i + 1, r["provenance"].asDict() if r["provenance"] is not None else {}) for i, r in enumerate(shown)]
     more = offset + top_k < len(rows)
-    return SearchResult(hits, len(rows), abstained, reason, detail, mint_cursor(config.index_version, of, offset + top_k) if more else None)
+    return SearchResult(out, len(rows), abstained, reason, detail, mint_cursor(config.index_version, of, offset + top_k) if more else None)
+
+
+def get_many(ids: DataFrame, records: DataFrame) -> DataFrame:
+    """Point lookups of all ``ids`` (id): each with its record's columns, null where there is none."""
+    return ids.select("id").distinct().join(records, "id", "left")
 
 
 def get(record_id: str, records: DataFrame) -> dict[str, Any] | None:

@@ -7,6 +7,8 @@ Register others in a dict and pass it along.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..contract import SourceSpec
 from ..errors import AdapterError
+from ..session import staged
 
 _TEXT_LISTS = ("workflow_steps", "tips", "tools_apps", "domains")
 #: The columns of the two files of a saved post.
@@ -51,6 +54,20 @@ def _resource_line(x: Column) -> Column:
     return F.regexp_replace(F.concat(F.coalesce(name, F.lit("")), F.lit(" — "), F.coalesce(purpose, F.lit(""))), r"^[ —]+|[ —]+$", "")
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``seq`` 1, 2, ... by ``order``, which is total. No task sees all rows: they are sorted
+    by ranges, counted for each range, and shifted by the sum of the counts before."""
+    held = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = sorted(tuple(r) for r in held.groupBy("_part").count().collect())  # one row for each partition
+    before, shifts = 0, []
+    for part, n in sizes:
+        shifts.append((part, before))
+        before += n
+    shift = df.sparkSession.createDataFrame(shifts, "_part int, _shift bigint")
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return held.withColumn("_at_", at).join(F.broadcast(shift), "_part").withColumn("seq", F.col("_at_").cast("bigint") + F.col("_shift")).drop("_part", "_shift", "_at_")
+
+
 def saved_posts(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """The tree ``<location>/<dataset>/<post>/`` with post_metadata.json, analysis.json and media.
 
@@ -76,12 +93,11 @@ def saved_posts(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     joined = meta.join(analysis, "post", "left").join(media, "post", "left")
     has_media = F.coalesce(F.size("media"), F.lit(0)) > 0
     snapshot = spec.snapshot or ""
-    return joined.select(
-        F.row_number().over(Window.orderBy("post")).cast("bigint").alias("seq"),  # one row for each post directory of a snapshot
-        "metadata", "analysis", "resources_text",
+    return numbered(joined, ["post"]).select(
+        "seq", "metadata", "analysis", "resources_text",
         F.coalesce("media", F.array().cast("array<string>")).alias("media"),
         F.when(has_media, F.concat_ws("/", F.lit(snapshot), "post") if snapshot else F.col("post")).otherwise("").alias("dataset_post_dir"),
-        F.when(F.col("analysis").isNotNull(), "ok").otherwise("pending").alias("extraction_status"),
+        F.when(reduce(or_, (F.col(f"analysis.{k}").isNotNull() for k in keys)), "ok").otherwise("pending").alias("extraction_status"),
         F.col("analysis.resources").alias("resources"),
     )
 
@@ -91,8 +107,8 @@ def csv_rows(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     if not spec.location:
         raise AdapterError(f"source {spec.name}: no location")
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(spec.location)
-    order = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
-    return rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return numbered(staged(placed, "csv-rows"), ["_file", "_block", "_at"]).drop("_file", "_block", "_at")
 
 
 REGISTRY: dict[str, Callable[[SparkSession, SourceSpec], DataFrame]] = {"ig_saved": saved_posts, "csv": csv_rows}

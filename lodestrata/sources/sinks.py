@@ -1,4 +1,4 @@
-"""Sinks: upserting index tables, vectors of fixed length, clearing, and JSON that is only
+"""Sinks: upserting index tables in key buckets, vectors of fixed length, clearing, and JSON that is only
 written when it changes."""
 
 from __future__ import annotations
@@ -23,18 +23,39 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def upsert(df: DataFrame, path: str, key: str, order: str | None = None) -> None:
+BUCKETS = 64
+_BUCKET = "_bucket"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of an upserted table; None if it was never written."""
+    old = _stored(spark, path)
+    return old.drop(_BUCKET) if old is not None else None
+
+
+def upsert(df: DataFrame, path: str, key: str, order: str | None = None, buckets: int = BUCKETS) -> None:
     """Write rows by key: new rows replace stored ones, of equal keys in ``df`` the last by
-    ``order`` stays. The table is rewritten as a whole (Parquet has no update)."""
+    ``order`` stays.
+
+    The table is partitioned by a hash of the key. Only partitions that the new rows touch are read
+    and replaced; their new content is staged before, and a partition is swapped as one folder when
+    the job commits, so a failure on the way leaves the stored rows.
+    """
     spark = df.sparkSession
     if order:
         w = Window.partitionBy(key).orderBy(F.col(order).desc())
         new = df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     else:
         new = df.dropDuplicates([key])
+    new = staged(new.withColumn(_BUCKET, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")), "upsert-new")
     old = _stored(spark, path)
-    whole = new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
-    staged(whole, "upsert").write.mode("overwrite").parquet(path)
+    whole = new
+    if old is not None:
+        touched = [r[0] for r in new.select(_BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+        cols = [c for c in old.columns if c != _BUCKET]
+        kept = old.where(F.col(_BUCKET).isin(touched)).join(new.select(key), key, "left_anti")
+        whole = staged(kept.select(*cols, _BUCKET).unionByName(new.select(*cols, _BUCKET)), "upsert")
+    whole.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
 
 
 def write_vectors(df: DataFrame, path: str, dims: int, key: str = "chunk_id", vector: str = "embedding") -> None:
@@ -45,9 +66,9 @@ def write_vectors(df: DataFrame, path: str, dims: int, key: str = "chunk_id", ve
 
 def clear(spark: SparkSession, path: str) -> None:
     """Drop all rows and keep the columns."""
-    old = _stored(spark, path)
+    old = read_table(spark, path)
     if old is not None:
-        spark.createDataFrame([], old.schema).write.mode("overwrite").parquet(path)
+        spark.createDataFrame([], old.schema.add(_BUCKET, "integer")).write.mode("overwrite").parquet(path)
 
 
 def write_json(path: str | Path, value: Any) -> bool:

@@ -159,9 +159,11 @@ def test_sinks(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     sinks.upsert(spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 1)], "chunk_id string, v int, o int"), path, "chunk_id", "o")
     sinks.upsert(spark.createDataFrame([("b", 5, 1), ("c", 6, 1)], "chunk_id string, v int, o int"), path, "chunk_id")
-    assert {(r["chunk_id"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 5), ("c", 6)}
+    assert {(r["chunk_id"], r["v"]) for r in sinks.read_table(spark, path).collect()} == {("a", 2), ("b", 5), ("c", 6)}
     sinks.clear(spark, path)
-    assert spark.read.parquet(path).count() == 0
+    assert sinks.read_table(spark, path).count() == 0
+    sinks.upsert(spark.createDataFrame([("d", 1, 1)], "chunk_id string, v int, o int"), path, "chunk_id")
+    assert [tuple(r) for r in sinks.read_table(spark, path).collect()] == [("d", 1, 1)]
     with pytest.raises(Exception, match="dimensions"):
         sinks.write_vectors(spark.createDataFrame([("a", [1.0])], "chunk_id string, embedding array<double>"), f"file://{tmp_path}/v", 2)
     assert sinks.write_json(tmp_path / "x.json", {"b": 1, "a": 2}) and not sinks.write_json(tmp_path / "x.json", {"a": 2, "b": 1})
