@@ -18,9 +18,10 @@ in a transcript of one paragraph leaves the pieces around it as they were.
    (``paragraphs``). Only the arrival is shuffled; the history is never hashed, tokenised or
    shuffled again.
 3. Shared-paragraph coverage: a candidate must share paragraphs of at least ``coverage`` of the
-   arriving text's words. By that bound a row may leave out its most frequent paragraphs, as
-   long as they hold no larger share (a prefix filter over document frequencies), so a
-   paragraph that a third of all rows have pairs nobody. A paragraph that still has more than
+   arriving text's words. So a row may leave out its most frequent paragraphs, as long as they
+   hold at most ``spare`` of its words (a prefix filter over document frequencies); a paragraph
+   that a third of all rows have then pairs nobody, and what a pair shares besides must make up
+   the rest. A paragraph that still has more than
    ``block`` accepted rows meets them in blocks of growing ids, and a row goes on to the next
    block only while no smaller accepted row has been found for it.
 4. Candidates are verified exactly by the similarity of their word shingles.
@@ -39,11 +40,10 @@ arrival or history gives empty tables; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +51,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import discard, new_path, ship, staged
+from ..session import discard, fits_broadcast, new_path, ship, staged
+from .neardup import MAX_SENT_IDS
 from .shingles import WORD, WordHasher, _mix, sequence_digest, shingle_hashes
 
-_BREAK = re.compile(r"[\n\r.!?…。！？;؟।]+")
+_BREAKS = "\r.!?…。！？;؟।"
 #: Words above which a paragraph is cut, one word in how many ends a piece, the least words of a piece.
 CUTS = ((24, 3, 3), (12, 6, 4))
+#: Threads that submit independent jobs side by side.
+_SIDE = ThreadPoolExecutor(3, "history")
 #: Open rows with relations that one task may settle in order; beyond that rounds run as joins until fewer are open.
 MAX_IN_ONE_TASK = 200_000
-SIGNED = "id bigint, chash binary, rid string, digest binary, n int, w int, keys array<bigint>, lens array<int>"
+SIGNED = "id bigint, chash binary, rid string, text string, digest binary, w int, keys array<bigint>, lens array<int>"
 
 
 def normal_hash(value: Column) -> Column:
@@ -80,7 +83,10 @@ def _id_key(rid: Column) -> Column:
 def paragraphs(text: str, hasher: WordHasher) -> tuple[list[str], dict[int, int]]:
     """The words of a text, and the hashes of its distinct paragraphs with their words."""
     words, parts = [], []
-    for part in _BREAK.split(text.lower()):
+    text = text.lower()
+    for c in _BREAKS:
+        text = text.replace(c, "\n")
+    for part in text.split("\n"):
         w = WORD.findall(part)
         if not w:
             continue
@@ -98,22 +104,21 @@ def paragraphs(text: str, hasher: WordHasher) -> tuple[list[str], dict[int, int]
     return words, {xxhash.xxh3_64_intdigest(" ".join(p).encode("utf-8", "surrogatepass")): len(p) for p in long}
 
 
-def _sign(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                digests, ns, ws, keys, lens = [], [], [], [], []
-                for text in part.column(3).to_pylist():
-                    words, of = paragraphs(text or "", hasher)
-                    digests.append(sequence_digest(words) if words else None)
-                    ns.append(len(np.unique(shingle_hashes(hasher(words), shingle))))
-                    ws.append(sum(of.values()))
-                    keys.append(np.fromiter(of, np.uint64, len(of)).view(np.int64))
-                    lens.append(np.fromiter(of.values(), np.int32, len(of)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), pa.array(ns, pa.int32()), pa.array(ws, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(lens, pa.list_(pa.int32()))], names=[c.split()[0] for c in SIGNED.split(", ")])
-
-    return run
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = WordHasher()
+    for batch in batches:
+        for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+            digests, ws, keys, lens, ends = [], [], [], [], [0]
+            for text in part.column(3).to_pylist():
+                words, of = paragraphs(text or "", hasher)
+                digests.append(sequence_digest(words) if words else None)
+                ws.append(sum(of.values()))
+                keys.extend(of)
+                lens.extend(of.values())
+                ends.append(len(keys))
+            ends = pa.array(ends, pa.int32())
+            flat = pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(lens, pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary()), pa.array(ws, pa.int32()), *(pa.ListArray.from_arrays(ends, x) for x in flat)], names=[c.split()[0] for c in SIGNED.split(", ")])
 
 
 def _similar(shingle: int, threshold: float):
@@ -160,9 +165,11 @@ class History:
     spark: SparkSession
     threshold: float = 0.5
     words: int = 3
-    coverage: float = 0.1
-    block: int = 256
+    coverage: float = 0.15
+    spare: float = 0.08
+    block: int = 4096
     pairs_per_row: int = 200
+    pairs_floor: int = 1_000_000
     buckets: int = 0
     path: str = ""
     name: str = field(default_factory=lambda: f"history_{uuid.uuid4().hex[:12]}")
@@ -170,8 +177,10 @@ class History:
     def __post_init__(self):
         self.path = self.path or new_path(self.spark, "history")
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spare = min(self.spare, self.coverage)
         self.last_id: int | None = None
         self.admitted_pairs: list[int] = []
+        self._scratch: list[str] = []
 
     def _append(self, table: str, key: str, df: DataFrame) -> None:
         (
@@ -183,39 +192,46 @@ class History:
     def table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
 
-    def append(self, signed: DataFrame, docs: DataFrame) -> None:
-        """Take accepted rows in; of rows of the same words the paragraphs and text of the first."""
-        last = signed.agg(F.max("id")).first()[0]
-        if last is None and self.last_id is not None:
-            return
+    def hold(self, df: DataFrame, name: str) -> DataFrame:
+        """A staged table that lives as long as the arrival that needs it."""
+        self._scratch.append(path := f"{self.path}/scratch/{name}-{len(self._scratch)}-{uuid.uuid4().hex[:6]}")
+        return staged(df, name, path)
+
+    def release(self) -> None:
+        while self._scratch:
+            discard(self.spark, self._scratch.pop())
+
+    def append(self, signed: DataFrame, firsts: DataFrame, last_id: int) -> None:
+        """Take accepted rows in; of rows of the same words the paragraphs and text of the first (``firsts``)."""
         keys = signed.select("id", F.explode(F.array("digest", "chash", _id_key(F.col("rid")))).alias("key")).where("key is not null")
-        firsts = signed.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "keys"), "id").alias("f")).select("f.*")
         parts = (
             ("known", "key", keys.groupBy("key").agg(F.min("id").alias("id"))),
-            ("paragraphs", "key", firsts.select("id", "n", F.explode("keys").alias("key"))),
-            ("texts", "id", docs.join(firsts.select("id"), "id", "left_semi").select("id", "text")),
+            ("paragraphs", "key", firsts.select("id", F.explode("keys").alias("key"))),
+            ("texts", "id", firsts.select("id", "w", "keys", "text")),
         )
-        with ThreadPool(len(parts)) as pool:  # three independent jobs
-            pool.starmap(self._append, parts)
-        self.last_id = max(x for x in (last, self.last_id, -(1 << 63)) if x is not None)
+        list(_SIDE.map(lambda part: self._append(*part), parts))  # three independent jobs
+        self.last_id = last_id
 
     def close(self) -> None:
         """Drop the tables and their files. Decisions that were returned stay readable."""
+        self.release()
         for t in ("known", "paragraphs", "texts"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{t}")
         discard(self.spark, self.path)
 
 
-def _read(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (
-        df.select(F.col("id").cast("bigint"), normal_hash(F.col("content_hash")).alias("chash"), normal_id(F.col("record_id")).alias("rid"), "text"),
-        df.select(F.col("id").cast("bigint"), "text"),
-    )
+def _heads(signed: DataFrame) -> DataFrame:
+    """Of rows of the same words the first; rows without words are left out. Only ids and digests are shuffled."""
+    told = signed.where("digest is not null").select("id", "digest")
+    groups = told.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    later = told.join(groups, "digest").where("id > first").select("id")
+    return signed.where("digest is not null").join(F.broadcast(later) if fits_broadcast(later, MAX_SENT_IDS) else later, "id", "left_anti")
 
 
-def _signed(h: History, df: DataFrame) -> DataFrame:
+def _signed(h: History, accepted: DataFrame) -> DataFrame:
     ship(h.spark)
-    return staged(df.mapInArrow(_sign(h.words), SIGNED), "signed")
+    full = accepted.select(F.col("id").cast("bigint"), normal_hash(F.col("content_hash")).alias("chash"), normal_id(F.col("record_id")).alias("rid"), "text")
+    return h.hold(full.mapInArrow(_sign, SIGNED), "signed")
 
 
 def start(spark: SparkSession, accepted: DataFrame, threshold: float = 0.5, words: int = 3, **kw) -> History:
@@ -223,105 +239,102 @@ def start(spark: SparkSession, accepted: DataFrame, threshold: float = 0.5, word
 
     Columns: ``id``, ``record_id``, ``content_hash``, ``text``. Further parameters are those of
     ``History``: ``coverage`` (the share of a text's words in paragraphs that a near-duplicate
-    shares at least), ``block`` (accepted rows of one paragraph that are met at once),
-    ``pairs_per_row`` (candidate pairs a row within an arrival before it is cut).
+    shares at least), ``spare`` (the share that a row leaves out in its most frequent ones),
+    ``block`` (accepted rows of one paragraph that are met at once),
+    ``pairs_per_row`` and ``pairs_floor`` (meetings within an arrival, for each paragraph of
+    its open rows and at least, above which it is cut).
     """
     h = History(spark, threshold, words, **kw)
-    full, docs = _read(accepted)
-    h.append(_signed(h, full), docs)
+    signed = _signed(h, accepted)
+    last = signed.agg(F.max("id")).first()[0]
+    h.append(signed, _heads(signed), -(1 << 63) if last is None else last)
+    h.release()
     return h
 
 
-def _verified(h: History, pairs: DataFrame, docs: DataFrame, others: DataFrame) -> DataFrame:
-    """``a, b`` of the candidate pairs of similar texts; ``b``'s texts are met where they lie."""
-    left = docs.join(pairs.hint("shuffle_hash"), docs.id == pairs.a).select("a", "b", F.col("text").alias("x"))
-    both = others.select(F.col("id").alias("_b"), F.col("text").alias("y")).join(left.hint("shuffle_hash"), F.col("_b") == F.col("b"))
-    return both.select("a", "b", "x", "y").mapInArrow(_similar(h.words, h.threshold), "a bigint, b bigint")
+def _covered(h: History, pairs: DataFrame, signed: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with their texts ``x, y`` that share enough paragraphs; ``others`` holds the b and stays where it lies."""
+    carry = signed.select(F.col("id").alias("a"), "w", "keys", "lens").join(pairs.hint("shuffle_hash"), "a")
+    met = others.select(F.col("id").alias("_b"), F.col("w").alias("_w"), F.col("keys").alias("_keys")).join(carry.hint("shuffle_hash"), F.col("_b") == F.col("b"))
+    shared = F.aggregate(F.arrays_zip("keys", "lens"), F.lit(0), lambda s, p: s + F.when(F.array_contains("_keys", p["keys"]), p["lens"]).otherwise(0))
+    left = met.where(shared >= h.coverage * F.greatest("w", "_w")).select("a", "b")
+    full = signed.select(F.col("id").alias("_a"), F.col("text").alias("x")).join(left.hint("shuffle_hash"), F.col("_a") == F.col("a")).select("a", "b", "x")
+    return others.select(F.col("id").alias("_b"), F.col("text").alias("y")).join(full.hint("shuffle_hash"), F.col("_b") == F.col("b")).select("a", "b", "x", "y")
+
+
+def _verified(h: History, texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(_similar(h.words, h.threshold), "a bigint, b bigint")
 
 
 def _wanted(h: History, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The paragraphs by which each head must be looked for, and the history's rows that have them.
 
-    ``wanted``: id, n, key, len, before (accepted rows with it), beside (heads with it), need (words
-    still to be shared in wanted paragraphs)."""
-    flat = heads.select("id", "n", "w", F.explode(F.arrays_zip("keys", "lens")).alias("p")).select("id", "n", "w", F.col("p.keys").alias("key"), F.col("p.lens").alias("len"))
+    ``wanted``: id, key, len, before (accepted rows with it), beside (heads with it), need (words to be
+    shared in wanted paragraphs that are not crowded, if all others were shared)."""
+    flat = heads.select("id", "w", F.explode(F.arrays_zip("keys", "lens")).alias("p")).select("id", "w", F.col("p.keys").alias("key"), F.col("p.lens").alias("len"))
     asked = flat.select("key").distinct().hint("shuffle_hash")
-    met = staged(h.table("paragraphs").join(asked, "key").select("key", "id", "n"), "met-paragraphs")
+    met = h.hold(h.table("paragraphs").join(asked, "key").select("key", "id"), "met-paragraphs")
     before = met.groupBy("key").agg(F.count(F.lit(1)).alias("before"))
     beside = flat.groupBy("key").agg(F.count(F.lit(1)).alias("beside"))
     rated = flat.join(beside.join(before, "key", "left"), "key").select("*", (F.col("beside") + F.coalesce("before", F.lit(0))).alias("df"))
     order = Window.partitionBy("id").orderBy(F.col("df").desc(), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left_out = F.col("run") <= h.coverage * F.col("w")
-    spared = F.max(F.when(left_out, F.col("run")).otherwise(0)).over(Window.partitionBy("id"))
-    kept = rated.withColumn("run", F.sum("len").over(order)).withColumn("need", h.coverage * F.col("w") - spared).where(~left_out & (F.col("df") > 1))
-    return staged(kept.select("id", "n", "key", "len", F.coalesce("before", F.lit(0)).alias("before"), "beside", "need"), "wanted"), met
+    by_id = Window.partitionBy("id")
+    left_out, crowded = F.col("run") <= h.spare * F.col("w"), F.coalesce("before", F.lit(0)) > h.block
+    told = rated.withColumn("run", F.sum("len").over(order)).select("*", F.sum(F.when(left_out | crowded, F.col("len")).otherwise(0)).over(by_id).alias("apart"))
+    kept = told.where(~left_out & (F.col("df") > 1))
+    return h.hold(kept.select("id", "key", "len", F.coalesce("before", F.lit(0)).alias("before"), "beside", (h.coverage * F.col("w") - F.col("apart")).alias("need")), "wanted"), met
 
 
-def _sizes_fit(h: History, a: str, b: str) -> Column:
-    return (F.col(a) >= h.threshold * F.col(b)) & (F.col(b) >= h.threshold * F.col(a))
+def _shared(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of rows (a, b, len, need) whose shared words do not fall short already: what ``a``
+    leaves out, and its crowded paragraphs, may be shared too."""
+    return rows.groupBy("a", "b").agg(F.sum("len").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
 
 
-def _older(h: History, wanted: DataFrame, met: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """``id, old``: for each head the smallest similar accepted row, if any."""
-    want = wanted.where("before > 0").select("id", "key", "len", "need", F.col("n").alias("na"), "before")
-    usual = want.where(F.col("before") <= h.block)
-    cand = (
-        usual.join(met.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(_sizes_fit(h, "na", "nb"))
-        .groupBy("id", "b").agg(F.sum("len").alias("shared"), F.first("need").alias("need"))
-    )
-    if most <= h.block:  # no paragraph is crowded, so all shared words are counted here
-        cand = cand.where("shared >= need")
-    pairs = cand.select(F.col("id").alias("a"), "b")
-    texts = h.table("texts")
-    if most <= h.block:
-        return staged(_verified(h, pairs, docs, texts).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old")), "older")
+def _beside(wanted: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` (b first) of heads that share a wanted paragraph."""
+    p = wanted.where("beside > 1").select("key", F.col("id").alias("b"))
+    return p.join(p.select("key", F.col("b").alias("a")), "key").where("b < a").select("a", "b").distinct()
 
-    crowd = want.where(F.col("before") > h.block)
+
+def _blocks_of_ids(h: History, wanted: DataFrame, met: DataFrame, signed: DataFrame, most: int, old: DataFrame) -> DataFrame:
+    """``id, old`` after crowded paragraphs were met beyond their first block of ids."""
+    crowd = wanted.where(F.col("before") > h.block)
     keys = crowd.select("key").distinct()
-    w = Window.partitionBy("key").orderBy("id")
-    first = met.join(keys, "key", "left_semi").withColumn("at", F.row_number().over(w)).where(F.col("at") <= h.block).drop("at")
-    met_first = crowd.join(first.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(_sizes_fit(h, "na", "nb")).select(F.col("id").alias("a"), "b")
-    pairs = staged(pairs.unionByName(met_first).distinct(), "candidates")
-    old = staged(_verified(h, pairs, docs, texts).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old")), "older")
+    ranked = met.join(keys, "key", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id")))
     low = h.block
     while low < most:
-        # The next ids of each crowded paragraph, for the rows that could still find a smaller one.
-        high = low * 8
-        ranked = met.join(keys, "key", "left_semi").withColumn("at", F.row_number().over(w)).where(F.col("at") <= high).where(F.col("at") > low)
-        block = staged(ranked, "crowded-block")
+        block = h.hold(ranked.where(F.col("at") <= low * 8).where(F.col("at") > low), "crowded-block")
         begins = block.groupBy("key").agg(F.min("id").alias("begins"))
-        open_ = staged(crowd.where(F.col("before") > low).join(begins, "key").join(old, "id", "left").where("old is null or begins < old").select("id", "key", "na", "old"), "open-crowded")
+        open_ = h.hold(crowd.where(F.col("before") > low).join(begins, "key").join(old, "id", "left").where("old is null or begins < old").select("id", "key", "old"), "open-crowded")
         if open_.isEmpty():
             break
-        more = open_.join(block.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(_sizes_fit(h, "na", "nb") & F.expr("old is null or b < old")).select(F.col("id").alias("a"), "b").distinct()
-        found = _verified(h, staged(more, "candidates"), docs, texts).select(F.col("a").alias("id"), F.col("b").alias("old"))
-        old = staged(old.unionByName(found).groupBy("id").agg(F.min("old").alias("old")), "older")
-        low = high
+        more = open_.join(block.select("key", F.col("id").alias("b")), "key").where(F.expr("old is null or b < old")).select(F.col("id").alias("a"), "b").distinct()
+        found = _verified(h, _covered(h, h.hold(more, "candidates"), signed, h.table("texts"))).select(F.col("a").alias("id"), F.col("b").alias("old"))
+        old = h.hold(old.unionByName(found).groupBy("id").agg(F.min("old").alias("old")), "older")
+        low *= 8
     return old
 
 
-def _in_order(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+def _in_order(h: History, nodes: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """``node, kept`` of open nodes (node, class, chash): the least taken node that refuses it, or null.
 
-    As many as ``MAX_IN_ONE_TASK`` nodes are settled in order by one task. Of more, those without
-    any relation are taken at once, and rounds of joins settle the others (a node waits while an
+    ``links`` has the pairs of similar classes, ``rows`` is a bound of the nodes' number. As many as
+    ``MAX_IN_ONE_TASK`` nodes are settled in order by one task. Of more, those without any
+    relation are taken at once, and rounds of joins settle the others (a node waits while an
     earlier relative is open) until so few are left.
     """
     group_c, group_h = F.concat(F.lit("c"), F.col("class").cast("string")), F.concat(F.lit("h"), F.hex("chash"))
     groups = F.filter(F.array(group_c, group_h), lambda g: g.isNotNull())
-    around = None
-    if links is not None:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        around = both.select(F.col("a").alias("class"), F.concat(F.lit("c"), F.col("b").cast("string")).alias("g"))
-    if nodes.limit(MAX_IN_ONE_TASK + 1).count() <= MAX_IN_ONE_TASK:
-        of_class = around.groupBy("class").agg(F.collect_set("g").alias("looks")) if around is not None else None
-        lists = nodes.join(of_class, "class", "left") if of_class is not None else nodes.withColumn("looks", F.lit(None).cast("array<string>"))
-        rows = lists.select("node", groups.alias("groups"), "looks")
-        return staged(rows.repartition(1).sortWithinPartitions("node").mapInArrow(_greedy, "node bigint, kept bigint"), "settled")
+    either = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    around = links.select(either.alias("e")).select(F.col("e.x").alias("class"), F.concat(F.lit("c"), F.col("e.y").cast("string")).alias("g"))
+    if rows <= MAX_IN_ONE_TASK:
+        lists = nodes.join(around.groupBy("class").agg(F.collect_set("g").alias("looks")), "class", "left")
+        return lists.select("node", groups.alias("groups"), "looks").repartition(1).sortWithinPartitions("node").mapInArrow(_greedy, "node bigint, kept bigint")
     member = nodes.select("node", F.explode(groups).alias("g"))
-    looks = staged(member.unionByName(nodes.join(around, "class").select("node", "g")) if around is not None else member, "looks")
-    tied = staged(looks.join(looks.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "g", "left_semi").select("node").distinct(), "tied")
-    looks, member = looks.join(tied, "node", "left_semi"), staged(member.join(tied, "node", "left_semi"), "member")
+    looks = h.hold(member.unionByName(nodes.join(around, "class").select("node", "g")), "looks")
+    tied = h.hold(looks.join(looks.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "g", "left_semi").select("node").distinct(), "tied")
+    looks, member = looks.join(tied, "node", "left_semi"), h.hold(member.join(tied, "node", "left_semi"), "member")
     state = tied.select("node", F.lit(0).alias("state"))
     while True:
         waiting = state.where("state = 0")
@@ -332,7 +345,7 @@ def _in_order(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
             rest = waiting.join(shut, "node", "left_anti")
             lists = member.join(rest, "node").groupBy("node").agg(F.collect_set("g").alias("groups")).join(looks.join(rest, "node").groupBy("node").agg(F.collect_set("g").alias("looks")), "node")
             solved = lists.repartition(1).sortWithinPartitions("node").mapInArrow(_greedy, "node bigint, kept bigint").select("node", F.when(F.col("kept").isNull(), 1).otherwise(2).alias("state"))
-            state = staged(state.where("state <> 0").unionByName(shut.select("node", F.lit(2).alias("state"))).unionByName(solved), "state")
+            state = h.hold(state.where("state <> 0").unionByName(shut.select("node", F.lit(2).alias("state"))).unionByName(solved), "state")
             break
         of_group = member.join(state, "node").groupBy("g").agg(F.min(F.when(F.col("state") == 1, F.col("node"))).alias("taken"), F.min(F.when(F.col("state") == 0, F.col("node"))).alias("open"))
         verdict = (
@@ -340,24 +353,41 @@ def _in_order(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
             .groupBy("node").agg(F.max(F.coalesce(F.col("taken") < F.col("node"), F.lit(False))).alias("refused"), F.max(F.coalesce(F.col("open") < F.col("node"), F.lit(False))).alias("waits"))
             .select("node", F.when(F.col("refused"), 2).when(F.col("waits"), 0).otherwise(1).alias("next"))
         )
-        state = staged(state.join(verdict, "node", "left").select("node", F.coalesce("next", "state").alias("state")), "state")
+        state = h.hold(state.join(verdict, "node", "left").select("node", F.coalesce("next", "state").alias("state")), "state")
     taken = member.join(state.where("state = 1"), "node").groupBy("g").agg(F.min("node").alias("taken"))
     kept = looks.join(state.where("state = 2").select("node"), "node", "left_semi").join(taken, "g").groupBy("node").agg(F.min("taken").alias("kept"))
     return nodes.select("node").join(kept, "node", "left")
 
 
-def _settle(h: History, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Decisions on signed rows, ``id, accepted, kept_id, known_id``; accepted rows are appended."""
+def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame:
+    """Decisions on ``rows`` signed rows, ``id, accepted, kept_id, known_id``; accepted rows are appended."""
     asked = signed.select(F.explode(F.array("digest", "chash", _id_key(F.col("rid")))).alias("key")).where("key is not null").distinct().hint("shuffle_hash")
     known = h.table("known").join(asked, "key").groupBy("key").agg(F.min("id").alias("old"))
-    firsts = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
-    heads = signed.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("id", "n", "w", "keys", "lens"), "id").alias("f")).select("f.*")
-    with ThreadPool(2) as pool:
-        copies, wanted = pool.apply_async(staged, (known, "exact")), pool.apply_async(_wanted, (h, heads))
-        exact, (wanted, met) = copies.get(), wanted.get()
-    most = wanted.agg(F.max("before")).first()[0] or 0
-    near = _older(h, wanted, met, docs, most)
+    copies = _SIDE.submit(h.hold, known, "exact")
+    wanted, met = _wanted(h, _heads(signed.select("id", "digest", "w", "keys", "lens")))
+    exact = copies.result()
+    most, meetings, entries = wanted.agg(F.max("before"), F.sum(F.col("beside") - 1), F.count(F.lit(1))).first()
+    most, limit = most or 0, max(h.pairs_floor, h.pairs_per_row * entries)
+    few = (meetings or 0) // 2 <= limit  # then all pairs of the arrival are met at once
 
+    texts = h.table("texts")
+    usual = wanted.where((F.col("before") > 0) & (F.col("before") <= h.block)).join(met.withColumnRenamed("id", "b"), "key")
+    usual = _shared(usual.select(F.col("id").alias("a"), "b", "len", "need"))
+    if most > h.block:
+        crowd = wanted.where(F.col("before") > h.block)
+        first = met.join(crowd.select("key").distinct(), "key", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("at") <= h.block)
+        usual = usual.unionByName(crowd.join(first.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")).distinct()
+    pairs = _covered(h, usual, signed, texts)
+    if few:
+        pairs = pairs.unionByName(_covered(h, _beside(wanted), signed, signed))
+        h.admitted_pairs.append((meetings or 0) // 2)
+    linked = h.hold(_verified(h, pairs), "linked")
+    first_id = h.last_id + 1
+    near = linked.where(F.col("b") < first_id).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old"))
+    if most > h.block:
+        near = _blocks_of_ids(h, wanted, met, signed, most, near)
+
+    firsts = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
     nodes = signed.where("digest is not null or chash is not null").groupBy("digest", "chash").agg(F.min("id").alias("node")).join(firsts, "digest", "left")
     nodes = (
         nodes.join(exact.select(F.col("key").alias("digest"), F.col("old").alias("old_t")), "digest", "left")
@@ -365,35 +395,32 @@ def _settle(h: History, signed: DataFrame, docs: DataFrame) -> DataFrame:
         .join(near.select(F.col("id").alias("class"), F.col("old").alias("old_n")), "class", "left")
         .select("node", "class", "digest", "chash", F.least("old_t", "old_h", "old_n").alias("old"))
     )
-    nodes = staged(nodes, "nodes")
+    nodes = h.hold(nodes, "nodes")
     open_ = nodes.where("old is null")
-    inner = wanted.where("beside > 1").join(open_.select(F.col("class").alias("id")).distinct(), "id", "left_semi").select("id", "n", "key")
-    counted = inner.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) div 2")), F.sum("count")).first()
-    pairs_ahead, entries = int(counted[0] or 0), int(counted[1] or 0)
-    if pairs_ahead > max(1_000_000, h.pairs_per_row * entries):
-        cut = open_.approxQuantile("node", [0.125], 0.01)[0]
-        if open_.where(F.col("node") > cut).limit(1).count():
-            head = _settle(h, staged(signed.where(F.col("id") <= cut), "signed"), docs.where(F.col("id") <= cut))
-            tail = _settle(h, staged(signed.where(F.col("id") > cut), "signed"), docs.where(F.col("id") > cut))
-            return head.unionByName(tail)
-    h.admitted_pairs.append(pairs_ahead)
-
-    links = None
-    if pairs_ahead:
-        p, q = inner.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), inner.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
-        pairs = p.join(q, "key").where((F.col("b") < F.col("a")) & _sizes_fit(h, "na", "nb")).select("a", "b").distinct()
-        links = staged(_verified(h, pairs, docs, docs), "links")
-    kept = _in_order(open_.select("node", "class", "chash"), links)
+    links = linked.where(F.col("b") >= first_id)
+    if not few:
+        inner = wanted.where("beside > 1").join(open_.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
+        ahead = int(inner.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0)
+        if ahead > limit:
+            cut = open_.approxQuantile("node", [0.125], 0.01)[0]
+            if open_.where(F.col("node") > cut).limit(1).count():
+                head, tail = (h.hold(signed.where(side), "signed") for side in (F.col("id") <= cut, F.col("id") > cut))
+                n = head.count()
+                return _settle(h, head, n, int(cut)).unionByName(_settle(h, tail, rows - n, last_id))
+        h.admitted_pairs.append(ahead)
+        links = h.hold(_verified(h, _covered(h, _beside(inner), signed, signed)), "links")
+    kept = _in_order(h, open_.select("node", "class", "chash"), links, rows)
     verdicts = nodes.join(kept, "node", "left").select(F.col("digest").alias("d"), F.col("chash").alias("c"), "node", F.coalesce("old", "kept").alias("kept"))
-    rows = signed.select("id", "digest", "chash", "rid").join(verdicts, F.col("digest").eqNullSafe(F.col("d")) & F.col("chash").eqNullSafe(F.col("c")), "left")
-    decided = rows.select("id", "rid", F.coalesce("kept", F.when(F.col("node") < F.col("id"), F.col("node"))).alias("kept_id")).withColumn("accepted", F.col("kept_id").isNull())
-    decided = staged(decided, "decided")
-    h.append(signed.join(decided.where("accepted").select("id"), "id", "left_semi"), docs)
-    earlier = decided.where("accepted").groupBy("rid").agg(F.min("id").alias("rid_id"))
-    return (
-        decided.withColumn("key", _id_key(F.col("rid"))).join(earlier, "rid", "left").join(exact.select("key", F.lit(True).alias("old_rid")), "key", "left")
-        .select("id", "accepted", "kept_id", (F.coalesce("old_rid", F.lit(False)) | F.coalesce(F.col("rid_id") < F.col("id"), F.lit(False))).alias("known_id"))
-    )
+    told = signed.select("id", "digest", "chash", "rid").join(verdicts, F.col("digest").eqNullSafe(F.col("d")) & F.col("chash").eqNullSafe(F.col("c")), "left")
+    decided = told.select("id", "rid", F.coalesce("kept", F.when(F.col("node") < F.col("id"), F.col("node"))).alias("kept_id")).withColumn("accepted", F.col("kept_id").isNull())
+    # A record id is known if it was accepted before, in the history or earlier in this arrival.
+    decided = decided.withColumn("key", _id_key(F.col("rid"))).join(exact.select("key", F.lit(True).alias("old_rid")), "key", "left")
+    earlier = F.min(F.when(F.col("accepted") & F.col("rid").isNotNull(), F.col("id"))).over(Window.partitionBy(F.coalesce("rid", F.col("id").cast("string"))))
+    known_id = F.coalesce("old_rid", F.lit(False)) | F.coalesce(earlier < F.col("id"), F.lit(False))
+    decided = staged(decided.select("id", "accepted", "kept_id", known_id.alias("known_id")), "decided")
+    good = signed.join(decided.where("accepted").select("id"), "id", "left_semi")
+    h.append(good, good.where("digest is not null"), last_id)  # accepted rows have different words
+    return decided
 
 
 def admit(h: History, arrival: DataFrame) -> DataFrame:
@@ -401,14 +428,14 @@ def admit(h: History, arrival: DataFrame) -> DataFrame:
 
     ``kept_id`` is the smallest id among the accepted rows that a refused row duplicates;
     ``known_id`` tells whether its record id was accepted before (which refuses nothing).
-    Rows are taken by id; every id must be larger than those already accepted. The arrival is
-    read a few times, so one that is costly to compute should be staged before.
+    Rows are taken by id; every id must be larger than those already accepted.
     """
-    full, docs = _read(arrival)
-    signed = _signed(h, full)
-    least = signed.agg(F.min("id")).first()[0]
-    if least is None:
+    signed = _signed(h, arrival)
+    least, last, rows = signed.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    if not rows:
         return h.spark.createDataFrame([], "id bigint, accepted boolean, kept_id bigint, known_id boolean")
     if h.last_id is not None and least <= h.last_id:
         raise ValueError(f"id {least} is not larger than the accepted id {h.last_id}")
-    return _settle(h, signed, docs)
+    decisions = _settle(h, signed, rows, last)
+    h.release()
+    return decisions
