@@ -5,6 +5,8 @@
 2. On the driver a forest is fitted to a bounded sample of at most ``sample`` classes of each
    space (model and dimensions): a node's direction joins two random points, its threshold is
    the median, and nodes are split until a leaf would hold about ``leaf`` of all vectors.
+   Where the sample is too small for leaves of that size, a crowded leaf grows trees of its own
+   where it is searched.
 3. Every vector of the table is indexed in its leaf of each tree. Searching goes down all
    trees at once with one priority queue for the whole forest, ordered by how far the vector
    lies on the wrong side of the planes passed; the ``probes`` best leaves are searched.
@@ -36,11 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, staged
+from .neardup import CROWD, in_blocks, meets_once
 
 MAX_SPACES = 256
 _BLOCK = 1024
 _ROW = 2000
 _ASKING = 150_000
+_LOCAL_SAMPLE = 50_000
+#: Vectors of all spaces together that the driver fits forests and cells to (twice as many at most are fetched).
+TOTAL_SAMPLE = 400_000
 
 
 @dataclass
@@ -175,8 +181,42 @@ def _route(indexes, probes: int, kind: str):
     return run
 
 
-def _search_leaf(k: int, least: float, kind: str):
-    """Queries of a leaf or cell against its members: pairs ``a, b, similarity``."""
+def _inside_leaf(ids: np.ndarray, x: np.ndarray, names: np.ndarray, inside: np.ndarray, least: float, leaf: int, trees: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a crowded leaf by a forest of its own members, fitted where the leaf is."""
+    rng = np.random.default_rng(len(names))
+    points = inside[rng.choice(len(inside), min(len(inside), _LOCAL_SAMPLE), replace=False)]
+    index = Index.of([grow(points, max(8.0, leaf * len(points) / len(inside)), rng) for _ in range(trees)])
+
+    def routed(rows: np.ndarray, n: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        leaves, at = [], []
+        for begin in range(0, len(rows), 2048):
+            found, penalty = index.search(rows[begin : begin + 2048], n)
+            r, c = np.nonzero((penalty == 0) if own else (found >= 0))
+            leaves.append(found[r, c])
+            at.append(r + begin)
+        leaves, at = np.concatenate(leaves), np.concatenate(at)
+        order = np.argsort(leaves, kind="stable")
+        return leaves[order], at[order]
+
+    of, members = routed(inside, trees, True)
+    asked, queries = routed(x, probes, False)
+    for number in np.unique(of):
+        m = members[np.searchsorted(of, number) : np.searchsorted(of, number, "right")]
+        q = queries[np.searchsorted(asked, number) : np.searchsorted(asked, number, "right")]
+        for at in range(0, len(q), _BLOCK):
+            block = q[at : at + _BLOCK]
+            for to in range(0, len(m), 8 * _BLOCK):
+                part = m[to : to + 8 * _BLOCK]
+                score = x[block] @ inside[part].T
+                r, c = np.nonzero((score >= least) & (ids[block][:, None] != names[part][None, :]))
+                yield ids[block][r], names[part][c], score[r, c]
+
+
+def _search_leaf(k: int, least: float, kind: str, leaf: int = 0, trees: int = 4, probes: int = 8):
+    """Queries of a leaf or cell against its members: pairs ``a, b, similarity``.
+
+    With ``leaf`` a leaf of more than four times as many members is searched through a forest of its
+    own, so the work for a vector does not grow with the table however small the fitted sample."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, member = table.column("v").to_numpy(), table.column("member").to_numpy()
@@ -189,7 +229,12 @@ def _search_leaf(k: int, least: float, kind: str):
         ids, member, asks, x = ids[order], member[order], asks[order], x[order]
         inside, names, ids, x = x[member], ids[member], ids[asks], x[asks]
         a, b, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
-        for at in range(0, len(ids) if len(names) else 0, _BLOCK):
+        crowded = bool(leaf) and least > -1 and len(names) > 4 * leaf
+        for i, j, score in _inside_leaf(ids, x, names, inside, least, leaf, trees, probes) if crowded and len(ids) else ():
+            a.append(i)
+            b.append(j)
+            s.append(score)
+        for at in range(0, len(ids) if len(names) and not crowded else 0, _BLOCK):
             own = ids[at : at + _BLOCK]
             score = x[at : at + _BLOCK] @ inside.T
             place = np.minimum(np.searchsorted(names, own), len(names) - 1)
@@ -373,6 +418,7 @@ def class_pairs(rows: DataFrame, least: float, trees: int = 4, leaf: int = 1024,
     spark = rows.sparkSession
     units, sizes = _units(rows, True)
     indexes = {}
+    sample = min(sample, max(1000, TOTAL_SAMPLE // max(1, len(sizes))))
     for number, (space, count) in enumerate(sizes):
         _, points = _sampled(units, space, count, sample, "<f2")
         rng = np.random.default_rng([seed, number])
@@ -381,12 +427,13 @@ def class_pairs(rows: DataFrame, least: float, trees: int = 4, leaf: int = 1024,
     if not indexes:
         return spark.createDataFrame([], "a bigint, b bigint, similarity float")
     routed = units.mapInArrow(_route(spark.sparkContext.broadcast(indexes), probes, "<f2"), "leaf bigint, v bigint, member boolean, unit binary")
-    return routed.groupBy("leaf").applyInArrow(_search_leaf(0, least, "<f2"), "a bigint, b bigint, similarity float")
+    return routed.groupBy("leaf").applyInArrow(_search_leaf(0, least, "<f2", leaf, trees, probes), "a bigint, b bigint, similarity float")
 
 
 def plans_of(units: DataFrame, sizes: list[tuple[str, int]], k: int, target: float, leaf: int, sample: int, queries: int, seed: int) -> dict[str, tuple[int, Cells]]:
     """The planned cells of each space; ``queries`` vectors of each are held out of the fit."""
     fitted, held = {}, {}
+    sample = min(sample, max(1000, TOTAL_SAMPLE // max(1, len(sizes))))
     for number, (space, count) in enumerate(sizes):
         ids, points = _sampled(units, space, count, sample, "<f4")
         order = np.lexsort((np.arange(len(ids)), ids))
@@ -440,7 +487,9 @@ def similar_pairs(df: DataFrame, least: float, trees: int = 4, leaf: int = 1024,
     exact = both.select("a", "b", (dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).alias("similarity")).where(F.col("similarity") >= least)
     names = mine.select("v", "key").distinct()
     apart = exact.join(names.select(F.col("v").alias("a"), F.col("key").alias("i")), "a").join(names.select(F.col("v").alias("b"), F.col("key").alias("j")), "b").select(F.least("i", "j").alias("key_a"), F.greatest("i", "j").alias("key_b"), "similarity")
-    equal = names.alias("p").join(names.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.key") < F.col("q.key"))).select(F.col("p.key").alias("key_a"), F.col("q.key").alias("key_b"), F.lit(1.0).alias("similarity"))
+    sizes = names.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    cut = in_blocks(names.select("v", F.col("key").alias("id")).join(sizes.select("v"), "v", "left_semi"), "v", sizes.where(F.col("m") > CROWD), CROWD)
+    equal = cut.alias("p").join(cut.alias("q"), meets_once("p", "q", "v")).select(F.col("p.id").alias("key_a"), F.col("q.id").alias("key_b"), F.lit(1.0).alias("similarity"))
     return apart.unionByName(equal).where("similarity >= %r" % float(least))
 
 

@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, staged
+from ..session import fits_broadcast, ship, staged
 from .shingles import WordHasher, shingle_hashes
 
 _ASCII_WORD = re.compile("[a-z0-9]+")
 MAX_SHIPPED = 2_000_000
+#: Item windows and items that are sent to all executors at most.
+MAX_SENT_WINDOWS, MAX_SENT_ITEMS = 200_000, 20_000
 _DROPPED = {"Mn", "Me", "Cf"}
 
 
@@ -158,17 +160,26 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = 13, words: int = 5)
         window.groupBy("id", "begin", "n_words").agg(F.count("count").alias("there"), F.min(F.struct("count", "h", "at")).alias("m")).where(F.col("there") == need)
         .select(F.col("id").alias("item_id"), "begin", F.col("m.h").alias("h"), F.col("m.at").alias("at")), "prefix-tokens",
     )
+    # The prefix tokens of the items go to the documents while they are few, so no document row moves
+    # and a token that most documents have is no hot key; beyond that the join is split by AQE.
     met = (
         hits.select("id", "n_words", F.explode(F.arrays_zip("pos", "hash")).alias("x"))
-        .join(prefix, F.col("x.hash") == F.col("h"))
+        .join(F.broadcast(prefix) if fits_broadcast(prefix, MAX_SENT_WINDOWS) else prefix, F.col("x.hash") == F.col("h"))
         .select(F.col("id").alias("doc_id"), "item_id", (F.col("x.pos") - F.col("at")).alias("shift"), "n_words", "begin")
         .where((F.col("shift") + F.col("begin") >= 0) & (F.col("shift") + F.col("begin") + passage <= F.col("n_words")))
         .select("doc_id", "item_id", "shift").distinct()
     )
+    # Of the document only what lies inside the item-sized window is carried on.
+    end = F.col("shift") + F.col("item_words") - (words - 1)
+    inside = F.filter(F.arrays_zip("pos", "hash"), lambda x: (x["pos"] >= F.col("shift")) & (x["pos"] < end))
+    sizes, item_hashes = own.select(F.col("id").alias("item_id"), F.col("n_words").alias("item_words")), own.select(F.col("id").alias("item_id"), F.col("hash").alias("item_hash"))
+    few_items = fits_broadcast(own, MAX_SENT_ITEMS)
+    sent = F.broadcast if few_items and few <= MAX_SENT_WINDOWS else (lambda df: df)
     ready = (
-        met.join(hits.select(F.col("id").alias("doc_id"), "pos", "hash"), "doc_id")
-        .join(own.select(F.col("id").alias("item_id"), F.col("hash").alias("item_hash")), "item_id")
-        .select("doc_id", "item_id", "shift", "pos", "hash", "item_hash")
+        met.join(sent(sizes), "item_id").join(hits.select(F.col("id").alias("doc_id"), "pos", "hash"), "doc_id")
+        .select("doc_id", "item_id", "shift", inside.alias("x")).where(F.size("x") >= need)
+        .join(sent(item_hashes), "item_id")
+        .select("doc_id", "item_id", "shift", F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"), "item_hash")
     )
     found = ready.mapInArrow(_runs(need), "doc_id bigint, item_id string, item_from int, run int")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("run", "item_from")).alias("b"))

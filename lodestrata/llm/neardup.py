@@ -61,7 +61,7 @@ class Forest:
     end: int
     threshold: float
     words: int = 3
-    target: float = 0.99
+    target: float = 0.999
 
     def recall(self, similarity: float, depth: int) -> float:
         return 1 - (1 - similarity**depth) ** self.trees
@@ -77,14 +77,14 @@ class Forest:
         return math.ceil(n * q + SIGMAS * math.sqrt(n * (1.5 * q - q * q)))
 
 
-def plan_forest(threshold: float = 0.5, recall: float = 0.99, words: int = 3, trees: int = 16) -> Forest:
+def plan_forest(threshold: float = 0.5, recall: float = 0.999, words: int = 3, trees: int = 24) -> Forest:
     """The forest for a threshold: ``begin`` is the longest prefix at which a link of the threshold
-    is found more often than not, ``end`` the longest at which it is found with ``recall``."""
+    is found in three cases of four, ``end`` the longest at which it is found with ``recall``."""
     deep = [d for d in range(1, DEPTH + 1) if 1 - (1 - threshold**d) ** trees >= recall]
     end = max(deep, default=1)
     if not deep:
         trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold))
-    begin = max((d for d in range(end, DEPTH + 1) if 1 - (1 - threshold**d) ** trees >= 0.5), default=end)
+    begin = max((d for d in range(end, DEPTH + 1) if 1 - (1 - threshold**d) ** trees >= 0.75), default=end)
     return Forest(trees, begin, end, threshold, words, recall)
 
 
@@ -151,12 +151,12 @@ def _node(depth: int) -> Column:
     return F.xxhash64(F.lit(depth), "tree", F.shiftrightunsigned("label", 8 * (DEPTH - depth)))
 
 
-def _blocks(df: DataFrame, key: str, crowded: DataFrame, limit: int) -> DataFrame:
+def in_blocks(df: DataFrame, key: str, crowded: DataFrame, limit: int) -> DataFrame:
     """``df`` once for each pair of blocks of its key that it is in: ``key``, ``lo``, ``hi``, ``blk``.
 
     ``crowded`` holds ``key`` and ``m``, the rows of each key above ``limit``. A key of m rows has
     ceil(m / limit) blocks; other keys have one. Two rows of a key meet exactly once, under
-    (lo, hi) of their blocks (see ``_once``)."""
+    (lo, hi) of their blocks (see ``meets_once``)."""
     sized = df.join(F.broadcast(crowded) if fits_broadcast(crowded, 100_000) else crowded, key, "left")
     nb = F.ceil(F.coalesce("m", F.lit(1)) / F.lit(limit)).cast("int")
     placed = sized.withColumn("_nb", nb).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
@@ -164,7 +164,7 @@ def _blocks(df: DataFrame, key: str, crowded: DataFrame, limit: int) -> DataFram
     return each.withColumn("lo", F.least("blk", "_o")).withColumn("hi", F.greatest("blk", "_o")).drop("_o", "_nb", "m")
 
 
-def _once(p: str, q: str, key: str) -> Column:
+def meets_once(p: str, q: str, key: str) -> Column:
     c = lambda x, n: F.col(f"{x}.{n}")
     return (c(p, key) == c(q, key)) & (c(p, "lo") == c(q, "lo")) & (c(p, "hi") == c(q, "hi")) & (c(p, "id") < c(q, "id")) & ((c(p, "blk") != c(q, "blk")) | (c(p, "lo") == c(p, "hi")))
 
@@ -179,8 +179,8 @@ def met_at(heads: DataFrame, forest: Forest, depth: int, new_only: bool, crowd:
     shared = flat.join(F.broadcast(keys) if fits_broadcast(keys, MAX_SENT_IDS) else keys, "node", "left_semi")
     # What a text carries is added only for the entries that meet another.
     carried = shared.join(heads.select("id", "n", "s0", "s1", "s2", "s3"), "id")
-    cut = _blocks(carried, "node", nodes.where(F.col("m") > crowd), crowd)
-    condition = _once("p", "q", "node") & sketch_condition("p", "q", forest)
+    cut = in_blocks(carried, "node", nodes.where(F.col("m") > crowd), crowd)
+    condition = meets_once("p", "q", "node") & sketch_condition("p", "q", forest)
     if new_only:
         condition &= F.shiftrightunsigned("p.label", 8 * (DEPTH - depth - 1)) != F.shiftrightunsigned("q.label", 8 * (DEPTH - depth - 1))
     return cut.alias("p").join(cut.alias("q"), condition).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
@@ -225,7 +225,7 @@ class NearDuplicates:
     recall: float
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, words: int = 3, recall: float = 0.99, forest: Forest | None = None) -> NearDuplicates:
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, words: int = 3, recall: float = 0.999, forest: Forest | None = None) -> NearDuplicates:
     """Classes of equal texts and the links of at least ``threshold`` between different texts.
 
     ``docs`` has a unique ``id bigint`` and ``text string``. Prefixes are shortened until the
@@ -257,8 +257,8 @@ def expanded(found: NearDuplicates, limit: int = CROWD) -> DataFrame:
     Pairs inside a class are made block by block, so no task holds a large class."""
     m = found.members.where("class_id is not null")
     sizes = m.groupBy("class_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    cut = _blocks(m.join(sizes.select("class_id"), "class_id", "left_semi"), "class_id", sizes.where(F.col("m") > limit), limit)
-    same = cut.alias("p").join(cut.alias("q"), _once("p", "q", "class_id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    cut = in_blocks(m.join(sizes.select("class_id"), "class_id", "left_semi"), "class_id", sizes.where(F.col("m") > limit), limit)
+    same = cut.alias("p").join(cut.alias("q"), meets_once("p", "q", "class_id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     linked = (
         found.pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
         .join(m.select(F.col("class_id").alias("ca"), F.col("id").alias("i")), "ca")

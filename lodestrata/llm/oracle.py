@@ -1,7 +1,8 @@
 """SQL for DuckDB that gives the same rows as those pN_ queries that SQL can express.
 
 The others are tested against brute force: p2 (sequential acceptance), p3 (trained
-classifiers), p8 (no single right packing), and the reports beside the pN_found queries.
+classifiers), p8 (no single right packing, only whether one is right), and some of the reports
+beside the pN_found queries.
 """
 
 from __future__ import annotations
@@ -18,6 +19,23 @@ _RECORD_WORDS = r"regexp_extract_all(lower(concat_ws(chr(10), fields.caption, fi
 SQL: dict[str, str] = {
     "p1_found": """SELECT DISTINCT 'chunks' AS item_table, chunk_id AS item_key FROM chunks WHERE length(text) > 2000
         UNION SELECT DISTINCT 'canonical_records', row_no::VARCHAR FROM canonical_records WHERE length(fields.transcript) > 2000""",
+    "p1_rebuilt": """SELECT 'chunks' AS item_table, chunk_id AS item_key, TRUE AS whole FROM chunks WHERE length(text) > 2000
+        UNION ALL SELECT 'canonical_records', row_no::VARCHAR, TRUE FROM canonical_records WHERE length(fields.transcript) > 2000""",
+    "p7_links": f"""
+        WITH w AS (SELECT row_no, {_RECORD_WORDS} AS t FROM canonical_records),
+        c AS (SELECT row_no, t, min(row_no) OVER (PARTITION BY t) AS class_id FROM w WHERE len(t) > 0),
+        s AS (SELECT DISTINCT row_no, array_to_string(t[i : i + 4], ' ') AS g FROM (SELECT row_no, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM c WHERE class_id = row_no)),
+        n AS (SELECT row_no, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.row_no AS a, b.row_no AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.row_no <> b.row_no GROUP BY 1, 2),
+        l AS (SELECT a AS class_id, count(*) AS n_links FROM p JOIN n x ON x.row_no = a JOIN n y ON y.row_no = b WHERE shared::DOUBLE / (x.n + y.n - shared) >= 0.8 GROUP BY 1)
+        SELECT w.row_no, coalesce(c.class_id, w.row_no) AS class_id, coalesce(n_links, 0) AS n_links FROM w LEFT JOIN c ON c.row_no = w.row_no LEFT JOIN l ON l.class_id = c.class_id""",
+    "p8_covered": "SELECT doc_id, TRUE AS covered FROM documents",
+    "p10_shares": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS t FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(t[i : i + 7], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 6)) AS i FROM w WHERE len(t) >= 8)),
+        b AS (SELECT doc_id, i FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, g) AS first FROM g) WHERE i > first),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM b, (SELECT unnest(range(0, 8)) AS k) GROUP BY 1)
+        SELECT w.doc_id, len(t) AS n_words, coalesce(n, 0) AS n_repeated, round(CASE WHEN len(t) > 0 THEN coalesce(n, 0) / len(t) ELSE 0.0 END, 6) AS repeated_share FROM w LEFT JOIN c ON c.doc_id = w.doc_id""",
     "p4_found": """
         WITH s AS (SELECT run_id, backend AS list, record_id, score FROM hits UNION ALL SELECT run_id, retriever, record_id, score FROM ranked_hits),
         b AS (SELECT run_id, list, record_id, max(score) AS score FROM s WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3),

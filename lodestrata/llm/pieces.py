@@ -101,7 +101,8 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = 2000, overla
     def ends(texts: pd.Series) -> pd.Series:
         return pd.Series([[x for s in spans(t, limit, overlap) for x in s] if t else None for t in texts])
 
-    offsets = F.pandas_udf(ends, "array<int>")
+    # Marked so that the plan evaluates it once a row, however often the offsets are used.
+    offsets = F.pandas_udf(ends, "array<int>").asNondeterministic()
     source = df.drop("piece_no", "n_pieces", "start_char", "end_char", "overlap_chars", "piece").where(F.length(text) > (0 if keep_small else limit))
     flat = source.withColumn("_offsets", offsets(F.col(text))).withColumn("n_pieces", (F.size("_offsets") / 2).cast("int"))
     each = flat.select("*", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))).alias("piece_no"))

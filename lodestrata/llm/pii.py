@@ -2,7 +2,7 @@
 
 1. One pass over whole texts finds candidate spans of five types with generous patterns: e-mail
    addresses in any notation, groups of digits and of digit words, street addresses, first
-   names followed by another name, and capitalised pairs with another first word where a title
+   names followed by another name, and capitalised pairs with any other first word where a title
    or a word said of persons stands next to them. Each candidate carries the votes of its type's labelers
    (regular expressions, gazetteers, context words before and after, counter-evidence such as
    file names, order numbers or typefaces; each says yes, no, or abstains) and its features.
@@ -79,16 +79,16 @@ way circle grove row trail mews gardens walk alley straße strasse str weg gasse
 """.split()
 FILE_ENDINGS = "png jpg jpeg gif svg webp pdf psd mp4 mov zip css html js ttf otf woff".split()
 TYPEFACE_WORDS = "serif sans grotesk grotesque mono display slab script condensed regular bold italic font typeface variable".split()
-PHONE_BEFORE = "call text phone tel telephone whatsapp mobile cell fax handy ring dial number contact reach signal sms ruf rufen anrufen telefon appelez téléphone llama llame teléfono móvil ☎ 📞 📱".split()
-PHONE_AFTER = "anytime book slot if or an always".split()
-ID_BEFORE = "ssn social security passport reisepass passeport pasaporte steuer-id steuer steuernummer ausweis ni nino national insurance tax tin id identity dni nif nie insee nir licence license personalausweis read posted showed share scan card form".split()
-ID_AFTER = "clearly plain comments text".split()
-ADDRESS_BEFORE = "address adresse dirección addr ship prints to at moved film come by parcel deliver send live lives office studio visit wohnt".split()
-PERSON_BEFORE = "client by to for with mit as dr prof mr mrs ms herr frau sr sra mme parcel ask thanks together avec von con ask met fragt".split()
-PERSON_AFTER = "told answers hated writes wrote says said im in overnight for on hello".split()
+PHONE_BEFORE = "call text phone tel telephone whatsapp mobile cell fax handy ring dial number contact reach signal sms hotline landline ruf rufen anrufen telefon nummer appelez téléphone numéro llama llame teléfono móvil número telefono ☎ 📞 📱".split()
+PHONE_AFTER = "anytime if or an always after before between ask extension ext".split()
+ID_BEFORE = "ssn social security passport reisepass passeport pasaporte steuer-id steuer steuernummer ausweis ni nino national insurance tax tin id identity identification dni nif nie insee nir licence license personalausweis iban account konto compte cuenta aadhaar pan citizen citizenship resident permit visa medicare nhs card document documento dokument".split()
+ID_AFTER = "clearly visible expires issued expired".split()
+ADDRESS_BEFORE = "address adresse dirección addr ship send deliver mail post to at visit come by live lives living office studio shop warehouse headquarters moved relocated located based located wohnt wohne anschrift domicilio".split()
+PERSON_BEFORE = "client by to for with from mit as dr prof mr mrs ms herr frau sr sra mme ask thank thanks together avec von con met meet called named and und et y fragt".split()
+PERSON_AFTER = "told tells answers answered asks asked writes wrote says said im called calls sent sends emailed thinks thought who whose".split()
 #: Of these a title, or a word said of persons only, is enough beside a capitalised pair of any words.
-PERSON_SURE = "client by thanks ask met fragt said says told together freelancer designer colleague boss friend named called mentor editor kundin kunde cliente clienta".split()
-PERSON_THEN = "told answers hated writes wrote says said".split()
+PERSON_SURE = "client thanks thank ask asked met meet meeting contact contacted email emailed call called phoned fragt said says told tell interviewed hired joined visited introduced recommended named together freelancer designer colleague coworker boss friend mentor editor teacher tutor professor director manager assistant engineer developer artist photographer illustrator founder author owner neighbour neighbor sister brother mother father wife husband son daughter cousin uncle aunt doctor nurse lawyer landlord tenant patient student kundin kunde kollege kollegin freundin chef cliente clienta amiga amigo collègue amie by".split()
+PERSON_THEN = "told tells answers answered asks asked writes wrote says said explains explained replied replies called calls sent sends emailed thinks thought lives moved works worked joined founded spoke wants wanted loves loved agreed suggested recommended taught teaches showed shared introduced visited".split()
 #: Street words that are common words too: the street's name is capitalised, or a code follows.
 STREET_COMMON = "way place circle grove row trail mews gardens walk alley".split()
 NUMBER_NO = "order post preset version price iso sku ref invoice item page ticket build v $ € £ # # bestellung pedido commande".split()
@@ -98,13 +98,14 @@ NUMBER_NO_AFTER = "got saves beats iso arrived px pixels pt usd eur percent %".s
 _GAP = r"(?:[ \t ]|[ \t]?\r?\n(?:>[ ]?)?)"
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?|@|＠", re.I)
 _SPELLED = re.compile(r"[\w.+-]+ (?:at|arroba) ([\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+)", re.I)
-_LOCAL = re.compile(r"[\w.+%'-]+$")
+_LOCAL = re.compile(r"[\w.+%'-]")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s?[\[({]\s?(?:dot|punto|punkt|point|\.)\s?[\])}]\s?| dot )[\w-]+)+", re.I)
 _RUN = re.compile(r"(?:\+|\()?\d(?:[\d()./  -]*|\r?\n> ?(?=\d))*\d")
 _NINO = re.compile(r"\b[A-Za-z]{2}" + _GAP + r"?\d\d" + _GAP + r"?\d\d" + _GAP + r"?\d\d" + _GAP + r"?[A-Da-d]\b")
 _NINO_TAIL = re.compile(r"(?<![\d.,])\d\d" + _GAP + r"?\d\d" + _GAP + r"?\d\d" + _GAP + r"?[A-Da-d](?![\w-])")
 _TWO_LETTERS = re.compile(r"(?<![\w-])[A-Za-z]{2}" + _GAP + r"?$")
-_CODE = re.compile(r"\b[A-Za-z]{1,3}\d{6,9}\b|\b\d{7,8}[A-Za-z]\b")
+_CODE = re.compile(r"\b[A-Za-z]{1,3}\d{6,9}\b|\b\d{7,8}[A-Za-z]\b|\b(?=[A-Z]*\d[A-Z]*\d)[A-Z][A-Z0-9]{7,11}\b")
+_IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])")
 _NANP = re.compile(r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}$")
 _INTERNATIONAL = re.compile(r"(?:\+|00)\d[\d ()./-]{6,18}\d$")
 _TRUNK = re.compile(r"(?=(?:\D*\d){9})(?:\(?0\d{1,5}\)?(?:[ ./-]\d{2,8}){1,4}|0\d{9,10})$")
@@ -119,7 +120,7 @@ _PLACE = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)"
 #: Street words that are written as the end of a longer word.
 _SUFFIXES = frozenset("straße strasse str weg gasse platz allee".split())
 _EN = re.compile(rf"(?<![\w.,-])(\d{{1,5}}[a-z]?){_GAP}((?:{_UP}{_GAP}){{1,3}}?)(road|rd|street|st|lane|ln|avenue|ave|drive|court|crescent|terrace|boulevard|blvd|square|close|parkway|highway|way|place|circle|grove|row|trail|mews|gardens|walk|alley)\b\.?", re.I)
-_EN_TAIL = re.compile(rf"(?:,?{_GAP}(?:apt|apartment|suite|unit|flat)\.?{_GAP}\w+)?(?P<town>,{_GAP}?{_PLACE}(?:{_GAP}(?-i:[A-ZÀ-Þ])[^\W\d_]+(?!\w))?)?(?P<code>,?{_GAP}(?:[A-Z]{{2}}{_GAP}\d{{5}}|[A-Z]{{1,2}}\d[\dA-Z]?{_GAP}\d[A-Z]{{2}}))?", re.I)
+_EN_TAIL = re.compile(rf"(?:,?{_GAP}(?:apt|apartment|suite|unit|flat)\.?{_GAP}\w+)?(?P<town>,{_GAP}?{_PLACE}(?:{_GAP}(?-i:(?![A-Z]{{2}}{_GAP}\d)[A-ZÀ-Þ])[^\W\d_]+(?!\w))?)?(?P<code>,?{_GAP}(?:[A-Z]{{2}}{_GAP}\d{{5}}|[A-Z]{{1,2}}\d[\dA-Z]?{_GAP}\d[A-Z]{{2}}))?", re.I)
 _LOW_TAIL = re.compile(rf"(?:{_GAP}(?:apt|apartment|suite|unit|flat)\.?{_GAP}\w+)?{_GAP}(?P<town>{_PLACE})(?P<code>{_GAP}(?:[a-z]{{2}}{_GAP}\d{{5}}|[a-z]{{1,2}}\d[\da-z]?{_GAP}\d[a-z]{{2}}))", re.I)
 _DE = re.compile(rf"({_UP}(?:straße|strasse|str\.|weg|gasse|platz|allee)|{_UP}{_GAP}(?:straße|strasse|weg|gasse|platz|allee)){_GAP}(\d{{1,4}}[a-z]?)\b(?P<town>,?{_GAP}\d{{4,5}}{_GAP}{_UP})?", re.I)
 _FR = re.compile(rf"(\d{{1,4}}),?{_GAP}(?:bis{_GAP})?(?:rue|avenue|boulevard|chemin|impasse|quai|place|allée){_GAP}(?:(?:de{_GAP}la|de|du|des|d'|l'){_GAP}?)?{_UP}(?P<town>,?{_GAP}\d{{5}}{_GAP}{_UP})?", re.I)
@@ -142,7 +143,7 @@ def automaton() -> ahocorasick.Automaton:
     """Finds first names (p), digit words (d), street words (a) and id words (i) in lower case."""
     a = ahocorasick.Automaton()
     kinds: dict[str, str] = {}
-    for words, kind in ((_FIRST, "p"), (_DIGIT, "d"), (STREET_WORDS, "a"), (("passport", "passport no", "reisepass", "pasaporte", "passeport", "ni number", "dni", "nif", "ausweis"), "i")):
+    for words, kind in ((_FIRST, "p"), (_DIGIT, "d"), (STREET_WORDS, "a"), (("passport", "passport no", "reisepass", "pasaporte", "passeport", "ni number", "dni", "nif", "ausweis", "identity", "identity number", "identity no", "id", "id number", "tax id", "insurance", "licence", "license", "permit"), "i")):
         for w in words:
             kinds[w] = kinds.get(w, "") + kind
     for w, k in kinds.items():
@@ -156,17 +157,45 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
+#: A full stop after these ends no sentence.
+_SHORT = ("dr. ", " st. ", " no. ", " nr. ", "prof. ", " tel. ", " num. ")
+
+
 def _context(low: str, start: int, end: int) -> tuple[list[str], list[str]]:
     """The three words before and the two after a span, of the same sentence or line."""
-    before = re.split(r"[.!?\n](?:\s|$)", low[max(0, start - 48) : start])[-1] if low[max(0, start - 4) : start] not in ("dr. ", " st. ") else low[max(0, start - 48) : start]
+    head = low[max(0, start - 48) : start]
+    before = head if head.endswith(_SHORT) else re.split(r"[.!?\n](?:\s|$)", head)[-1]
     return _WORD.findall(before)[-4:], _WORD.findall(re.split(r"[.!?\n]", low[end : end + 32].lstrip(" "))[0])[:3]
 
 
+def _words_left(text: str, at: int, n: int) -> int:
+    """Where the ``n`` words before ``at`` begin."""
+    for _ in range(n):
+        while at and text[at - 1].isspace():
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def _words_right(text: str, at: int, n: int) -> int:
+    """Where the ``n`` words from ``at`` end."""
+    size = len(text)
+    for _ in range(n):
+        while at < size and text[at].isspace():
+            at += 1
+        while at < size and not text[at].isspace():
+            at += 1
+    return at
+
+
 def _any(words: list[str], listed) -> bool:
     return any(w in listed for w in words)
 
 
-_SETS = {k: frozenset(v) for k, v in {"pb": PHONE_BEFORE, "pa": PHONE_AFTER, "ib": ID_BEFORE, "ia": ID_AFTER, "ab": ADDRESS_BEFORE, "nb": PERSON_BEFORE, "na": PERSON_AFTER, "no": NUMBER_NO, "noa": NUMBER_NO_AFTER, "face": TYPEFACE_WORDS, "article": ARTICLES, "sure": PERSON_SURE, "then": PERSON_THEN, "street": [*STREET_WORDS, "calle"], "common": STREET_COMMON}.items()}
+_SETS = {k: frozenset(v) for k, v in {"pb": PHONE_BEFORE, "pa": PHONE_AFTER, "ib": ID_BEFORE, "ia": ID_AFTER, "ab": ADDRESS_BEFORE, "nb": PERSON_BEFORE, "na": PERSON_AFTER, "no": NUMBER_NO, "noa": NUMBER_NO_AFTER, "face": TYPEFACE_WORDS, "article": ARTICLES, "sure": PERSON_SURE, "then": PERSON_THEN, "no_place": "grid set row column cell version page level chapter figure table layer map".split(), "street": [*STREET_WORDS, "calle"], "common": STREET_COMMON}.items()}
+#: Before a number these say that somebody is reached there.
+_PREPOSITIONS = (["on"], ["at"], ["under"], ["unter"], ["au"], ["al"])
 _NO_NAME = frozenset([*PERSON_BEFORE, *PERSON_SURE, *ARTICLES, *STREET_WORDS, *TYPEFACE_WORDS, *ADDRESS_BEFORE, *PHONE_BEFORE, *NUMBER_NO, *DIGIT_WORDS, *"i we you he she they it my your our his her their and or but this that these those when if then now big many also new".split()])
 
 
@@ -176,9 +205,6 @@ def _features(kind: str, span: str, before: list[str], after: list[str], votes:
     return sorted({zlib.crc32(f"{kind}|{n}".encode()) % FEATURES for n in names})
 
 
-#: Votes that are counter-evidence beyond doubt: they fix the label where they say no.
-HARD_NO = {"email": (1,), "id_number": (3,), "address": (2,), "phone": (3,), "person": (3, 5)}
-
 Candidate = tuple[str, int, int, list[int], list[int]]
 
 
@@ -189,11 +215,13 @@ def _add(out: list[Candidate], kind: str, text: str, low: str, start: int, end:
 
 def _emails(text: str, low: str, out: list[Candidate]) -> None:
     for m in _AT.finditer(text):
-        local = _LOCAL.search(text, max(0, m.start() - 80), m.start())
         domain = _DOMAIN.match(text, m.end())
-        if not local or not domain:
+        start = m.start()
+        while start and _LOCAL.match(text[start - 1]):
+            start -= 1
+        if start == m.start() or not domain:
             continue
-        start, end = local.start(), domain.end()
+        end = domain.end()
         last = re.findall(r"[\w-]+", low[domain.start() : end])[-1]
         first = low[domain.start()]
         votes = [
@@ -259,23 +287,25 @@ def _number(text: str, low: str, start: int, end: int, run: str, out: list[Candi
     if "(" in run and ")" not in run:
         start, run = start + run.index("(") + 1 if run[0] == "(" else start, run.lstrip("(")
     digits = sum(c.isdigit() for c in run)
-    if not 7 <= digits <= 15 or _DATE.match(run):
+    if digits < 7:
         return
     context = _context(low, start, end)
     before, after = context
     no = _any(before[-3:], _SETS["no"]) or _any(after[:2], _SETS["noa"])
     phone = bool(_NANP.match(run) or _INTERNATIONAL.match(run) or _TRUNK.match(run))
     idlike = bool(_SSN.match(run) or _TAX.match(run))
-    if not phone and not idlike and (no or not _any(before, _SETS["pb"]) and not _any(before, _SETS["ib"])):
-        return
-    near_id, near_phone = _any(before, _SETS["ib"]), _any(before, _SETS["pb"]) or before[-1:] == ["on"]
-    _add(out, "phone", text, low, start, end, [1 if phone and not _SSN.match(run) else -1, 1 if near_phone else 0, 1 if _any(after, _SETS["pa"]) else 0, -1 if no else 0, -1 if idlike or near_id and not near_phone else 0], context)
-    _add(out, "id_number", text, low, start, end, [1 if idlike else -1, 1 if near_id else 0, 1 if _any(after, _SETS["ia"]) else 0, -1 if no else 0, -1 if phone and not near_id else 0], context)
+    odd = bool(_DATE.match(run)) or digits > 15 and "-" not in run and " " not in run
+    near_id, near_phone = _any(before, _SETS["ib"]), _any(before, _SETS["pb"]) or before[-1:] in _PREPOSITIONS and not _DATE.match(run)
+    if not (phone or idlike or (near_id or near_phone) and before[-1] not in _SETS["no"]):
+        return  # every labeler for it would abstain or say no
+    no = no or odd and not near_id
+    _add(out, "phone", text, low, start, end, [1 if phone and not _SSN.match(run) else -1 if digits > 15 else 0 if near_phone and not near_id else -1, 1 if near_phone else 0, 1 if _any(after, _SETS["pa"]) else 0, -1 if no else 0, -1 if idlike or near_id and not near_phone else 0], context)
+    _add(out, "id_number", text, low, start, end, [1 if idlike else 0 if near_id and digits >= 8 and not phone else -1, 1 if near_id else 0, 1 if _any(after, _SETS["ia"]) else 0, -1 if no else 0, -1 if phone and not near_id else 0], context)
 
 
 def _codes(text: str, low: str, start: int, seen: set, out: list[Candidate]) -> None:
     """Codes with letters after an id word that ends at ``start``."""
-    window = text[start : start + 40]
+    window = text[start : _words_right(text, start, 8)]
     for m in (_NINO.search(window), _CODE.search(window)):
         if m and start + m.start() in seen:
             return
@@ -297,6 +327,18 @@ def _national(text: str, low: str, seen: set, out: list[Candidate]) -> None:
             _add(out, "id_number", text, low, head.start(), m.end(), [1, 1 if _any(before, _SETS["ib"]) else 0, 1 if _any(after, _SETS["ia"]) else 0, -1 if _any(before[-2:], _SETS["no"]) else 0, 0], (before, after))
 
 
+def _accounts(text: str, low: str, seen: set, out: list[Candidate]) -> None:
+    """Account numbers of two letters, two check digits and up to thirty characters."""
+    for m in _IBAN.finditer(text):
+        compact = re.sub(r"\s", "", m.group())
+        if not 15 <= len(compact) <= 34 or m.start() in seen:
+            continue
+        seen.add(m.start())
+        right = int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+        before, after = _context(low, m.start(), m.end())
+        _add(out, "id_number", text, low, m.start(), m.end(), [1 if right else -1, 1 if _any(before, _SETS["ib"]) else 0, 1 if _any(after, _SETS["ia"]) else 0, -1 if _any(before[-2:], _SETS["no"]) else 0, 0], (before, after))
+
+
 def _digit_words(text: str, low: str, hits: list[tuple[int, int]], out: list[Candidate]) -> None:
     run: list[tuple[int, int]] = []
     for a, b in [*hits, (len(low) + 9, len(low) + 9)]:
@@ -304,7 +346,7 @@ def _digit_words(text: str, low: str, hits: list[tuple[int, int]], out: list[Can
             if len(run) >= 7:
                 s, e = run[0][0], run[-1][1]
                 before, after = _context(low, s, e)
-                near = _any(before, _SETS["pb"]) or before[-1:] == ["on"]
+                near = _any(before, _SETS["pb"]) or before[-1:] in _PREPOSITIONS
                 _add(out, "phone", text, low, s, e, [1, 1 if near else 0, 1 if _any(after, _SETS["pa"]) else 0, 0, 0], (before, after))
             run = []
         run.append((a, b))
@@ -312,9 +354,9 @@ def _digit_words(text: str, low: str, hits: list[tuple[int, int]], out: list[Can
 
 def _addresses(text: str, low: str, at: int, seen: set, out: list[Candidate]) -> None:
     """An address around the street word that begins at ``at``."""
-    left = max(0, at - 60)
+    left, right = _words_left(text, at, 6), _words_right(text, at, 16)  # no pattern reaches over more words
     for pattern in (_EN, _DE, _FR, _ES):
-        for m in pattern.finditer(text, left, min(len(text), at + 110)):
+        for m in pattern.finditer(text, left, right):
             if not m.start() <= at < m.end() or (pattern, m.start()) in seen:
                 continue
             if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "@_"):
@@ -331,7 +373,7 @@ def _addresses(text: str, low: str, at: int, seen: set, out: list[Candidate]) ->
                 end = tail.end() if town or tail.group("code") else tail.end()
             context = _context(low, m.start(), end)
             before, after = context
-            grid = _any(before[-2:], ("grid", "set", "row", "column", "version", "page")) or _any(after, ("looked", "grid"))
+            grid = _any(before[-2:], _SETS["no_place"]) or _any(after, ("grid",))
             _add(out, "address", text, low, m.start(), end, [1 if town else -1, 1 if _any(before, _SETS["ab"]) else 0, -1 if grid else 0, 1 if town and re.search(r"\d", text[m.end() - 8 : end]) else 0, 1 if pattern is not _EN else 0], context)
 
 
@@ -347,7 +389,7 @@ def _persons(text: str, low: str, start: int, end: int, out: list[Candidate], li
     head = family.split()[-1]
     up = first[0].isupper()
     cased = 1 if up and head[0].isupper() else -1 if up else 0
-    closed = -1 if head.lower() in _SETS["face"] or _any(before[-1:], ("set",)) else 0
+    closed = -1 if head.lower() in _SETS["face"] or head.lower() in _NO_NAME or _any(before[-1:], ("set",)) else 0
     titled = bool(_TITLE.search(low, max(0, start - 8), start))
     if not listed:
         sure = titled or _any(before[-2:], _SETS["sure"]) or _any(after[:1], _SETS["then"])
@@ -374,6 +416,7 @@ def candidates(text: str, finder: ahocorasick.Automaton) -> list[Candidate]:
     seen: set = set()
     n = len(low)
     _national(text, low, seen, out)
+    _accounts(text, low, seen, out)
     for last, (size, kinds) in finder.iter(low):
         start, end = last + 1 - size, last + 1
         if end < n and (low[end].isalnum() or low[end] == "_"):
@@ -443,8 +486,7 @@ def models(spans: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
         own = [r for r in table if r["kind"] == kind]
         if own:
             patterns, counts = np.array([r["votes"] for r in own]), np.array([r["count"] for r in own], float)
-            known = -(patterns[:, list(HARD_NO[TYPES[kind]])] < 0).any(axis=1).astype(float)
-            posterior, _, _ = estimate(patterns, counts, known, prior=0.5)
+            posterior, _, _ = estimate(patterns, counts, prior=0.5)
             probability |= {(kind, tuple(r["votes"])): float(p) for r, p in zip(own, posterior)}
     step = max(1, -(-total // sample))
     chosen = flat.where(F.pmod(F.xxhash64("id", "field", "start"), F.lit(step)) == 0) if step > 1 else flat

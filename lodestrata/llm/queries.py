@@ -20,10 +20,14 @@ def _record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "canonical_records").select(F.col("row_no").alias("id"), neardup.record_text().alias("text"))
 
 
-def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_key"), "text")
     records = _table(spark, sf_dir, "canonical_records").select(F.lit("canonical_records").alias("item_table"), F.col("row_no").cast("string").alias("item_key"), F.col("fields.transcript").alias("text"))
-    return pieces.split_oversized(chunks.unionByName(records), limit=2000, overlap=200)
+    return chunks.unionByName(records)
+
+
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_oversized(_items(spark, sf_dir), limit=2000, overlap=200)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +35,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _oversized(spark, sf_dir).select("item_table", "item_key", "piece_no", "n_pieces", "start_char", "end_char", "overlap_chars", "piece").distinct()
+    return _oversized(spark, sf_dir).select("item_table", "item_key", "piece_no", "n_pieces", "start_char", "end_char", "overlap_chars", "piece")
+
+
+def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each oversized row whether its pieces keep limit and overlap, follow each other and give the text again."""
+    rows = _items(spark, sf_dir).select("*", F.monotonically_increasing_id().alias("at"))
+    cut = pieces.split_oversized(rows, limit=2000, overlap=200)
+    own = F.struct("piece_no", "start_char", "end_char", "overlap_chars", "piece")
+    all_ = cut.groupBy("item_table", "item_key", "at").agg(F.array_sort(F.collect_list(own)).alias("p"), F.first("text").alias("text"))
+    kept = F.forall("p", lambda x: (F.length(x["piece"]) <= 2000) & (x["overlap_chars"] <= 200))
+    again = F.array_join(F.transform("p", lambda x: F.substring(x["piece"], x["overlap_chars"] + 1, F.lit(2000))), "")
+    return all_.select("item_table", "item_key", (kept & (again == F.col("text"))).alias("whole"))
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +137,11 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(found).select(F.col("id").alias("row_no"), "class_id", "group_id", "n_links")
 
 
+def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row its class of equal texts and the number of other texts that are similar."""
+    return p7_groups(spark, sf_dir).select("row_no", "class_id", "n_links")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -130,6 +150,16 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), capacity=2048).withColumnRenamed("id", "doc_id")
 
 
+def p8_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document whether its pieces cover it once, in containers that are not overfull, split only where it must be."""
+    p = p8_containers(spark, sf_dir)
+    load = p.groupBy("container_id").agg((F.sum("n_tokens") <= 2048).alias("fits"))
+    parts = p.join(load, "container_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_start", "token_end"))).alias("s"), F.min("fits").alias("fits"))
+    follow = F.forall(F.sequence(F.lit(1), F.size("s")), lambda i: F.when(i == 1, F.element_at("s", 1)["token_start"] == 0).otherwise(F.element_at(F.col("s"), i)["token_start"] == F.element_at(F.col("s"), F.greatest(i - 1, F.lit(1)))["token_end"]))
+    total = F.element_at("s", -1)["token_end"]
+    return parts.select("doc_id", (F.col("fits") & follow & (F.size("s") == F.greatest(F.ceil(total / 2048), F.lit(1)))).alias("covered"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "text")
     return leakage.leaks(_documents(spark, sf_dir), items, passage=13, words=5)
@@ -154,6 +184,10 @@ def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(F.col("id").alias("doc_id"), "n_words", "n_repeated", F.round("repeated_share", 6).alias("repeated_share"), F.round("p_repetitive", 6).alias("p_repetitive"))
 
 
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_repetition(spark, sf_dir).select("doc_id", "n_words", "n_repeated", "repeated_share")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 

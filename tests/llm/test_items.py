@@ -75,6 +75,63 @@ def test_names_and_streets_that_no_list_has(spark):
     assert not [r for r in found if r["id"] >= 2000]
 
 
+HELD_OUT = {
+    "person": (
+        ["Kwame Mensah", "Priyanka Chatterjee", "Siobhan O'Connor", "Liam Byrne", "Tomasz Wojcik", "Ngozi Adeyemi", "Saoirse Gallagher", "Anwar Siddiqui", "Freydis Halvorsen", "Mehmet Yildirim"],
+        ["I met {} at the fair last week.", "Yesterday {} told us about the kiln.", "Our teacher {} explained the press.", "Please email {} about the invoice.", "The photographer {} lives in the old mill.", "Dr. {} will look at the scan.", "Mrs. {} bought two of the bowls.", "Thanks {} for lending the loom.", "My neighbour {} showed me the trick.", "{} said that the glue was dry."],
+    ),
+    "address": (
+        ["14 Elm Grove, Leeds LS6 2AB", "12 Orchard Way, Bristol BS1 4DJ", "207 Quarry Lane, Tarrow NR4 7PQ", "9 Fuchsia Crescent, Ebbing LA2 9XD", "Ahornweg 17, 70182 Oberthal", "Lindenallee 3, 20095 Neuwerder", "31 Wharf Street, Kelstow TX 75001", "88 Pinnacle Drive, Ashmere CA 90210", "Calle Olmeda 22, 41003 Ribera", "5 Saltmarsh Road, Dunwick IP17 3EN"],
+        ["Our studio is at {} near the bridge.", "Please deliver the crate to {} before noon.", "She lives at {} with two cats.", "The shop moved to {} in spring.", "Send the form to {} by post."],
+    ),
+    "phone": (
+        ["0171 4567890", "+44 161 496 0923", "(312) 555-0187", "01 70 18 44 29", "+49 89 5550 1234", "202-555-0143", "+34 612 555 098", "020 7946 0112", "07700 900461", "1-800-555-0199"],
+        ["Please call {} after lunch.", "My mobile is {} if you are lost.", "Ring us on phone {} any day.", "Text {} to book a place.", "The workshop's telephone number {} is new."],
+    ),
+    "id_number": (
+        ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "4821 7730 9164", "078-05-1120", "PX4471902", "JG103759A", "23 456 789 012", "C01X00T47", "FR14 2004 1010 0505 0001 3M02 606", "912-38-4471"],
+        ["The social security or passport number {} was on the desk.", "His passport no. {} can be read.", "Her identity number {} stood below.", "The account IBAN {} was printed there.", "The tax id {} is on page one of the scan."],
+    ),
+    "email": (
+        ["h.larsen@fjordpost.example", "a" * 120 + "@long.example", "studio (at) lumen (dot) example", "o'neill@harbour.example", "first_last+tag@sub.domain.example", "käthe@müller.example", "info at bright dot lamp dot example", "x@y.example", "team[at]kiln[dot]example", "sales@paper-works.example"],
+        ["Write to {} for the list.", "My address is {} as before.", "Ask {} please.", "The mail went to {} today.", "Send it to {} again."],
+    ),
+}
+PLAIN = [
+    "The Red Lantern opens in May.", "We printed 4500 posters in 2023 at 300 dpi.", "Version 10.15.7 fixed the export of layers.", "Use Adobe Garamond Pro at 11 on 14 pt.", "Build 20240117 took 3 minutes.", "Our Monday Market was full.", "The river road was wet and the place was closed.", "I bought Blue Heron ink for the Winter Fair.",
+    "Scale it to 1920 x 1080 and save.", "Item 7730-9164 is sold out.", "Photo by the lake, edited in an hour.", "See Chapter Two for the Main Street example.", "Meet at the fountain at 10:30.", "Post 557120984423190 had 18,204 likes.", "Thanks everyone for the kind words!", "Page 12 shows the Golden Ratio grid.",
+]
+
+
+def test_held_out_forms_of_each_type(spark):
+    """Names, streets and numbers that no list and no test table has, in sentences of other words."""
+    rng = random.Random(12)
+    rows = [(i, "caption", "\n".join([*rng.sample(FILLER, 2), rng.choice(PERSONAL)[0]])) for i in range(300)]
+    want = {}
+    for kind, (values, frames) in HELD_OUT.items():
+        for v in values:
+            for f in rng.sample(frames, 3):
+                i = 1000 + len(want)
+                text = f"{rng.choice(PLAIN)} {f.format(v)} {rng.choice(PLAIN)}"
+                want[i] = (kind, text.index(v), text.index(v) + len(v), text)
+    rows += [(i, "caption", t) for i, (_, _, _, t) in want.items()] + [(9000 + i, "caption", t) for i, t in enumerate(PLAIN)]
+    found = pii.occurrences(pii.personal_spans(spark.createDataFrame(rows, "id bigint, field string, text string"))).where("id >= 1000").collect()
+    right, all_, given = Counter(), Counter(k for k, *_ in want.values()), Counter()
+    wrong = []
+    for r in found:
+        given[r["pii_type"]] += 1
+        w = want.get(r["id"])
+        # A span counts if it is of the type and holds the middle of the true one, within a few characters of its ends.
+        if w and w[0] == r["pii_type"] and abs(r["start"] - w[1]) <= 3 and abs(r["end"] - w[2]) <= 3:
+            right[w[0]] += 1
+        else:
+            wrong.append((r["pii_type"], (w[3] if w else PLAIN[r["id"] - 9000])[r["start"] : r["end"]]))
+    got = {(r["id"], r["pii_type"]) for r in found}
+    missed = [(k, t) for i, (k, _, _, t) in want.items() if (i, k) not in got]
+    figures = {k: (round(right[k] / all_[k], 2), round(right[k] / max(1, given[k]), 2)) for k in all_}
+    assert all(r >= 0.9 and p >= 0.9 for r, p in figures.values()), (figures, wrong[:10], missed[:10])
+
+
 def test_personal_information_in_nothing(spark):
     df = spark.createDataFrame([], "id bigint, field string, text string")
     assert pii.occurrences(pii.personal_spans(df)).count() == 0
@@ -220,6 +277,14 @@ def test_similar_pairs_equal_brute_force(spark):
     assert knn.similar_pairs(df.limit(0), 0.9).count() == 0
 
 
+def test_crowded_leaves_grow_trees_of_their_own(spark):
+    rows = vector_table()
+    near = {(a, b) for (a, b), c in brute_neighbours(rows).items() if a < b and c >= 0.9}
+    df = spark.createDataFrame(rows, "key string, embedding array<float>")
+    got = {(r["key_a"], r["key_b"]) for r in knn.similar_pairs(df, 0.9, leaf=16, sample=40).collect()}
+    assert got <= near and len(near - got) <= 0.1 * len(near)
+
+
 def test_nearest_recall(spark):
     rows = vector_table()
     of = defaultdict(list)
@@ -284,6 +349,22 @@ def test_capping(spark):
         capping.cap_records(df, "who", "q", "no")
 
 
+def test_large_caps_are_found_by_ranges(spark):
+    """A contributor above the hot size: many qualities, few (all ties), nulls; against a plain sort."""
+    rng = random.Random(4)
+    rows = [(i, "wide", rng.random()) for i in range(900)] + [(2000 + i, "ties", float(rng.randrange(3))) for i in range(900)] + [(4000 + i, "same", None) for i in range(700)] + [(6000 + i, "small", 1.0) for i in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "no bigint, who string, q double")
+    for cap in (50, 401, 880):
+        want = set()
+        for who in ("wide", "ties", "same", "small"):
+            own = sorted((-(q if q is not None else -1e9), no) for no, w, q in rows if w == who)
+            want |= {no for _, no in own[cap:]}
+        got = [r["no"] for r in capping.over_cap(df, "who", "q", "no", cap, top=1, hot_rows=100).where("over_cap").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert {r["no"] for r in capping.over_cap(df, "who", "q", "no", cap, top=1).where("over_cap").collect()} == want
+
+
 def test_contributor_names(spark):
     spelled = ["Ann.Lee", "@ann.lee", "\tann.lee ", "https://posts.example/ann.lee/", "ANN.LEE", " ann.lee "]
     df = spark.createDataFrame([(s,) for s in [*spelled, None, "  ", "@"]], "o string")
@@ -328,3 +409,18 @@ def test_grouping_operators_keep_packings_whole():
         assert child.min() >= 0 and np.bincount(child, weights=sizes).max() <= 100 and len(np.unique(child)) == child.max() + 1
     first = packing.evolve(sizes, 100, [], 1, 0, np.random.default_rng(1))
     assert packing.fitness(packing.evolve(sizes, 100, [first], 8, 20, np.random.default_rng(1)), sizes, 100) >= packing.fitness(first, sizes, 100)
+
+
+def test_the_search_beats_best_fit_where_that_is_not_the_best():
+    """Triples that fill a container exactly: best-fit by falling size cannot find them all."""
+    rng = np.random.default_rng(3)
+    won = 0
+    for n in range(5):
+        first = rng.integers(380, 490, 40)
+        second = np.array([rng.integers(240, (1000 - a) // 2 + 1) for a in first])
+        sizes = rng.permutation(np.concatenate([first, second, 1000 - first - second]))
+        seed = packing.evolve(sizes, 1000, [], 1, 0, np.random.default_rng(n))
+        best = packing.evolve(sizes, 1000, [], 8, 40, np.random.default_rng(n))
+        assert packing.fitness(best, sizes, 1000) >= packing.fitness(seed, sizes, 1000)
+        won += packing.fitness(best, sizes, 1000) > packing.fitness(seed, sizes, 1000) + 1e-9
+    assert won >= 4

@@ -348,3 +348,22 @@ def test_repetition(spark):
             assert rows[i]["p_repetitive"] >= 0.5
     assert rows[0]["p_repetitive"] is None and rows[2]["repeated_share"] == 0.0
     assert repetition.repetition(df.limit(0)).count() == 0
+
+
+def test_the_posterior_decides_without_labels(spark):
+    """Documents whose defined share abstains are told apart by the agreement of the other rules."""
+    rng = random.Random(7)
+    rows, truth = [], {}
+    for i in range(240):
+        if i % 3 == 0:  # a few sentences over and over between others: a share between the rule's limits
+            stuck = [text_of(rng, 6) + ". " for _ in range(2)]
+            own = [text_of(rng, 12) + ". " for _ in range(6)]
+            text = "".join(own[j] + stuck[j % 2] * (2 if i % 2 else 3) for j in range(6))
+        else:
+            text = "".join(text_of(rng, rng.randint(6, 14)) + ". " for _ in range(12))
+        rows.append((i, text))
+        truth[i] = i % 3 == 0
+    got = {r["id"]: r for r in repetition.repetition(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    right = sum((got[i]["p_repetitive"] >= 0.5) == t for i, t in truth.items())
+    assert right >= 0.95 * len(rows)
+    assert any(r["votes"][0] == 0 for r in got.values()) or all(0 < r["p_repetitive"] < 1 for r in got.values())
