@@ -62,6 +62,8 @@ CUTS = ((24, 3, 3), (12, 6, 4))
 _SIDE = ThreadPoolExecutor(3, "history")
 #: Open rows with relations that one task may settle in order; beyond that rounds run as joins until fewer are open.
 MAX_IN_ONE_TASK = 200_000
+#: Meetings of an arrival's rows up to which one task decides on all of it.
+MAX_PAIRS_IN_ONE_TASK = 4_000_000
 SIGNED = "id bigint, chash binary, rid string, text string, digest binary, w int, keys array<bigint>, lens array<int>"
 
 
@@ -158,6 +160,53 @@ def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kept, pa.int64())], names=["node", "kept"])
 
 
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decisions on one arrival: rows (0), exact keys (1), nearest accepted (2) and links (3) of its classes."""
+    rows, old, near, links = [], {}, {}, {}
+    for batch in batches:
+        for kind, i, k1, k2, k3, other in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                rows.append((i, k1, k2, k3))
+            elif kind == 1:
+                old[k1] = i
+            elif kind == 2:
+                near[i] = other
+            else:
+                links.setdefault(i, []).append(other)
+                links.setdefault(other, []).append(i)
+    rows.sort(key=lambda r: r[0])
+    classes: dict[bytes, int] = {}
+    for i, words, _, _ in rows:
+        if words is not None:
+            classes.setdefault(words, i)
+    by_class, by_hash, names, kept_ids, known = {}, {}, set(), [], []
+    for i, words, digest, name in rows:
+        c = classes.get(words)
+        by = [old.get(words), old.get(digest), near.get(c), by_class.get(c), by_hash.get(digest), *(by_class.get(x) for x in links.get(c, ()))]
+        kept = min((x for x in by if x is not None), default=None)
+        kept_ids.append(kept)
+        known.append(name is not None and (name in old or name in names))
+        if kept is None:
+            if c is not None:
+                by_class[c] = i
+            if digest is not None:
+                by_hash[digest] = i
+            if name is not None:
+                names.add(name)
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([k is None for k in kept_ids], pa.bool_()), pa.array(kept_ids, pa.int64()), pa.array(known, pa.bool_())], names=["id", "accepted", "kept_id", "known_id"])
+
+
+def _decided_at_once(signed: DataFrame, exact: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
+    """All decisions on an arrival of bounded size by one task, from narrow tables without any join."""
+    none = F.lit(None).cast("binary")
+    nobody = F.lit(None).cast("bigint").alias("other")
+    rows = signed.select(F.lit(0).alias("kind"), "id", F.col("digest").alias("k1"), F.col("chash").alias("k2"), _id_key(F.col("rid")).alias("k3"), nobody)
+    keys = exact.select(F.lit(1), F.col("old"), F.col("key"), none, none, nobody)
+    olds = near.select(F.lit(2), "id", none, none, none, "old")
+    pairs = links.select(F.lit(3), "a", none, none, none, "b")
+    return rows.union(keys).union(olds).union(pairs).repartition(1).mapInArrow(_decide, "id bigint, accepted boolean, kept_id bigint, known_id boolean")
+
+
 @dataclass
 class History:
     """The accepted rows' tables and the parameters of every later decision."""
@@ -198,8 +247,11 @@ class History:
         return staged(df, name, path)
 
     def release(self) -> None:
+        """Delete what the arrival needed. Its shuffle files and broadcasts are removed by Spark when the
+        driver collects its garbage, which many small plans would not make it do for long."""
         while self._scratch:
             discard(self.spark, self._scratch.pop())
+        self.spark.sparkContext._jvm.System.gc()
 
     def append(self, signed: DataFrame, firsts: DataFrame, last_id: int) -> None:
         """Take accepted rows in; of rows of the same words the paragraphs and text of the first (``firsts``)."""
@@ -228,6 +280,12 @@ def _heads(signed: DataFrame) -> DataFrame:
     return signed.where("digest is not null").join(F.broadcast(later) if fits_broadcast(later, MAX_SENT_IDS) else later, "id", "left_anti")
 
 
+def _first_of_words(narrow: DataFrame) -> DataFrame:
+    """Like ``_heads``, for rows without their texts: one shuffle, of which each task sends one row of the same words."""
+    w = Window.partitionBy("digest").orderBy("id")
+    return narrow.where("digest is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def _signed(h: History, accepted: DataFrame) -> DataFrame:
     ship(h.spark)
     full = accepted.select(F.col("id").cast("bigint"), normal_hash(F.col("content_hash")).alias("chash"), normal_id(F.col("record_id")).alias("rid"), "text")
@@ -364,11 +422,11 @@ def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame
     asked = signed.select(F.explode(F.array("digest", "chash", _id_key(F.col("rid")))).alias("key")).where("key is not null").distinct().hint("shuffle_hash")
     known = h.table("known").join(asked, "key").groupBy("key").agg(F.min("id").alias("old"))
     copies = _SIDE.submit(h.hold, known, "exact")
-    wanted, met = _wanted(h, _heads(signed.select("id", "digest", "w", "keys", "lens")))
+    wanted, met = _wanted(h, _first_of_words(signed.select("id", "digest", "w", "keys", "lens")))
     exact = copies.result()
     most, meetings, entries = wanted.agg(F.max("before"), F.sum(F.col("beside") - 1), F.count(F.lit(1))).first()
-    most, limit = most or 0, max(h.pairs_floor, h.pairs_per_row * entries)
-    few = (meetings or 0) // 2 <= limit  # then all pairs of the arrival are met at once
+    most, meetings, limit = most or 0, meetings or 0, max(h.pairs_floor, h.pairs_per_row * entries)
+    few = meetings // 2 <= limit  # then all pairs of the arrival are met at once
 
     texts = h.table("texts")
     usual = wanted.where((F.col("before") > 0) & (F.col("before") <= h.block)).join(met.withColumnRenamed("id", "b"), "key")
@@ -380,13 +438,16 @@ def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame
     pairs = _covered(h, usual, signed, texts)
     if few:
         pairs = pairs.unionByName(_covered(h, _beside(wanted), signed, signed))
-        h.admitted_pairs.append((meetings or 0) // 2)
+        h.admitted_pairs.append(meetings // 2)
     linked = h.hold(_verified(h, pairs), "linked")
     first_id = h.last_id + 1
     near = linked.where(F.col("b") < first_id).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old"))
     if most > h.block:
         near = _blocks_of_ids(h, wanted, met, signed, most, near)
 
+    links = linked.where(F.col("b") >= first_id)
+    if few and rows <= MAX_IN_ONE_TASK and meetings <= MAX_PAIRS_IN_ONE_TASK:
+        return _taken_in(h, signed, staged(_decided_at_once(signed, exact, near, links), "decided"), last_id)
     firsts = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
     nodes = signed.where("digest is not null or chash is not null").groupBy("digest", "chash").agg(F.min("id").alias("node")).join(firsts, "digest", "left")
     nodes = (
@@ -397,7 +458,6 @@ def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame
     )
     nodes = h.hold(nodes, "nodes")
     open_ = nodes.where("old is null")
-    links = linked.where(F.col("b") >= first_id)
     if not few:
         inner = wanted.where("beside > 1").join(open_.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
         ahead = int(inner.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0)
@@ -417,7 +477,11 @@ def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame
     decided = decided.withColumn("key", _id_key(F.col("rid"))).join(exact.select("key", F.lit(True).alias("old_rid")), "key", "left")
     earlier = F.min(F.when(F.col("accepted") & F.col("rid").isNotNull(), F.col("id"))).over(Window.partitionBy(F.coalesce("rid", F.col("id").cast("string"))))
     known_id = F.coalesce("old_rid", F.lit(False)) | F.coalesce(earlier < F.col("id"), F.lit(False))
-    decided = staged(decided.select("id", "accepted", "kept_id", known_id.alias("known_id")), "decided")
+    return _taken_in(h, signed, staged(decided.select("id", "accepted", "kept_id", known_id.alias("known_id")), "decided"), last_id)
+
+
+def _taken_in(h: History, signed: DataFrame, decided: DataFrame, last_id: int) -> DataFrame:
+    """Appends the rows that ``decided`` accepts; gives the decisions."""
     good = signed.join(decided.where("accepted").select("id"), "id", "left_semi")
     h.append(good, good.where("digest is not null"), last_id)  # accepted rows have different words
     return decided

@@ -190,8 +190,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, s, f"uiux:{i % 50}#v2", written[i % 3](h) if h else ("broken" if i % 7 == 0 else None), t, 1) for s, i, h, t in rows], "id bigint, seq bigint, record_id string, content_hash string, text string, node int")
 
 
-@pytest.mark.parametrize("seed, parts", [(1, 1), (2, 3)])
-def test_history_equals_brute_force(spark, seed, parts):
+@pytest.mark.parametrize("seed, parts, limit", [(1, 1, 200_000), (2, 3, 200_000), (1, 1, 0), (2, 2, 20)])
+def test_history_equals_brute_force(spark, monkeypatch, seed, parts, limit):
+    monkeypatch.setattr(history, "MAX_IN_ONE_TASK", limit)
     rows = arrival_rows(seed)
     want = brute_history(rows)
     h = history.start(spark, frame(spark, [r for r in rows if r[0] < 1000]), buckets=4)
