@@ -102,15 +102,14 @@ def correlation(table: DataFrame, k: int) -> np.ndarray:
 
 
 def loadings(matrix: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """First principal component, turned so that it points along the declared directions."""
+    """First principal component; the sign of each loading is turned to its declared direction, so a list
+    that disagrees with the others weighs less or more, but never against what was declared."""
     k = len(matrix)
     m = matrix * np.outer(directions, directions)
     if np.allclose(m, np.eye(k), atol=1e-12):
         return np.full(k, k**-0.5) * directions  # every direction is a component
     values, vectors = np.linalg.eigh(m)
-    first = vectors[:, int(np.argmax(values))]
-    first = first if first.sum() >= 0 else -first
-    return first * directions
+    return np.abs(vectors[:, int(np.argmax(values))]) * directions
 
 
 def projected(scores: DataFrame, directions: dict[str, int] | None = None) -> DataFrame:

@@ -224,7 +224,7 @@ def test_the_matrix_decides_the_ranking(spark, monkeypatch):
     rows = [(1, "a", "x", 3.0), (1, "a", "y", 2.0), (1, "b", "y", 9.0), (1, "b", "x", 1.0), (1, "c", "z", 5.0), (1, "c", "y", 1.0)]
     df = spark.createDataFrame(rows, "run bigint, list string, record string, score double")
     winner = lambda m: (monkeypatch.setattr(ranking, "correlation", lambda *_: np.array(m)), ranking.winners(df).first()["record"])[1]
-    assert winner([[1, 0.9, 0], [0.9, 1, 0], [0, 0, 1]]) == "y" and winner([[1, 0, 0.01], [0, 0.1, 0], [0.01, 0, 0.1]]) == "x"
+    assert winner([[1, 0, 0], [0, 1, 0.9], [0, 0.9, 1]]) == "y" and winner([[1, 0, 0.01], [0, 0.1, 0], [0.01, 0, 0.1]]) == "x"
 
 
 def test_large_groups_are_ranked_in_parts(spark):
