@@ -234,7 +234,7 @@ class History:
     def _append(self, table: str, key: str, df: DataFrame) -> None:
         (
             df.repartition(self.buckets, key)
-            .write.bucketBy(self.buckets, key).sortBy(key)
+            .write.bucketBy(self.buckets, key)
             .mode("append").option("path", f"{self.path}/{table}").saveAsTable(f"{self.name}_{table}")
         )
 
