@@ -29,9 +29,10 @@ in a transcript of one paragraph leaves the pieces around it as they were.
    their candidate pairs were too many (a family of edited copies that arrives at once), the
    arrival is cut in two by id: the first part is settled and appended, then refuses the rest.
 
-Order: rows are taken by ``id``, which must grow from arrival to arrival. A row is refused if an
+Order: arrivals are taken as they come, the rows of one by ``id``, which must grow from arrival to
+arrival unless the history is told that ids are only unique (``growing``). A row is refused if an
 accepted earlier row has the same content hash, the same words, or three-word similarity of at
-least the threshold.
+least the threshold; the smallest id of such rows is reported.
 
 Defined cases: a null or malformed content hash is no key; a row without words and without
 hash is always accepted; repeated rows of one arrival refuse each other in order; an empty
@@ -124,14 +125,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(shingle: int, threshold: float):
-    """The pairs (a, b, x, y) of texts whose shingle sets reach the threshold."""
+    """The pairs (a, b, x, y, old) of texts whose shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known, held = WordHasher(), {}, 0
         for batch in batches:
             for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
                 keep = []
-                for r, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
+                for r, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in part.columns[:4]))):
                     if held > 8_000_000:
                         known, held = {}, 0
                     for i, text in ((a, x), (b, y)):
@@ -142,7 +143,7 @@ def _similar(shingle: int, threshold: float):
                     if common >= threshold * (len(known[a]) + len(known[b]) - common):
                         keep.append(r)
                 rows = pa.array(keep, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(c).take(rows) for c in (0, 1, 4)], names=["a", "b", "old"])
 
     return run
 
@@ -220,6 +221,7 @@ class History:
     pairs_per_row: int = 200
     pairs_floor: int = 1_000_000
     buckets: int = 0
+    growing: bool = True
     path: str = ""
     name: str = field(default_factory=lambda: f"history_{uuid.uuid4().hex[:12]}")
 
@@ -262,7 +264,7 @@ class History:
             ("texts", "id", firsts.select("id", "w", "keys", "text")),
         )
         list(_SIDE.map(lambda part: self._append(*part), parts))  # three independent jobs
-        self.last_id = last_id
+        self.last_id = last_id if self.last_id is None else max(self.last_id, last_id)
 
     def close(self) -> None:
         """Drop the tables and their files. Decisions that were returned stay readable."""
@@ -300,7 +302,8 @@ def start(spark: SparkSession, accepted: DataFrame, threshold: float = 0.5, word
     shares at least), ``spare`` (the share that a row leaves out in its most frequent ones),
     ``block`` (accepted rows of one paragraph that are met at once),
     ``pairs_per_row`` and ``pairs_floor`` (meetings within an arrival, for each paragraph of
-    its open rows and at least, above which it is cut).
+    its open rows and at least, above which it is cut), ``growing`` (whether ids must grow from
+    arrival to arrival; else they must be unique).
     """
     h = History(spark, threshold, words, **kw)
     signed = _signed(h, accepted)
@@ -310,18 +313,19 @@ def start(spark: SparkSession, accepted: DataFrame, threshold: float = 0.5, word
     return h
 
 
-def _covered(h: History, pairs: DataFrame, signed: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` with their texts ``x, y`` that share enough paragraphs; ``others`` holds the b and stays where it lies."""
+def _covered(h: History, pairs: DataFrame, signed: DataFrame, others: DataFrame, old: bool) -> DataFrame:
+    """Pairs ``a, b`` with their texts ``x, y`` that share enough paragraphs; ``others`` holds the b and stays where it lies.
+    ``old`` says whether the b are the history's."""
     carry = signed.select(F.col("id").alias("a"), "w", "keys", "lens").join(pairs.hint("shuffle_hash"), "a")
     met = others.select(F.col("id").alias("_b"), F.col("w").alias("_w"), F.col("keys").alias("_keys")).join(carry.hint("shuffle_hash"), F.col("_b") == F.col("b"))
     shared = F.aggregate(F.arrays_zip("keys", "lens"), F.lit(0), lambda s, p: s + F.when(F.array_contains("_keys", p["keys"]), p["lens"]).otherwise(0))
     left = met.where(shared >= h.coverage * F.greatest("w", "_w")).select("a", "b")
     full = signed.select(F.col("id").alias("_a"), F.col("text").alias("x")).join(left.hint("shuffle_hash"), F.col("_a") == F.col("a")).select("a", "b", "x")
-    return others.select(F.col("id").alias("_b"), F.col("text").alias("y")).join(full.hint("shuffle_hash"), F.col("_b") == F.col("b")).select("a", "b", "x", "y")
+    return others.select(F.col("id").alias("_b"), F.col("text").alias("y")).join(full.hint("shuffle_hash"), F.col("_b") == F.col("b")).select("a", "b", "x", "y", F.lit(old).alias("old"))
 
 
 def _verified(h: History, texts: DataFrame) -> DataFrame:
-    return texts.mapInArrow(_similar(h.words, h.threshold), "a bigint, b bigint")
+    return texts.mapInArrow(_similar(h.words, h.threshold), "a bigint, b bigint, old boolean")
 
 
 def _wanted(h: History, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -350,9 +354,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _beside(wanted: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` (b first) of heads that share a wanted paragraph."""
-    p = wanted.where("beside > 1").select("key", F.col("id").alias("b"))
-    return p.join(p.select("key", F.col("b").alias("a")), "key").where("b < a").select("a", "b").distinct()
+    """Pairs ``a, b`` (b first) of heads, one of them open, that share a wanted paragraph."""
+    p = wanted.where("beside > 1").select("key", F.col("id").alias("b"), F.col("open").alias("_b"))
+    return p.join(p.select("key", F.col("b").alias("a"), F.col("_b").alias("_a")), "key").where("b < a and (_a or _b)").select("a", "b").distinct()
 
 
 def _blocks_of_ids(h: History, wanted: DataFrame, met: DataFrame, signed: DataFrame, most: int, old: DataFrame) -> DataFrame:
@@ -368,12 +372,31 @@ def _blocks_of_ids(h: History, wanted: DataFrame, met: DataFrame, signed: DataFr
         if open_.isEmpty():
             break
         more = open_.join(block.select("key", F.col("id").alias("b")), "key").where(F.expr("old is null or b < old")).select(F.col("id").alias("a"), "b").distinct()
-        found = _verified(h, _covered(h, h.hold(more, "candidates"), signed, h.table("texts"))).select(F.col("a").alias("id"), F.col("b").alias("old"))
+        found = _verified(h, _covered(h, h.hold(more, "candidates"), signed, h.table("texts"), True)).select(F.col("a").alias("id"), F.col("b").alias("old"))
         old = h.hold(old.unionByName(found).groupBy("id").agg(F.min("old").alias("old")), "older")
         low *= 8
     return old
 
 
+def _groups() -> Column:
+    """The groups of a node (class, chash): its class, and its content hash."""
+    group_c, group_h = F.concat(F.lit("c"), F.col("class").cast("string")), F.concat(F.lit("h"), F.hex("chash"))
+    return F.filter(F.array(group_c, group_h), lambda g: g.isNotNull())
+
+
+def _around(links: DataFrame) -> DataFrame:
+    """Of each class the groups of the classes that are similar to it: ``class, g``."""
+    either = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    return links.select(either.alias("e")).select(F.col("e.x").alias("class"), F.concat(F.lit("c"), F.col("e.y").cast("string")).alias("g"))
+
+
+def _mates(rivals: DataFrame, taken: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, mate``: of nodes that the history refuses the least taken node that they duplicate too."""
+    least = taken.select("node", F.explode(_groups()).alias("g")).groupBy("g").agg(F.min("node").alias("mate"))
+    looks = rivals.select("node", F.explode(_groups()).alias("g")).unionByName(rivals.join(_around(links), "class").select("node", "g"))
+    return looks.join(least, "g").groupBy("node").agg(F.min("mate").alias("mate"))
+
+
 def _in_order(h: History, nodes: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """``node, kept`` of open nodes (node, class, chash): the least taken node that refuses it, or null.
 
@@ -382,10 +405,7 @@ def _in_order(h: History, nodes: DataFrame, links: DataFrame, rows: int) -> Data
     relation are taken at once, and rounds of joins settle the others (a node waits while an
     earlier relative is open) until so few are left.
     """
-    group_c, group_h = F.concat(F.lit("c"), F.col("class").cast("string")), F.concat(F.lit("h"), F.hex("chash"))
-    groups = F.filter(F.array(group_c, group_h), lambda g: g.isNotNull())
-    either = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
-    around = links.select(either.alias("e")).select(F.col("e.x").alias("class"), F.concat(F.lit("c"), F.col("e.y").cast("string")).alias("g"))
+    groups, around = _groups(), _around(links)
     if rows <= MAX_IN_ONE_TASK:
         lists = nodes.join(around.groupBy("class").agg(F.collect_set("g").alias("looks")), "class", "left")
         return lists.select("node", groups.alias("groups"), "looks").repartition(1).sortWithinPartitions("node").mapInArrow(_greedy, "node bigint, kept bigint")
@@ -435,17 +455,16 @@ def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame
         crowd = wanted.where(F.col("before") > h.block)
         first = met.join(crowd.select("key").distinct(), "key", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("at") <= h.block)
         usual = usual.unionByName(crowd.join(first.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")).distinct()
-    pairs = _covered(h, usual, signed, texts)
+    pairs = _covered(h, usual, signed, texts, True)
     if few:
-        pairs = pairs.unionByName(_covered(h, _beside(wanted), signed, signed))
+        pairs = pairs.unionByName(_covered(h, _beside(wanted.withColumn("open", F.lit(True))), signed, signed, False))
         h.admitted_pairs.append(meetings // 2)
     linked = h.hold(_verified(h, pairs), "linked")
-    first_id = h.last_id + 1
-    near = linked.where(F.col("b") < first_id).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old"))
+    near = linked.where("old").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("old"))
     if most > h.block:
         near = _blocks_of_ids(h, wanted, met, signed, most, near)
 
-    links = linked.where(F.col("b") >= first_id)
+    links = linked.where("not old")
     if few and rows <= MAX_IN_ONE_TASK and meetings <= MAX_PAIRS_IN_ONE_TASK:
         return _taken_in(h, signed, staged(_decided_at_once(signed, exact, near, links), "decided"), last_id)
     firsts = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
@@ -458,9 +477,13 @@ def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame
     )
     nodes = h.hold(nodes, "nodes")
     open_ = nodes.where("old is null")
+    rivals = None if h.growing else nodes.where(F.col("old") > F.lit(open_.agg(F.min("node")).first()[0]).cast("bigint"))  # a mate may have a smaller id than the history's row
     if not few:
-        inner = wanted.where("beside > 1").join(open_.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
-        ahead = int(inner.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0)
+        heads = open_.select(F.col("class").alias("id"), F.lit(True).alias("open"))
+        if rivals is not None:
+            heads = heads.unionByName(rivals.select(F.col("class").alias("id"), F.lit(False).alias("open")))
+        inner = wanted.where("beside > 1").join(heads.groupBy("id").agg(F.max("open").alias("open")), "id")
+        ahead = int(inner.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("o")).agg(F.sum(F.expr("o * (o - 1) div 2 + o * (n - o)"))).first()[0] or 0)
         if ahead > limit:
             cut = open_.approxQuantile("node", [0.125], 0.01)[0]
             if open_.where(F.col("node") > cut).limit(1).count():
@@ -468,11 +491,18 @@ def _settle(h: History, signed: DataFrame, rows: int, last_id: int) -> DataFrame
                 n = head.count()
                 return _settle(h, head, n, int(cut)).unionByName(_settle(h, tail, rows - n, last_id))
         h.admitted_pairs.append(ahead)
-        links = h.hold(_verified(h, _covered(h, _beside(inner), signed, signed)), "links")
+        links = h.hold(_verified(h, _covered(h, _beside(inner), signed, signed, False)), "links")
     kept = _in_order(h, open_.select("node", "class", "chash"), links, rows)
-    verdicts = nodes.join(kept, "node", "left").select(F.col("digest").alias("d"), F.col("chash").alias("c"), "node", F.coalesce("old", "kept").alias("kept"))
+    mate = F.lit(None).cast("bigint").alias("mate")
+    verdicts = nodes.join(kept, "node", "left")
+    if rivals is not None:
+        kept = h.hold(kept, "kept")
+        taken = open_.join(kept.where("kept is null").select("node"), "node", "left_semi")
+        verdicts, mate = nodes.join(kept, "node", "left").join(_mates(rivals, taken, links), "node", "left"), "mate"
+    verdicts = verdicts.select(F.col("digest").alias("d"), F.col("chash").alias("c"), "node", F.coalesce("old", "kept").alias("kept"), mate)
     told = signed.select("id", "digest", "chash", "rid").join(verdicts, F.col("digest").eqNullSafe(F.col("d")) & F.col("chash").eqNullSafe(F.col("c")), "left")
-    decided = told.select("id", "rid", F.coalesce("kept", F.when(F.col("node") < F.col("id"), F.col("node"))).alias("kept_id")).withColumn("accepted", F.col("kept_id").isNull())
+    by = F.least("kept", F.when(F.col("mate") < F.col("id"), F.col("mate")))
+    decided = told.select("id", "rid", F.coalesce(by, F.when(F.col("node") < F.col("id"), F.col("node"))).alias("kept_id")).withColumn("accepted", F.col("kept_id").isNull())
     # A record id is known if it was accepted before, in the history or earlier in this arrival.
     decided = decided.withColumn("key", _id_key(F.col("rid"))).join(exact.select("key", F.lit(True).alias("old_rid")), "key", "left")
     earlier = F.min(F.when(F.col("accepted") & F.col("rid").isNotNull(), F.col("id"))).over(Window.partitionBy(F.coalesce("rid", F.col("id").cast("string"))))
@@ -492,13 +522,14 @@ def admit(h: History, arrival: DataFrame) -> DataFrame:
 
     ``kept_id`` is the smallest id among the accepted rows that a refused row duplicates;
     ``known_id`` tells whether its record id was accepted before (which refuses nothing).
-    Rows are taken by id; every id must be larger than those already accepted.
+    Rows are taken by id; every id must be larger than those already accepted, unless ``growing``
+    is off.
     """
     signed = _signed(h, arrival)
     least, last, rows = signed.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
     if not rows:
         return h.spark.createDataFrame([], "id bigint, accepted boolean, kept_id bigint, known_id boolean")
-    if h.last_id is not None and least <= h.last_id:
+    if h.growing and h.last_id is not None and least <= h.last_id:
         raise ValueError(f"id {least} is not larger than the accepted id {h.last_id}")
     decisions = _settle(h, signed, rows, last)
     h.release()

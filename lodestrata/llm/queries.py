@@ -50,10 +50,12 @@ def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch 0 begins the history; every later batch of the table is one arrival, all are appended."""
+    """Batch 0 begins the history; every later batch of the table is one arrival, all are appended.
+
+    Rows come by batch and then by number, so a batch may hold smaller numbers than one before it."""
     rows = _table(spark, sf_dir, "canonical_records").select("batch_no", F.col("row_no").alias("id"), F.col("id").alias("record_id"), "content_hash", neardup.record_text().alias("text"))
     batches = sorted(r[0] for r in rows.select("batch_no").distinct().collect() if r[0])  # one number for each delivery
-    h = history.start(spark, rows.where("batch_no = 0"), threshold=0.5, words=3)
+    h = history.start(spark, rows.where("batch_no = 0"), threshold=0.5, words=3, growing=False)
     decided = [history.admit(h, rows.where(F.col("batch_no") == b)) for b in batches] or [history.admit(h, rows.limit(0))]
     h.close()
     return functools.reduce(DataFrame.unionByName, decided)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrata.llm import history, leakage, neardup, pieces, repetition
+from lodestrata.llm import history, leakage, neardup, pieces, queries, repetition
 from lodestrata.llm.shingles import words_of
 
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -206,6 +206,37 @@ def test_history_equals_brute_force(spark, monkeypatch, seed, parts, limit):
     assert got == want and ids == {r[1] for r in late}
 
 
+@pytest.mark.parametrize("limit, floor", [(200_000, 1_000_000), (200_000, 0), (0, 1_000_000), (20, 0)])
+def test_ids_that_do_not_grow_with_arrivals(spark, monkeypatch, limit, floor):
+    """Numbers of the history and of two arrivals lie among each other; the smallest accepted one is reported."""
+    monkeypatch.setattr(history, "MAX_IN_ONE_TASK", limit)
+    rng, numbers = random.Random(77), list(range(80))
+    rng.shuffle(numbers)
+    rows = [(0 if k < 40 else 1000 + k % 2, numbers[k], h, t) for k, (_, _, h, t) in enumerate(arrival_rows(1))]
+    for k in range(12):  # a late row that both an old row (by hash or text) and a mate of its arrival refuse
+        one, two, h, g = text_of(rng, 40), text_of(rng, 40), f"{1000 + k:064x}", f"{2000 + k:064x}"
+        mate, late = [((g, two), (g, one)), ((None, two), (h, two)), ((None, two), (h, f"{two} once more"))][k % 3]
+        rows += [(0, 900 + k, h, one), (1000, 300 + k, *mate), (1000, 600 + k, *late)]
+    parts = [sorted((r for r in rows if r[0] == s), key=lambda r: r[1]) for s in (0, 1000, 1001)]
+    want = brute_history(rows)
+    assert all(want[600 + k] == 300 + k for k in range(12))
+    h = history.start(spark, frame(spark, parts[0]), buckets=4, growing=False, pairs_floor=floor, pairs_per_row=200 if floor else 1)
+    decided = [history.admit(h, frame(spark, part)).collect() for part in parts[1:]]
+    got = {r["id"]: r["kept_id"] for part in decided for r in part if not r["accepted"]}
+    assert got == want and sum(map(len, decided)) == len(rows) - len(parts[0])
+    h.close()
+
+
+def test_found_takes_rows_by_batch_and_then_by_number(spark, tmp_path):
+    """Two corpora, numbered one after the other, in one table: batch 1 of the first comes after batch 0 of the second."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six", "red green blue grey pink teal"]
+    made = [(0, 0, texts[0]), (1, 1, texts[1]), (2, 2, texts[1]), (3, 0, texts[1]), (4, 1, texts[2]), (5, 2, texts[3])]
+    schema = "row_no bigint, batch_no int, id string, content_hash string, fields struct<caption: string, transcript: string, summary: string>"
+    spark.createDataFrame([(i, b, f"r{i}", None, (t, None, None)) for i, b, t in made], schema).write.parquet(f"{tmp_path}/canonical_records.parquet")
+    got = {(r[1], r[0]) for r in queries.p2_found(spark, str(tmp_path)).collect()}
+    assert got == {(1, 3), (2, 3), (4, 0)}
+
+
 def test_empty_arrival_and_hash_notations(spark):
     h = history.start(spark, frame(spark, arrival_rows(1)[:5]), buckets=2)
     assert history.admit(h, frame(spark, []) if False else frame(spark, arrival_rows(1)[:1]).limit(0)).count() == 0
